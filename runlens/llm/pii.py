@@ -78,6 +78,10 @@ def _valid(kind: str, x: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
+def _check(kind: str):
+    return lambda x: _valid(kind, x)
+
+
 def _numbers(x: Column, text: Column) -> list[tuple[str, Column]]:
     """Format and context of a candidate."""
     m, before = x["match"], F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
@@ -90,7 +94,7 @@ def _numbers(x: Column, text: Column) -> list[tuple[str, Column]]:
         ("groups", F.size(groups)),
         ("longest", F.array_max(F.transform(groups, F.length))),
         ("first", F.length(F.get(groups, F.lit(0)))),
-        ("last", F.length(F.element_at(groups, -1))),
+        ("last", F.length(F.try_element_at(groups, F.lit(-1)))),
         ("hyphens", count("-")),
         ("dots", count(".")),
         ("slashes", count("/")),
@@ -211,7 +215,7 @@ def find(docs: DataFrame) -> DataFrame:
     guards = {"email": text.contains("@"), "ip": F.col("_digit") & text.contains("."), "card": F.col("_digit"), "phone": F.col("_digit") & text.contains("+")}
     rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_digit", F.col("_text").rlike("[0-9]"))
     rows = rows.withColumns({f"_{k}": _matches(text, k, g) for k, g in guards.items()})
-    rows = rows.withColumn("_base", F.array_sort(F.concat(*(F.filter(f"_{k}", lambda x, k=k: _valid(k, x)) for k in BASE))))
+    rows = rows.withColumn("_base", F.array_sort(F.concat(*(F.filter(f"_{k}", _check(k)) for k in BASE))))
     at = text.rlike(r"[\[(] ?(?i:at) ?[\])]")
     rows = rows.withColumns({f"_{k}": _matches(text, k, at if k == "address" else F.col("_digit")) for k in FURTHER})
     free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
@@ -236,7 +240,10 @@ def _listed(spans: str) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row for each input row."""
-    counts = [F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    def of(i: int):
+        return lambda x: x["k"] == i
+
+    counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, written
@@ -47,11 +47,12 @@ def sample(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
 def token_log_odds(texts: DataFrame) -> DataFrame:
     """(toxic, text) -> token, score: log-odds of documents having it, shrunk by the prior and by its error."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    starts = [
-        F.array_distinct(F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))))
-        for k in STARTS
-    ]
-    rows = texts.select("toxic", F.explode(F.concat(words, *starts)).alias("token")).where("token <> ''")
+
+    def starts(k: int) -> Column:
+        longer = F.filter(words, lambda w: F.length(w) > k)
+        return F.array_distinct(F.transform(longer, lambda w: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))))
+
+    rows = texts.select("toxic", F.explode(F.concat(words, *map(starts, STARTS))).alias("token")).where("token <> ''")
     counts = rows.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t + c >= 3")
     nt, nc = (float(x or 0) for x in texts.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     docs = max(10.0, PRIOR_SHARE * (nt + nc))
