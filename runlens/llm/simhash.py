@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -108,28 +108,32 @@ def _forest(radius: int):
     return run
 
 
-def links(reps: DataFrame, radius: int) -> DataFrame:
-    """(fp, rep), each fp once -> (a, b): rep pairs that span the components of links at `radius` bits or fewer.
+def _dealt(rows: DataFrame, by: Column) -> DataFrame:
+    """(k, fp, rep) -> fp, rep, part, cross: the members of each bucket with more than one.
 
-    A bucket of over BLOCK fingerprints is cut into blocks by hash and every pair of blocks goes to
-    a task of its own, so that no task holds more than two blocks and none of the pairs is left out.
+    A bucket of over BLOCK members is cut into blocks by a hash of `by` and every pair of blocks becomes
+    a group of its own, so that no task holds more than two blocks and none of the pairs is left out.
     """
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(radius))]
-    rows = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("k"))
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         rows.join(shared, "k")
-        .withColumn("part", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64(by), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     )
-    groups = (
+    return (
         dealt.groupBy("k", "i", "j")
         .agg(F.collect_list(F.struct("fp", "rep", "part")).alias("m"))
         .where(F.size("m") > 1)
         .select("m.fp", "m.rep", "m.part", (F.col("i") != F.col("j")).alias("cross"))
     )
+
+
+def links(reps: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep), each fp once -> (a, b): rep pairs that span the components of links at `radius` bits or fewer."""
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(radius))]
+    groups = _dealt(reps.select("fp", "rep", F.explode(F.array(*keys)).alias("k")), F.col("fp"))
     return groups.mapInArrow(_forest(radius), "a long, b long").distinct()
 
 
@@ -148,3 +152,113 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return fps.join(of, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Fingerprints of a document's word set, each under a hash of its own, that similar_groups() searches.
+SEEDS = (1, 2, 3)
+
+
+def word_fingerprint(text: str, seed: int) -> int:
+    """SimHash over the set of words: an edited word weighs less here than in shingles."""
+    words = {*(text or "").encode("utf-8", "replace").translate(_LOWER).split()}
+    if not words:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def _nearest(radius: int):
+    """Rows of bucket members -> true links (a, b): each member's nearest one, and a tree that spans each component."""
+
+    def pairs(fp: np.ndarray, part: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
+        d = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(np.int16)
+        d[d > radius] = 99
+        np.fill_diagonal(d, 99)
+        if cross:
+            d[part[:, None] == part[None, :]] = 99
+        near = d.argmin(axis=1)
+        yield from ((i, int(j)) for i, j in enumerate(near) if d[i, j] <= radius)
+        left = np.ones(len(fp), bool)
+        while left.any():
+            edge = [int(np.flatnonzero(left)[0])]
+            left[edge] = False
+            while edge:
+                i = edge.pop()
+                new = np.flatnonzero(left & (d[i] <= radius))
+                left[new] = False
+                edge += new.tolist()
+                yield from ((i, j) for j in new.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: set[tuple[int, int]] = set()
+            for fps, reps, parts, cross in zip(*b.columns, strict=True):
+                fp, rep = np.asarray(fps.values).view(np.uint64), np.asarray(reps.values).tolist()
+                found |= {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in pairs(fp, np.asarray(parts.values), cross.as_py())}
+            a, c = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, th (XXH64 of the text), g: the group of each row.
+
+    Texts are grouped if their sets of `width`-word shingles have Jaccard similarity `least` or more,
+    directly or through others; equal texts always are. Candidates are texts of which one of the word
+    fingerprints differs in at most `radius` bits, found by covering hashing; each candidate pair is then
+    verified exactly. A null text counts as empty; texts without words are alike.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [[word_fingerprint(t.as_py(), s) for s in SEEDS] for t in b.column(1)]
+            signed = pa.array(np.array(fps, np.uint64).reshape(-1, len(SEEDS)).view(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), signed], ["doc_id", "th", "fps"])
+
+    rows = written(named.mapInArrow(run, "doc_id long, th long, fps array<long>"), "words")
+    texts = rows.groupBy("th").agg(F.first("fps").alias("fps")).select("th", F.posexplode("fps").alias("s", "fp"))
+    reps = texts.select("s", "fp", F.col("th").alias("rep"))
+    keys = [F.xxhash64(F.lit(i), F.col("s"), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(radius))]
+    groups = _dealt(reps.select("fp", "rep", F.explode(F.array(*keys)).alias("k")), F.col("rep"))
+    pairs = written(groups.mapInArrow(_nearest(radius), "a long, b long").where("a <> b").distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["th", "shingles"])
+
+    sets = named.select("th", "text").join(nodes, "th", "left_semi").mapInArrow(shingled, "th long, shingles array<long>")
+    sets = written(sets.groupBy("th").agg(F.first("shingles").alias("shingles")), "shingles")
+    x, y = (sets.select(F.col("th").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = (common >= least * (F.size("sa") + F.size("sb") - common)).alias("ok")
+    found = connected_components(both.select("a", "b", alike).where("ok"))
+    return rows.join(found, rows.th == found.node, "left").select("doc_id", "th", F.coalesce("component", "th").alias("g"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one document of each of the similar_groups(): the smallest doc_id (rows without one last), then text hash.
+
+    Of rows equal in doc_id and text one stays.
+    """
+    groups = written(similar_groups(docs, width, least), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+    best = groups.groupBy("g").agg(F.min(order).alias("best"))
+    named = groups.join(best, "g")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    counts = written(named.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th", "stays").agg(F.count(F.lit(1)).alias("n")), "stays")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("i"), F.col("th").alias("t"))
+        return rows.join(some, rows._id.eqNullSafe(some.i) & (rows._th == some.t), how)
+
+    once = among(counts.where(~F.col("stays") | (F.col("n") > 1)), "left_anti")
+    repeated = among(counts.where(F.col("stays") & (F.col("n") > 1)), "left_semi").dropDuplicates(["_id", "_th"])
+    return once.unionByName(repeated).drop("_id", "_th")

@@ -226,3 +226,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             " passages array<struct<start:long,end:long,score:double,p_value:double>>",
         )
     )
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs without those that score at or above the threshold; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(m := shared.value)
+        for b in batches:
+            yield b.filter(pa.array([m.score(*scanner.segments(t.as_py() or "")) < threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
