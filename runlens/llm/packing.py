@@ -21,7 +21,6 @@ CACHED_WORDS = 300_000
 #: Characters tokenised at a time, cut at a space.
 SLICE = 1 << 20
 
-_SPACES = str.maketrans("\n\t\r", "   ")
 _PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
@@ -44,20 +43,29 @@ class Words:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.whole, self.kept = Tokenizer.from_file(path), {"": b""}
+        self.whole, self.kept, self.parts = Tokenizer.from_file(path), {"": b""}, {}
         self.model, self.letters = self.whole.model, _byte_letters()
 
-    def _ids(self, word: str) -> list[int]:
-        if not _PLAIN.fullmatch(word):
-            return self.whole.encode(word, add_special_tokens=False).ids
-        out = []
-        for part in _WORDS.findall(word.lower()):
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
             shown = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            out += [t.id for t in self.model.tokenize(shown)]
-        return out
+            got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts = {}
+            self.parts[part] = got
+        return got
+
+    def _ids(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        lower = word.lower()
+        if lower.isalpha():
+            return self._part(lower)
+        return b"".join(map(self._part, _WORDS.findall(lower)))
 
     def ids(self, text: str) -> bytes:
-        words = text.translate(_SPACES).split(" ")
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         found = list(map(self.kept.get, words))
         if None in found:
             for i, x in enumerate(found):
@@ -65,7 +73,7 @@ class Words:
                     word = words[i]
                     found[i] = got = self.kept.get(word)
                     if got is None:
-                        found[i] = got = np.array(self._ids(word), "<u4").tobytes()
+                        found[i] = got = self._ids(word)
                         if len(word) < 64:
                             if len(self.kept) >= CACHED_WORDS:
                                 self.kept = {"": b""}
