@@ -313,6 +313,6 @@ def test_personal_data_base_and_added(spark):
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest(), i
         assert set(filter(None, said.split(","))) <= set(got[i].spans.split(","))
         assert (got[i].n_email, got[i].n_ip) == tuple(sum(x[3] == k for x in base) for k in ("email", "ip"))
-    assert got[10].spans == "number:4:18" and got[13].spans.startswith("address:") and got[14].spans == "" and got[7].spans == got[12].spans == ""
+    assert got[10].spans == "number:4:18,ip:46:56" and got[13].spans.startswith("address:") and got[14].spans == "" and got[7].spans == got[12].spans == ""
     clean = by_id(pii.redact(docs))
     assert clean[1].text == "mail [EMAIL], or x@y, [EMAIL][EMAIL] now" and clean[11].text == "é\U0001f600 [EMAIL] \U0001f600" and clean[5].text is None and clean[14].text == PII[14]
