@@ -1,4 +1,4 @@
 """The registered queries: which tables play which roles, and the same in SQL."""
 
-from . import aggregates, joins, ordered, statistics, text  # noqa: F401
+from . import aggregates, evaluation, joins, ordered, statistics, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
