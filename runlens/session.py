@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: dict[str, str] = {}
+
 #: What the library's results rest on: UTC times, adaptive plans that split skewed joins.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +25,15 @@ def session(app: str = "runlens", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their Python need not have it installed."""
+    context = spark.sparkContext
+    if _shipped.get("to") != context.applicationId:
+        root = Path(__file__).resolve().parent
+        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="runlens-")) / "runlens.zip", "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(z.filename)
+        _shipped["to"] = context.applicationId
