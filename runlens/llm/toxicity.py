@@ -19,11 +19,11 @@ SAMPLE_DOCS = 10_000
 #: Weight of the Dirichlet prior as a share of the documents learned from; its shape is each token's frequency in both classes.
 PRIOR_SHARE = 0.05
 #: Standard errors that a log-odds must differ from 0 by, and those taken off it before it counts.
-LEAST_ERRORS, ERRORS = 2.58, 1.5
+LEAST_ERRORS, ERRORS = 2.58, 1.0
 #: What each token costs, in nats; it keeps the expected score of clean text negative.
-DRIFT = 2.0
+DRIFT = 1.0
 #: Lengths of word starts that stand for words without evidence of their own, longest first.
-STARTS = (5, 4)
+STARTS = (7, 6, 5, 4)
 #: A passage is significant if clean text of the document's length has one as good with less than this probability.
 SIGNIFICANT = 0.01
 CACHED_WORDS = 200_000
