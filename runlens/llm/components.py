@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, d) whose ends lie in two components of the edges, with these as ga and gb."""
+    of = written(connected_components(edges), "of")
+    for c in "ab":
+        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
+    return pairs.where("ga <> gb")
+
+
+def settled(found: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """found (a, b), edges already verified, with what joins their components among the pairs (a, b, d) that are not verified yet.
+
+    Of each two components the pair of least d is verified first, then every pair that still lies in two
+    components: what is left unverified could join nothing.
+    """
+    if pairs.isEmpty():
+        return found
+    best = F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")
+    apart = _apart(pairs, found).groupBy(F.least("ga", "gb"), F.greatest("ga", "gb"))
+    first = written(apart.agg(best).select("p.a", "p.b"), "first")
+    found = found.unionByName(written(verify(first), "found"))
+    rest = _apart(pairs.join(first, ["a", "b"], "left_anti"), found).select("a", "b")
+    return found.unionByName(written(verify(rest), "found"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import connected_components
+from .components import connected_components, settled
 
 BITS = 64
 #: Distinct fingerprints that one task compares with each other, or with as many others.
@@ -108,20 +108,24 @@ def _forest(radius: int):
     return run
 
 
+def _in_blocks(rows: DataFrame, buckets: DataFrame, by: Column) -> DataFrame:
+    """rows of the buckets (k, size), each once for every pair (i, j) of blocks that holds its own block, `part`."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    return (
+        rows.join(buckets, "k")
+        .withColumn("part", F.pmod(F.xxhash64(by), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    )
+
+
 def _dealt(rows: DataFrame, by: Column) -> DataFrame:
     """(k, fp, rep) -> fp, rep, part, cross: the members of each bucket with more than one.
 
     A bucket of over BLOCK members is cut into blocks by a hash of `by` and every pair of blocks becomes
     a group of its own, so that no task holds more than two blocks and none of the pairs is left out.
     """
-    shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        rows.join(shared, "k")
-        .withColumn("part", F.pmod(F.xxhash64(by), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    )
+    dealt = _in_blocks(rows, rows.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), by)
     return (
         dealt.groupBy("k", "i", "j")
         .agg(F.collect_list(F.struct("fp", "rep", "part")).alias("m"))
@@ -202,13 +206,50 @@ def _nearest(radius: int):
     return run
 
 
+#: Bits of a shingle set's sketch: the parity of the number of its shingles at each place.
+SKETCH = 1024
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Sketches of two sets differ in no more bits than the sets do in shingles."""
+    return np.packbits(np.bincount((shingles.view(np.uint64) % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def _unlike(least: float, radius: int):
+    """The members of a pair of blocks -> (a, b, d): links within the radius between groups that may be similar; d bits differ.
+
+    Sets of n and m shingles with Jaccard similarity `least` differ in (n + m)(1 - least) / (1 + least)
+    shingles at most, so what is left out here is not similar for certain.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        fp, part, g, rep, n = (t.column(c).to_numpy() for c in ("fp", "part", "g", "rep", "n"))
+        fp, words = fp.view(np.uint64), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
+        cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        found = []
+        for at in range(len(fp)):
+            ok = (np.bitwise_count(fp[at + 1 :] ^ fp[at]) <= radius) & (g[at + 1 :] != g[at])
+            if cross:
+                ok &= part[at + 1 :] != part[at]
+            to = np.flatnonzero(ok) + at + 1
+            d = np.maximum(np.bitwise_count(words[to] ^ words[at]).sum(axis=1, dtype=np.int64), np.abs(n[to] - n[at]))
+            may = d <= (n[to] + n[at]) * (1 - least) / (1 + least) + 1e-6
+            a = np.full(may.sum(), rep[at])
+            found.append((np.minimum(a, rep[to[may]]), np.maximum(a, rep[to[may]]), d[may]))
+        return pa.table({c: pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i, c in enumerate("abd")})
+
+    return run
+
+
 def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, th (XXH64 of the text), g: the group of each row.
 
     Texts are grouped if their sets of `width`-word shingles have Jaccard similarity `least` or more,
     directly or through others; equal texts always are. Candidates are texts of which one of the word
-    fingerprints differs in at most `radius` bits, found by covering hashing; each candidate pair is then
-    verified exactly. A null text counts as empty; texts without words are alike.
+    fingerprints differs in at most `radius` bits, found by covering hashing. First each text's nearest
+    candidate and a tree over each bucket are verified exactly, then every other candidate pair that
+    still lies in two groups, unless its sketches rule it out. A null text counts as empty; texts without words are alike.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
@@ -230,15 +271,31 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["th", "shingles"])
+            columns = [b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["th", "shingles", "n", "sketch"])
 
-    sets = named.select("th", "text").join(nodes, "th", "left_semi").mapInArrow(shingled, "th long, shingles array<long>")
-    sets = written(sets.groupBy("th").agg(F.first("shingles").alias("shingles")), "shingles")
+    kept = "th long, shingles array<long>, n long, sketch binary"
+    sets = named.select("th", "text").join(nodes, "th", "left_semi").mapInArrow(shingled, kept)
+    sets = written(sets.groupBy("th").agg(*(F.first(c).alias(c) for c in ("shingles", "n", "sketch"))), "shingles")
     x, y = (sets.select(F.col("th").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = (common >= least * (F.size("sa") + F.size("sb") - common)).alias("ok")
-    found = connected_components(both.select("a", "b", alike).where("ok"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(x, "a").join(y, "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        ok = (common >= least * (F.size("sa") + F.size("sb") - common)).alias("ok")
+        return both.select("a", "b", ok).where("ok").select("a", "b")
+
+    near = written(alike(pairs), "alike")
+    of = connected_components(near).select(F.col("node").alias("th"), F.col("component"))
+    # a text with any candidate is in a pair
+    labelled = written(sets.select("th", "n").join(of, "th", "left").select("th", F.coalesce("component", "th").alias("g")), "labelled")
+    members = texts.join(labelled, "th").select("s", "fp", F.col("th").alias("rep"), "g", F.explode(F.array(*keys)).alias("k"))
+    mixed = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("k", "size")
+    blocks = _in_blocks(members, mixed, F.col("rep")).join(sets.select(F.col("th").alias("rep"), "n", "sketch"), "rep")
+    blocks = blocks.select("k", "i", "j", "fp", "rep", "part", "g", "n", "sketch")
+    unlike = blocks.groupBy("k", "i", "j").applyInArrow(_unlike(least, radius), "a long, b long, d long").distinct()
+    unlike = written(unlike.join(pairs, ["a", "b"], "left_anti"), "unlike")
+    found = connected_components(settled(near, unlike, alike))
     return rows.join(found, rows.th == found.node, "left").select("doc_id", "th", F.coalesce("component", "th").alias("g"))
 
 

@@ -101,6 +101,18 @@ def test_one_of_each_similar_group_stays(docs):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_families_of_one_word_set_are_searched_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    words, rng, rows = prose(150, 11).split(" "), np.random.default_rng(12), []
+    for i in range(0, 60, 2):
+        order = rng.permutation(words).tolist()
+        swapped = order[:70] + order[71:69:-1] + order[72:]
+        rows += [(i, " ".join(order)), (i + 1, " ".join(swapped))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+
+
 def test_repeated_rows_and_empty_tables(spark, docs):
     twice = docs.where("doc_id in (4, 20)").unionByName(docs.where("doc_id = 20"))
     assert simhash.near_duplicates(twice).count() == 3 and sorted(r.doc_id for r in simhash.keep_one(twice).collect()) == [4, 20]
