@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, written
-from .components import connected_components
+from .components import connected_components, settled
 
 SHINGLE = 9
 LEAST = 0.8
@@ -24,6 +24,10 @@ SHORT = (100, 150)
 MARKS = "".join(rf"\u{c:04x}" for c in range(0x26, 0x100, 8)) + r"\u0100-\uffff"
 #: Lines of a bucket up to which all pairs are compared.
 FEW = 8
+#: Lines of a large bucket that one task holds against each other, or against as many others.
+BLOCK = 1024
+#: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
+SKETCH = 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -74,40 +78,75 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     return two.unionByName(few).unionByName(led).distinct()
 
 
+def _shingles(text: Column) -> Column:
+    raw = text.cast("binary")
+    return F.array_distinct(F.transform(_starts(raw), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have Jaccard similarity LEAST or more, exactly; 64-bit hashes stand for shingles."""
-    def shingles(c: str) -> Column:
-        raw = F.col(c).cast("binary")
-        return F.array_distinct(F.transform(_starts(raw), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
-
     sides = [texts.select(F.col("k").alias(x), F.col("norm").alias(f"n{x}")) for x in "ab"]
     # sets of n and m shingles have similarity min/max at most
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    sets = both.select("a", "b", shingles("na").alias("x"), shingles("nb").alias("y"))
+    sets = both.select("a", "b", _shingles(F.col("na")).alias("x"), _shingles(F.col("nb")).alias("y"))
     sets = sets.where(F.least(F.size("x"), F.size("y")) >= LEAST * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
     return sets.where(common >= LEAST * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(k, norm) -> k, n (shingles), s0, s1, ...: sketches of two sets differ in no more bits than the sets do in shingles."""
+    h = texts.select("k", F.explode(_shingles(F.col("norm"))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))")
+    words = [F.coalesce(F.bit_xor(F.when(F.pmod("h", F.lit(SKETCH)) == j, bit)), F.lit(0).cast("long")).alias(f"s{j}") for j in range(SKETCH)]
+    return h.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
+def _apart(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, k) of large buckets -> (a, b, d): the pairs of a bucket in two components of `found` that may be similar.
+
+    Every pair of blocks of a bucket is a group of its own. Sets of n and m shingles with similarity LEAST
+    differ in (n + m)(1 - LEAST) / (1 + LEAST) shingles at most, so the others are not similar for certain.
+    """
+    of = connected_components(found).select(F.col("node").alias("k"), F.col("component"))
+    large = written(large.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
+    sizes = large.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
+    mixed = large.join(sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band")
+    sketches = written(_sketches(texts.join(mixed.select("k").distinct(), "k", "left_semi")), "sketches")
+    dealt = mixed.withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")).join(sketches, "k")
+    sides = []
+    own_i, all_i, own_j, all_j = F.col("part"), F.explode(F.sequence(F.lit(0), "part")), F.col("part"), F.explode(F.sequence("part", F.col("blocks") - 1))
+    for x, i, j in (("a", own_i, all_j), ("b", all_i, own_j)):
+        own = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", *(f"s{w}" for w in range(SKETCH)))]
+        sides.append(dealt.select("band", i.alias("i"), j.alias("j"), *own))
+    bits = sum(F.bit_count(F.col(f"s{w}a").bitwiseXOR(F.col(f"s{w}b"))) for w in range(SKETCH))
+    d = F.greatest(bits.cast("long"), F.abs(F.col("na") - F.col("nb")))
+    may = (F.col("ga") != F.col("gb")) & (d <= (F.col("na") + F.col("nb")) * (1 - LEAST) / (1 + LEAST) + 1e-6)
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("ka") < F.col("kb"))
+    x, y = (side.alias(c) for side, c in zip(sides, "xy", strict=True))
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "i", "j")]
+    pairs = x.join(y, [*on, once, may])
+    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), d.alias("d")).distinct()
+
+
 def links(lines: DataFrame) -> DataFrame:
     """(k, norm) -> (a, b): edges that connect similar lines.
 
     In a bucket of up to FEW lines every pair is compared. In a larger one every line is compared with
     its leader, the line with the most text in the corpus: of a line and its variants mostly the line
-    itself. Lines similar to none of their leaders are compared with all others of their buckets.
+    itself. Then every pair of a larger one that still lies in two components is compared, unless its
+    sketches rule it out.
     """
     sigs = written(signatures(lines), "signatures").select("k", "w", F.explode("bands").alias("band"))
     shared = written(_repeated(sigs), "buckets")
     texts = lines.join(shared.select("k").distinct(), "k", "left_semi").select("k", "norm").distinct()
     texts = written(texts, "texts")
-    found = written(_similar(_pairs(shared), texts), "similar")
-    sizes = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
-    large = shared.join(sizes, "band")
-    linked = found.select(F.col("a").alias("k")).unionByName(found.select(F.col("b").alias("k"))).distinct()
-    rest = large.select("band", "k").join(linked, "k", "left_anti").select("band", F.col("k").alias("a"))
-    more = rest.join(large.select("band", F.col("k").alias("b")), "band").where("a <> b")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.unionByName(_similar(more, texts))
+    pairs = written(_pairs(shared), "pairs")
+    found = written(_similar(pairs, texts), "similar")
+    sizes = shared.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FEW)
+    apart = _apart(shared.join(sizes, "band").select("band", "k"), found, texts)
+    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
+    return settled(found, apart, lambda pairs: _similar(pairs, texts))
 
 
 def _repeated(sigs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from runlens.llm import embedding_dedup, language_id, line_dedup, packing, pii, sentencepiece_codec, sharding, simhash, sketches, toxicity
 
@@ -142,6 +143,27 @@ def test_lines_equal_brute_force(docs):
     assert line_dedup.dedup(docs).columns == docs.columns
 
 
+def shingle_sets(texts):
+    return [{b[k : k + 9] for k in range(max(1, len(b) - 8))} for b in (t.encode() for t in texts)]
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_lines_of_large_buckets_are_searched_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    rng, texts = np.random.default_rng(5), set()
+    for family in range(4):
+        base = prose(20, 100 + family)
+        texts |= {edited(base, rng.choice(20, rng.integers(0, 4), replace=False)).replace("edited", WORDS[rng.integers(800)]) for _ in range(100)}
+    texts = sorted(texts)
+    lines = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "k long, norm string, w long").repartition(3)
+    bands = {r.k: set(r.bands) for r in line_dedup.signatures(lines).groupBy("k").agg(F.flatten(F.collect_list("bands")).alias("bands")).collect()}
+    sets = shingle_sets(texts)
+    near = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    want = components(range(len(texts)), lambda i, j: (i, j) in near)
+    got = {r.node: r.component for r in line_dedup.connected_components(line_dedup.links(lines)).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+
+
 def test_toxic_words_and_passages(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
