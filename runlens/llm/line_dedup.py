@@ -18,10 +18,6 @@ SHINGLE = 9
 LEAST = 0.8
 #: A pair of Jaccard similarity 0.8 shares a band with probability 0.975, one of 0.9 with 0.9994.
 BANDS, ROWS = 7, 4
-#: Where the two kinds of signatures overlap, in bytes.
-SHORT = (100, 150)
-#: Characters that mark sampled shingles: every eighth code point of Latin-1 (a tenth of most texts in Latin letters), and all beyond.
-MARKS = "".join(rf"\u{c:04x}" for c in range(0x26, 0x100, 8)) + r"\u0100-\uffff"
 #: Lines of a bucket up to which all pairs are compared.
 FEW = 8
 #: Lines of a large bucket that one task holds against each other, or against as many others.
@@ -44,25 +40,18 @@ def _starts(raw: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(k, norm) -> k, bands: the hashes of each line's bands of MinHash values, of one or two kinds; w grows with its occurrences.
-
-    Lines of up to SHORT[1] bytes use all their shingles. Lines from SHORT[0] bytes on use those whose
-    first character is in MARKS, a choice by content alone: two lines choose alike what they share, so
-    the sampled sets are as similar as the whole ones. Similar lines have similar lengths and so a kind in
-    common. A shingle's value under the j-th permutation is its 32-bit hash with the bits of the j-th
-    constant flipped. Shingles are rows that whole-stage code hashes and folds into the minima of
-    their line before anything is shuffled.
+    """(k, norm) -> k, bands: the hashes of each line's bands of MinHash values; w grows with its occurrences.
+
+    All shingles of a line count, whatever its length. A shingle's value under the j-th permutation is its
+    32-bit hash with the bits of the j-th constant flipped. Shingles are rows that whole-stage code hashes
+    and folds into the minima of their line before anything is shuffled.
     """
     rng = random.Random(4)
     flips = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    size, raw = F.octet_length("norm"), F.col("norm").cast("binary")
-    short = lines.where(size <= SHORT[1]).select("k", raw.alias("raw")).select("k", "raw", F.explode(_starts(F.col("raw"))).alias("i"))
-    all_of = short.select("k", F.lit(0).alias("kind"), F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    marked = F.regexp_extract_all("norm", F.lit(rf"(?=([{MARKS}].{{{SHINGLE - 1}}}))"), F.lit(1))
-    some_of = lines.where(size >= SHORT[0]).select("k", F.explode(marked).alias("s")).select("k", F.lit(1).alias("kind"), F.hash("s").alias("h"))
-    h = all_of.unionByName(some_of)
-    mins = h.groupBy("k", "kind").agg(F.count(F.lit(1)).alias("w"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(flips)))
-    bands = [F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    rows = lines.select("k", F.col("norm").cast("binary").alias("raw")).select("k", "raw", F.explode(_starts(F.col("raw"))).alias("i"))
+    h = rows.select("k", F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    mins = h.groupBy("k").agg(F.count(F.lit(1)).alias("w"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(flips)))
+    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return mins.select("k", "w", F.array(*bands).alias("bands"))
 
 

@@ -164,6 +164,13 @@ def test_lines_of_large_buckets_are_searched_whole(spark, monkeypatch, block):
     assert {i: got.get(i, i) for i in range(len(texts))} == want
 
 
+def test_long_lines_without_common_characters_are_linked(spark):
+    digits = "".join(np.random.default_rng(8).choice(list("0123457"), 400))
+    rows = [(1, digits), (2, digits[:200] + "9" + digits[201:]), (3, digits[::-1])]
+    got = by_id(line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_kept for i in (1, 2, 3)] == [1, 0, 1]
+
+
 def test_toxic_words_and_passages(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
