@@ -86,6 +86,14 @@ def test_orphans_are_left_out_of_a_trajectory(spark):
     assert sorted(rows(O.trajectory(df, "run", "s", "p", "o"))) == [("r", "a", 0, 0), ("r", "b", 1, 1), ("r", "c", 1, 2)]
 
 
+def test_trajectory_depth_reads_every_turn(spark, tmp_path):
+    from runlens.plans import QUERIES
+
+    spark.createDataFrame([(1, i) for i in range(300)], "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.depth for r in QUERIES["trajectory_depth"](spark, str(tmp_path)).collect()}
+    assert got == {i: i.bit_length() for i in range(300)}
+
+
 def test_guard_on_the_same_span_does_not_count(spark):
     df = spark.createDataFrame([("r", 1, True, True)], "run string, o int, p boolean, q boolean")
     rules = {"r1": ("precedes", F.col("p"), F.col("q"))}
