@@ -37,6 +37,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.withColumn("rank", first).where(F.col("rank") <= WORDS).select("lang", "word", "n")
 
 
+#: Longer words are scored each time they occur.
+CACHED_LENGTH = 40
+#: N-grams of a word that are averaged at a time.
+SLICE = 4096
+
+
 class Model:
     """Log frequencies of words and of n-grams (of the kept words, ends marked), one column for each language."""
 
@@ -71,11 +77,16 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """The mean over the longest n-grams of which any is known; nothing for a word with none."""
-        marked = f" {word[:40]} "
+        marked = f" {word} "
         for size in range(LONGEST, 0, -1):
-            found = [x for i in range(len(marked) - size + 1) if (x := self.grams[size].get(marked[i : i + size])) is not None]
-            if found:
-                return np.mean(found, axis=0, dtype=np.float32)
+            total, n, last = np.zeros(len(self.langs)), 0, len(marked) - size + 1
+            for at in range(0, last, SLICE):
+                found = [x for i in range(at, min(at + SLICE, last)) if (x := self.grams[size].get(marked[i : i + size])) is not None]
+                if found:
+                    total += np.sum(found, axis=0, dtype=np.float64)
+                    n += len(found)
+            if n:
+                return (total / n).astype(np.float32)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -111,11 +122,14 @@ class Scorer:
                     self.row = dict(self.known)
                     found = list(map(self.row.get, part))
                 for i, x in enumerate(found):
-                    if x is None:
+                    if x is None and len(part[i]) <= CACHED_LENGTH:
                         found[i] = self.row.get(part[i])
                         if found[i] is None:
                             found[i] = self._add(part[i])
-            total += self.array[found].sum(axis=0, dtype=np.float64)
+                    elif x is None:
+                        total += self.model.unseen(part[i])
+                found = [x for x in found if x is not None]
+            total += self.array[np.array(found, np.int64)].sum(axis=0, dtype=np.float64)
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.model.langs[best], float(p[best] / p.sum())

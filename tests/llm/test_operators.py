@@ -345,6 +345,13 @@ def base_spans(text):
             yield m.start(), k, m.end(), kind
 
 
+def test_long_runs_of_letters_count_whole():
+    scorer = language_id.Scorer(language_id.Model([("aa", "ab" * 5, 5), ("bb", "cd" * 5, 5)]))
+    run = "ab" * 20 + "cd" * 5000
+    assert scorer.predict(run)[0] == scorer.predict(f"{run} {run}")[0] == "bb" and scorer.predict("ab" * 30)[0] == "aa"
+    assert run not in scorer.row
+
+
 def test_personal_data_base_and_added(spark):
     docs = spark.createDataFrame(list(PII.items()), "doc_id long, text string")
     got = by_id(pii.digest(docs))
