@@ -250,6 +250,18 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(500, 506)) and got[None].kept is False
 
 
+def test_deep_trees_find_the_links_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)  # a depth of 7
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(800, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.32, (800, 1))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(table).collect())
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = int((u @ u.T >= 0.95).sum()) - len(x)
+    assert true > 1000 and 0.97 * true <= found <= true
+
+
 def test_first_fit_against_the_plain_scan():
     lengths = np.sort(RNG.integers(1, 100, 200))[::-1]
     bins, offsets = packing.first_fit(lengths, 100)
