@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores added where df has a column of that name, so that new columns clash with none."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. A local session without one gets a folder of its own, a cluster an error: its executors could not read it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="runlens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -44,6 +59,17 @@ def drop(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables written inside when it ends, but for those put on the list that it gives."""
+    before, kept = {path for _, path in _written}, []
+    yield kept
+    stay = before | {t.runlens_path for t in kept}
+    for x in [x for x in _written if x[1] not in stay]:
+        _delete(*x)
+        _written.remove(x)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,8 +82,8 @@ def _clean() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by now
-            return
+        except Exception:  # noqa: BLE001  the session may be gone by now, the others' may not
+            continue
 
 
 def held_out(id_col: str = "doc_id"):

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .common import drop, written
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1] or 0
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that keep edges (u, v) from being stars around the v: with two larger ends, or between others."""
+    up = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.col("v").alias("to"))
+    down = edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(None).cast("long").alias("to"))
+    ends = up.unionByName(down).groupBy("n").agg(F.min("up").alias("x"), F.max("up").alias("y"), F.min("to").alias("low"), F.max("to").alias("high"))
+    return ends.where("x <> y or low <> high").count()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,8 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    before = _state(edges)
-    while before[0]:
+    while _unsettled(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -35,37 +37,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _state(new)
         drop(edges)
         drop(large)
         edges = new
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, d) whose ends lie in two components of the edges, with these as ga and gb."""
-    of = written(connected_components(edges), "of")
-    for c in "ab":
-        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
-    return pairs.where("ga <> gb")
+def settled(of: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """of (node, component) with the components joined that a similar pair connects; pairs (a, b, ga, gb, d) are not verified yet.
 
-
-def settled(found: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """found (a, b), edges already verified, with what joins their components among the pairs (a, b, d) that are not verified yet.
-
-    Of each two components the pair of least d is verified first, then every pair that still lies in two
-    components: what is left unverified could join nothing.
+    ga and gb are the components of a and b, or the nodes themselves if they are in none; `verify` returns
+    the similar ones among the pairs it is given. Of each two components the pair of least d is verified
+    first, then every pair that still lies in two components: what is left unverified could join nothing.
     """
+    pairs = written(pairs, "apart")
     if pairs.isEmpty():
-        return found
-    best = F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")
-    apart = _apart(pairs, found).groupBy(F.least("ga", "gb"), F.greatest("ga", "gb"))
-    first = written(apart.agg(best).select("p.a", "p.b"), "first")
-    found = found.unionByName(written(verify(first), "found"))
-    rest = _apart(pairs.join(first, ["a", "b"], "left_anti"), found).select("a", "b")
-    return found.unionByName(written(verify(rest), "found"))
+        drop(pairs)
+        return of
+    best = F.min_by(F.struct("a", "b", "ga", "gb"), F.struct("d", "a", "b")).alias("p")
+    first = written(pairs.groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(best).select("p.*"), "first")
+    found = written(verify(first).select(F.col("ga").alias("a"), F.col("gb").alias("b")), "found")
+    joined = written(connected_components(found), "joined")
+    rest = pairs.select("a", "b", "ga", "gb").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for c in ("ga", "gb"):
+        to = joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
+        rest = rest.join(to, c, "left").withColumn(f"{c}_to", F.coalesce(f"{c}_to", c))
+    more = written(verify(rest.where("ga_to <> gb_to").select("a", "b", "ga", "gb")).select(F.col("ga").alias("a"), F.col("gb").alias("b")), "found")
+    joined = written(connected_components(found.unionByName(more)), "joined")
+    of = written(of, "of")
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(joined.join(of, "node", "left_anti").select("node", "component"))

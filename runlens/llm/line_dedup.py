@@ -7,40 +7,52 @@ of that. Its shingles are the windows of SHINGLE bytes of its UTF-8 form, a shor
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, fresh, scratch, written
 from .components import connected_components, settled
 
 SHINGLE = 9
 LEAST = 0.8
-#: A pair of Jaccard similarity 0.8 shares a band with probability 0.975, one of 0.9 with 0.9994.
-BANDS, ROWS = 7, 4
-#: Lines of a bucket up to which all pairs are compared.
-FEW = 8
-#: Lines of a large bucket that one task holds against each other, or against as many others.
+#: A pair of Jaccard similarity 0.8 shares a band with probability 0.987, one of 0.9 with 0.9996.
+BANDS, ROWS = 6, 3
+#: Lines of a bucket that one task holds against each other, or against as many others.
 BLOCK = 1024
 #: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
 SKETCH = 8
+_BLANK = " \t\r\x0b\x0c"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos, norm, k: all lines that are not blank."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), text of all rows with a text."""
     text = F.col("text").cast("string")
-    rows = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    norm = F.btrim(F.lower("line"), F.lit(" \t\r\x0b\x0c"))
-    return rows.select("doc_id", "th", "pos", norm.alias("norm")).where("norm <> ''").withColumn("k", F.xxhash64("norm"))
+    return docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _split(text: str) -> Column:
+    return F.split(F.lower(text), "\n")
+
+
+def _norm(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANK))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th, pos, norm, k: all lines that are not blank."""
+    rows = _rows(docs).select("doc_id", "th", F.posexplode(_split("text")).alias("pos", "line"))
+    rows = rows.select("doc_id", "th", "pos", _norm(F.col("line")).alias("norm"))
+    return rows.where("norm <> ''").withColumn("k", F.xxhash64("norm"))
 
 
 def _starts(raw: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (SHINGLE - 1), F.lit(1)))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(k, norm) -> k, bands: the hashes of each line's bands of MinHash values; w grows with its occurrences.
+def signatures(lines: DataFrame, key: Sequence[str] = ("k",)) -> DataFrame:
+    """(key, norm) -> key, bands: the hashes of each line's bands of MinHash values.
 
     All shingles of a line count, whatever its length. A shingle's value under the j-th permutation is its
     32-bit hash with the bits of the j-th constant flipped. Shingles are rows that whole-stage code hashes
@@ -48,23 +60,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     """
     rng = random.Random(4)
     flips = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    rows = lines.select("k", F.col("norm").cast("binary").alias("raw")).select("k", "raw", F.explode(_starts(F.col("raw"))).alias("i"))
-    h = rows.select("k", F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    mins = h.groupBy("k").agg(F.count(F.lit(1)).alias("w"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(flips)))
+    rows = lines.select(*key, F.col("norm").cast("binary").alias("raw")).select(*key, "raw", F.explode(_starts(F.col("raw"))).alias("i"))
+    h = rows.select(*key, F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    mins = h.groupBy(*key).agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(flips)))
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return mins.select("k", "w", F.array(*bands).alias("bands"))
-
-
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """(band, k) -> (a, b): the first pairs to compare. Small buckets: all; large ones: all lines with the bucket's leader."""
-    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).where("n > 1")
-    two = sizes.where("n = 2").select("a", "b")
-    few = buckets.join(sizes.where((F.col("n") > 2) & (F.col("n") <= FEW)).select("band"), "band").groupBy("band").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    few = few.select("ks", F.posexplode("ks").alias("i", "a")).select("a", F.explode(F.slice("ks", F.col("i") + 2, FEW)).alias("b"))
-    many = buckets.join(sizes.where(F.col("n") > FEW).select("band"), "band")
-    leaders = many.groupBy("band").agg(F.max_by("k", F.struct("w", F.xxhash64("k", "band"))).alias("a"))
-    led = many.join(leaders, "band").where("a <> k").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
-    return two.unionByName(few).unionByName(led).distinct()
+    return mins.select(*key, F.array(*bands).alias("bands"))
 
 
 def _shingles(text: Column) -> Column:
@@ -73,14 +73,20 @@ def _shingles(text: Column) -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have Jaccard similarity LEAST or more, exactly; 64-bit hashes stand for shingles."""
+    """Those of the pairs (a, b, ...) whose shingle sets have Jaccard similarity LEAST or more, exactly; 64-bit hashes stand for shingles."""
     sides = [texts.select(F.col("k").alias(x), F.col("norm").alias(f"n{x}")) for x in "ab"]
-    # sets of n and m shingles have similarity min/max at most
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    sets = both.select("a", "b", _shingles(F.col("na")).alias("x"), _shingles(F.col("nb")).alias("y"))
-    sets = sets.where(F.least(F.size("x"), F.size("y")) >= LEAST * F.greatest(F.size("x"), F.size("y")))
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.where(common >= LEAST * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    def counted(s: Column) -> Column:
+        n, m = F.size(s["x"]), F.size(s["y"])
+        # sets of n and m shingles have similarity min/max at most
+        common = F.when(F.least(n, m) >= LEAST * F.greatest(n, m), F.size(F.array_intersect(s["x"], s["y"])))
+        return F.struct((n + m).alias("both"), common.alias("common"))
+
+    # the lambdas' variables hold what would else be computed at each use
+    sets = F.array(F.struct(_shingles(F.col("na")).alias("x"), _shingles(F.col("nb")).alias("y")))
+    ok = F.exists(F.transform(sets, counted), lambda c: F.coalesce(c["common"] >= LEAST * (c["both"] - c["common"]), F.lit(False)))
+    return both.where(ok).select(*pairs.columns)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -91,23 +97,24 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return h.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
-def _apart(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(band, k) of large buckets -> (a, b, d): the pairs of a bucket in two components of `found` that may be similar.
+def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, k) -> (a, b, ga, gb, d): the pairs of a bucket in two components that may be similar.
 
     Every pair of blocks of a bucket is a group of its own. Sets of n and m shingles with similarity LEAST
     differ in (n + m)(1 - LEAST) / (1 + LEAST) shingles at most, so the others are not similar for certain.
     """
-    of = connected_components(found).select(F.col("node").alias("k"), F.col("component"))
-    large = written(large.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
-    sizes = large.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
-    mixed = large.join(sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band")
-    sketches = written(_sketches(texts.join(mixed.select("k").distinct(), "k", "left_semi")), "sketches")
+    of = of.select(F.col("node").alias("k"), "component")
+    members = written(members.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
+    mixed = written(members.join(sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band"), "mixed")
+    own = written(mixed.select("k").distinct(), "own")
+    sketches = written(_sketches(texts.join(own, "k", "left_semi")), "sketches")
     dealt = mixed.withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")).join(sketches, "k")
     sides = []
     own_i, all_i, own_j, all_j = F.col("part"), F.explode(F.sequence(F.lit(0), "part")), F.col("part"), F.explode(F.sequence("part", F.col("blocks") - 1))
     for x, i, j in (("a", own_i, all_j), ("b", all_i, own_j)):
-        own = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", *(f"s{w}" for w in range(SKETCH)))]
-        sides.append(dealt.select("band", i.alias("i"), j.alias("j"), *own))
+        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", *(f"s{w}" for w in range(SKETCH)))]
+        sides.append(dealt.select("band", i.alias("i"), j.alias("j"), *columns))
     bits = sum(F.bit_count(F.col(f"s{w}a").bitwiseXOR(F.col(f"s{w}b"))) for w in range(SKETCH))
     d = F.greatest(bits.cast("long"), F.abs(F.col("na") - F.col("nb")))
     may = (F.col("ga") != F.col("gb")) & (d <= (F.col("na") + F.col("nb")) * (1 - LEAST) / (1 + LEAST) + 1e-6)
@@ -115,78 +122,91 @@ def _apart(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     x, y = (side.alias(c) for side, c in zip(sides, "xy", strict=True))
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "i", "j")]
     pairs = x.join(y, [*on, once, may])
-    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), d.alias("d")).distinct()
+    turned = F.col("ka") > F.col("kb")
+    low, high = (F.struct(F.col(f"k{c}").alias("k"), F.col(f"g{c}").alias("g")) for c in "ab")
+    pairs = pairs.select(F.when(turned, high).otherwise(low).alias("p"), F.when(turned, low).otherwise(high).alias("q"), d.alias("d"))
+    return pairs.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"), F.col("p.g").alias("ga"), F.col("q.g").alias("gb"), "d").distinct()
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """(k, norm) -> (a, b): edges that connect similar lines.
+def components(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(k, bands), equal lines as often as they occur -> (node, component) of the similar lines that share a band.
 
-    In a bucket of up to FEW lines every pair is compared. In a larger one every line is compared with
-    its leader, the line with the most text in the corpus: of a line and its variants mostly the line
-    itself. Then every pair of a larger one that still lies in two components is compared, unless its
+    texts_of gives the (k, norm) of the keys (k) it is handed, once for each. Every line of a bucket is
+    compared with the bucket's leader, the line that occurs most: of a line and its variants mostly the
+    line itself. Then every other pair of a bucket that still lies in two components is compared, unless
     sketches rule it out.
     """
-    sigs = written(signatures(lines), "signatures").select("k", "w", F.explode("bands").alias("band"))
-    shared = written(_repeated(sigs), "buckets")
-    texts = lines.join(shared.select("k").distinct(), "k", "left_semi").select("k", "norm").distinct()
-    texts = written(texts, "texts")
-    pairs = written(_pairs(shared), "pairs")
-    found = written(_similar(pairs, texts), "similar")
-    sizes = shared.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FEW)
-    apart = _apart(shared.join(sizes, "band").select("band", "k"), found, texts)
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
-    return settled(found, apart, lambda pairs: _similar(pairs, texts))
-
-
-def _repeated(sigs: DataFrame) -> DataFrame:
-    """The (band, k, w) rows whose band occurs more than once."""
-    again = sigs.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    return sigs.join(again, "band").select("band", "k", "w")
-
-
-def decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, th, pos, kept: one row for each line that is not blank.
+    rows = sigs.select("k", F.explode("bands").alias("band"))
+    with scratch() as kept:
+        often = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "often")
+        members = written(rows.join(often, "band").groupBy("band", "k").agg(F.count(F.lit(1)).alias("w")), "members")
+        leader = F.max_by("k", F.struct("w", F.xxhash64("k"))).alias("leader")
+        buckets = members.groupBy("band").agg(leader, F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
+        shared = written(members.join(buckets.select("band", "leader"), "band").where("k <> leader").select("band", "k", "leader"), "shared")
+        keys = written(shared.select("k").unionByName(shared.select(F.col("leader").alias("k"))).distinct(), "keys")
+        texts = written(texts_of(keys), "texts")
+        pairs = shared.select(F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b")).distinct()
+        of = written(connected_components(_similar(pairs, texts)), "of")
+        kept.append(written(settled(of, _apart(shared.select("band", "k"), of, texts), lambda p: _similar(p, texts)), "components"))
+    return kept[0]
+
+
+def dropped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, th, at: the positions, from 0 and ascending, of the lines to drop; no row for a text that stays whole.
 
     One line of each component is kept: the first by doc_id (rows without one first), th and position.
-    Equal lines are one node; rows equal in doc_id and text are one document and get the same decisions.
-    Null and blank texts have no lines here.
+    Equal lines are one node; rows equal in doc_id and text are one document and lose the same lines.
+    Blank lines are never dropped; null and blank texts have no lines here.
     """
-    lines = _lines(docs)
-    places = written(lines.select("doc_id", "th", "pos", "k"), "places")
-    component = connected_components(links(lines))
-    of = component.select(F.col("node").alias("k"), "component")
-    where = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos")
-    firsts = places.groupBy("k").agg(F.min(where).alias("own"))
-    group = F.coalesce("component", "k").alias("g")
-    named = written(firsts.join(of, "k", "left").select("k", "own", group), "firsts")
-    best = named.groupBy("g").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("n"))
-    first = named.join(best, "g").select("k", "best")
-    out = places.join(first, "k")
-    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")) & (F.col("pos") == F.col("best.pos"))
-    return out.select("doc_id", "th", "pos", same.alias("kept"))
+    place = ["doc_id", "th", "pos"]
+    with scratch() as kept:
+        seen = written(signatures(_lines(docs), [*place, "k"]), "seen")
+
+        def texts_of(keys: DataFrame) -> DataFrame:
+            firsts = seen.join(keys, "k", "left_semi").groupBy("k").agg(F.min(F.struct(*place)).alias("at"))
+            at = written(firsts.groupBy("at.doc_id", "at.th").agg(F.collect_list("at.pos").alias("places")), "places")
+            rows = _rows(docs).alias("d").join(at.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")))
+            cut = F.array(F.struct(_split("text").alias("lines"), F.col("places")))
+            found = F.flatten(F.transform(cut, lambda c: F.transform(c["places"], lambda i: F.get(c["lines"], i))))
+            found = rows.select(F.explode(found).alias("line")).select(_norm(F.col("line")).alias("norm"))
+            return found.groupBy(F.xxhash64("norm").alias("k")).agg(F.first("norm").alias("norm"))
+
+        of = components(seen.select("k", "bands"), texts_of)
+        named = seen.select(*place, "k").join(of.withColumnRenamed("node", "k"), "k", "left").select(*place, F.coalesce("component", "k").alias("g"))
+        named = written(named, "named")
+        drop(seen)
+        order = F.struct(F.col("doc_id").isNotNull().alias("known"), *place)
+        best = named.groupBy("g").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "best")
+        others = named.join(written(best, "best"), "g").where(order != F.col("best"))
+        kept.append(written(others.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("pos")).alias("at")), "dropped"))
+    return kept[0]
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept (both without blank lines), dropped: positions from 0, comma-joined; a row for each document."""
-    by = decisions(docs).distinct().groupBy("doc_id", "th").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if("kept").alias("n_kept"),
-        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("pos")))).alias("at"),
-    )
-    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    on = all_docs.doc_id.eqNullSafe(by.doc_id) & (all_docs.th == by.th)
-    zero = F.lit(0).cast("long")
-    return all_docs.join(by, on, "left").select(
-        all_docs.doc_id, F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_kept", zero).alias("n_kept"),
+    text = F.col("text").cast("string")
+    lines = F.regexp_count(text, F.lit(f"[^\n{_BLANK}][^\n]*")).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(lines, F.lit(0)).alias("n_lines")).alias("d")
+    by = dropped(docs).alias("x")
+    found = rows.join(by, F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.th") == F.col("x.th")), "left")
+    n = F.coalesce(F.size("at"), F.lit(0)).cast("long")
+    return found.select(
+        "d.doc_id", "n_lines", (F.col("n_lines") - F.when(F.col("at").isNull(), 0).otherwise(n)).alias("n_kept"),
         F.coalesce(F.array_join(F.col("at").cast("array<string>"), ","), F.lit("")).alias("dropped"),
     )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the lines that are not kept taken out of `text`; blank lines and all other columns stay as they are."""
-    at = decisions(docs).where("not kept").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_at"))
-    at = at.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_at")
+    """docs with the lines to drop taken out of `text`; blank lines and all other columns stay as they are."""
+    i, th, at = fresh(docs, "line_doc", "line_text", "line_at")
+    by = dropped(docs).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("at").alias(at))
     text = F.col("text").cast("string")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_at", i))
-    new = F.when(F.col("_at").isNull(), text).otherwise(F.array_join(left, "\n"))
-    return docs.join(at, on, "left").withColumn("text", new).select(*docs.columns)
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(th))
+    cut = F.array(F.struct(F.split(text, "\n").alias("lines"), F.col(at).alias("at")))
+
+    def left(c: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(c["lines"]) - 1), c["at"])
+        return F.array_join(F.transform(stay, lambda p: F.get(c["lines"], p)), "\n")
+
+    new = F.when(F.col(at).isNull(), text).otherwise(F.transform(cut, left)[0])
+    return docs.join(by, on, "left").withColumn("text", new).select(*docs.columns)

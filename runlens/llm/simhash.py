@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, scratch, written
 from .components import connected_components, settled
 
 BITS = 64
@@ -216,7 +216,7 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _unlike(least: float, radius: int):
-    """The members of a pair of blocks -> (a, b, d): links within the radius between groups that may be similar; d bits differ.
+    """The members of a pair of blocks -> (a, b, ga, gb, d): links within the radius between groups that may be similar; d bits differ.
 
     Sets of n and m shingles with Jaccard similarity `least` differ in (n + m)(1 - least) / (1 + least)
     shingles at most, so what is left out here is not similar for certain.
@@ -235,9 +235,10 @@ def _unlike(least: float, radius: int):
             to = np.flatnonzero(ok) + at + 1
             d = np.maximum(np.bitwise_count(words[to] ^ words[at]).sum(axis=1, dtype=np.int64), np.abs(n[to] - n[at]))
             may = d <= (n[to] + n[at]) * (1 - least) / (1 + least) + 1e-6
-            a = np.full(may.sum(), rep[at])
-            found.append((np.minimum(a, rep[to[may]]), np.maximum(a, rep[to[may]]), d[may]))
-        return pa.table({c: pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i, c in enumerate("abd")})
+            to, low = to[may], rep[at] < rep[to[may]]
+            a, ga = np.full(len(to), rep[at]), np.full(len(to), g[at])
+            found.append((np.where(low, a, rep[to]), np.where(low, rep[to], a), np.where(low, ga, g[to]), np.where(low, g[to], ga), d[may]))
+        return pa.table({c: pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i, c in enumerate(("a", "b", "ga", "gb", "d"))})
 
     return run
 
@@ -283,19 +284,17 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
         both = pairs.join(x, "a").join(y, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         ok = (common >= least * (F.size("sa") + F.size("sb") - common)).alias("ok")
-        return both.select("a", "b", ok).where("ok").select("a", "b")
+        return both.select(*pairs.columns, ok).where("ok").select(*pairs.columns)
 
-    near = written(alike(pairs), "alike")
-    of = connected_components(near).select(F.col("node").alias("th"), F.col("component"))
+    of = written(connected_components(alike(pairs)), "of")
     # a text with any candidate is in a pair
-    labelled = written(sets.select("th", "n").join(of, "th", "left").select("th", F.coalesce("component", "th").alias("g")), "labelled")
+    labelled = written(sets.select("th", "n").join(of.withColumnRenamed("node", "th"), "th", "left").select("th", F.coalesce("component", "th").alias("g")), "labelled")
     members = texts.join(labelled, "th").select("s", "fp", F.col("th").alias("rep"), "g", F.explode(F.array(*keys)).alias("k"))
     mixed = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("k", "size")
     blocks = _in_blocks(members, mixed, F.col("rep")).join(sets.select(F.col("th").alias("rep"), "n", "sketch"), "rep")
     blocks = blocks.select("k", "i", "j", "fp", "rep", "part", "g", "n", "sketch")
-    unlike = blocks.groupBy("k", "i", "j").applyInArrow(_unlike(least, radius), "a long, b long, d long").distinct()
-    unlike = written(unlike.join(pairs, ["a", "b"], "left_anti"), "unlike")
-    found = connected_components(settled(near, unlike, alike))
+    unlike = blocks.groupBy("k", "i", "j").applyInArrow(_unlike(least, radius), "a long, b long, ga long, gb long, d long").distinct()
+    found = settled(of, unlike.join(pairs, ["a", "b"], "left_anti"), alike)
     return rows.join(found, rows.th == found.node, "left").select("doc_id", "th", F.coalesce("component", "th").alias("g"))
 
 
@@ -304,18 +303,21 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
 
     Of rows equal in doc_id and text one stays.
     """
-    groups = written(similar_groups(docs, width, least), "groups")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
-    best = groups.groupBy("g").agg(F.min(order).alias("best"))
-    named = groups.join(best, "g")
-    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
-    counts = written(named.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th", "stays").agg(F.count(F.lit(1)).alias("n")), "stays")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    with scratch() as kept:
+        groups = written(similar_groups(docs, width, least), "groups")
+        order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+        best = groups.groupBy("g").agg(F.min(order).alias("best"))
+        named = groups.join(best, "g")
+        stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+        kept.append(written(named.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th", "stays").agg(F.count(F.lit(1)).alias("n")), "stays"))
+    counts = kept[0]
+    row_id, row_th, i, t = fresh(docs, "row_id", "row_th", "kept_id", "kept_th")
+    rows = docs.withColumns({row_id: F.col("doc_id").cast("long"), row_th: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
     def among(some: DataFrame, how: str) -> DataFrame:
-        some = some.select(F.col("doc_id").alias("i"), F.col("th").alias("t"))
-        return rows.join(some, rows._id.eqNullSafe(some.i) & (rows._th == some.t), how)
+        some = some.select(F.col("doc_id").alias(i), F.col("th").alias(t))
+        return rows.join(some, F.col(row_id).eqNullSafe(F.col(i)) & (F.col(row_th) == F.col(t)), how)
 
     once = among(counts.where(~F.col("stays") | (F.col("n") > 1)), "left_anti")
-    repeated = among(counts.where(F.col("stays") & (F.col("n") > 1)), "left_semi").dropDuplicates(["_id", "_th"])
-    return once.unionByName(repeated).drop("_id", "_th")
+    repeated = among(counts.where(F.col("stays") & (F.col("n") > 1)), "left_semi").dropDuplicates([row_id, row_th])
+    return once.unionByName(repeated).select(*docs.columns)

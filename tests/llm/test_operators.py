@@ -160,10 +160,48 @@ def test_lines_of_large_buckets_are_searched_whole(spark, monkeypatch, block):
     sets = shingle_sets(texts)
     near = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     want = components(range(len(texts)), lambda i, j: (i, j) in near)
-    got = {r.node: r.component for r in line_dedup.connected_components(line_dedup.links(lines)).collect()}
+    sigs = line_dedup.signatures(lines)
+    found = line_dedup.components(sigs, lambda keys: lines.join(keys, "k", "left_semi").select("k", "norm"))
+    got = {r.node: r.component for r in found.collect()}
     assert {i: got.get(i, i) for i in range(len(texts))} == want
 
 
+def test_chains_of_lines_are_one_component(spark):
+    words = prose(40, 21).split(" ")
+    chain = [" ".join(words[: 40 - i]) for i in range(0, 24)]  # neighbours are similar, the ends are not
+    rows = [(i, t) for i, t in enumerate(chain)] + [(100 + i, chain[0]) for i in range(9)] + [(200 + i, chain[23]) for i in range(9)]
+    got = by_id(line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    sets = shingle_sets(chain)
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets, sets[1:], strict=False)]
+    assert all(near) and len(sets[0] & sets[23]) < 0.5 * len(sets[0] | sets[23])
+    assert sum(r.n_kept for r in got.values()) == got[0].n_kept == 1
+
+
+def test_lines_of_clashing_columns_long_texts_and_repeated_rows(spark):
+    long = "\n".join([prose(12, 31), "own line of the long text", *[prose(12, 31)] * 150_000])
+    rows = [(1, long, 1, 2, 3, 4, 5, 6), (1, long, 1, 2, 3, 4, 5, 6), (2, prose(12, 31), 1, 2, 3, 4, 5, 6), (3, None, 1, 2, 3, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _th int, _at int, line_doc int, line_at int, at int")
+    out = line_dedup.dedup(docs)
+    assert out.columns == docs.columns and out.count() == 4
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert got == {(1, prose(12, 31) + "\nown line of the long text"), (2, ""), (3, None)}
+    kept = simhash.keep_one(docs.where("doc_id <> 1"))
+    assert kept.columns == docs.columns and kept.count() == 2 and kept.first()["_id"] == 1
+
+
+def test_recall_of_similar_lines(spark):
+    rng = np.random.default_rng(17)
+    base = [prose(30, 500 + i) for i in range(300)]
+    digits = ["".join(np.random.default_rng(900 + i).choice(list("0123457"), 300)) for i in range(100)]
+    near = [edited(t, rng.choice(30, 2, replace=False)) for t in base] + [t[:150] + "9" * int(rng.integers(1, 12)) + t[150 + 5 :] for t in digits]
+    lines = spark.createDataFrame(list(enumerate([*base, *digits, *near])), "k long, norm string").repartition(3)
+    sets = shingle_sets([*base, *digits, *near])
+    true = {i for i in range(400) if len(sets[i] & sets[400 + i]) >= 0.8 * len(sets[i] | sets[400 + i])}
+    found = line_dedup.components(line_dedup.signatures(lines), lambda keys: lines.join(keys, "k", "left_semi"))
+    got = {r.node for r in found.collect() if r.node != r.component}
+    assert len(true) > 100 and len(true & {i - 400 for i in got}) >= 0.95 * len(true)
+
+
 def test_long_lines_without_common_characters_are_linked(spark):
     digits = "".join(np.random.default_rng(8).choice(list("0123457"), 400))
     rows = [(1, digits), (2, digits[:200] + "9" + digits[201:]), (3, digits[::-1])]
