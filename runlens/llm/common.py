@@ -51,6 +51,18 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+#: Bytes of files up to which a written table is sent to every executor.
+SMALL = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table that written() made, marked for broadcast if its files take SMALL bytes at most; else Spark shuffles both sides."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.runlens_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= SMALL else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that written() made, once nothing reads it."""
     path = getattr(df, "runlens_path", None)

@@ -12,13 +12,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fresh, scratch, written
+from .common import drop, fresh, scratch, small, written
 from .components import connected_components, settled
 
 SHINGLE = 9
 LEAST = 0.8
-#: A pair of Jaccard similarity 0.8 shares a band with probability 0.987, one of 0.9 with 0.9996.
-BANDS, ROWS = 6, 3
+#: MinHash values are the cells of a grid of ROWS x COLUMNS; its columns and its diagonals are the bands, two bands
+#: share one value at most. A pair of Jaccard similarity 0.8 shares a band with probability 0.982, one of 0.9 with 0.9989.
+ROWS, COLUMNS = 3, 4
+BANDS = [[r * COLUMNS + (c + slope * r) % COLUMNS for r in range(ROWS)] for slope in (0, 1) for c in range(COLUMNS)]
 #: Lines of a bucket that one task holds against each other, or against as many others.
 BLOCK = 1024
 #: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
@@ -59,17 +61,20 @@ def signatures(lines: DataFrame, key: Sequence[str] = ("k",)) -> DataFrame:
     and folds into the minima of their line before anything is shuffled.
     """
     rng = random.Random(4)
-    flips = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
+    flips = [rng.getrandbits(32) - (1 << 31) for _ in range(ROWS * COLUMNS)]
     rows = lines.select(*key, F.col("norm").cast("binary").alias("raw")).select(*key, "raw", F.explode(_starts(F.col("raw"))).alias("i"))
     h = rows.select(*key, F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
     mins = h.groupBy(*key).agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(flips)))
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    bands = [F.xxhash64(F.lit(b), *(f"m{j}" for j in cells)) for b, cells in enumerate(BANDS)]
     return mins.select(*key, F.array(*bands).alias("bands"))
 
 
 def _shingles(text: Column) -> Column:
-    raw = text.cast("binary")
-    return F.array_distinct(F.transform(_starts(raw), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+    def of(raw: Column) -> Column:
+        return F.array_distinct(F.transform(_starts(raw), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+
+    # bound to a lambda's variable, the bytes are made once and not for each shingle
+    return F.transform(F.array(text.cast("binary")), of)[0]
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def components(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> D
     rows = sigs.select("k", F.explode("bands").alias("band"))
     with scratch() as kept:
         often = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "often")
-        members = written(rows.join(often, "band").groupBy("band", "k").agg(F.count(F.lit(1)).alias("w")), "members")
+        members = written(rows.join(small(often), "band").groupBy("band", "k").agg(F.count(F.lit(1)).alias("w")), "members")
         leader = F.max_by("k", F.struct("w", F.xxhash64("k"))).alias("leader")
         buckets = members.groupBy("band").agg(leader, F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
         shared = written(members.join(buckets.select("band", "leader"), "band").where("k <> leader").select("band", "k", "leader"), "shared")
@@ -151,55 +156,54 @@ def components(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> D
     return kept[0]
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, th, at: the positions, from 0 and ascending, of the lines to drop; no row for a text that stays whole.
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, th, n_lines, at: lines that are not blank, and the positions, from 0 and ascending, of those to drop.
 
     One line of each component is kept: the first by doc_id (rows without one first), th and position.
     Equal lines are one node; rows equal in doc_id and text are one document and lose the same lines.
-    Blank lines are never dropped; null and blank texts have no lines here.
+    Blank lines are never dropped; null and blank texts have no row here.
     """
     place = ["doc_id", "th", "pos"]
     with scratch() as kept:
         seen = written(signatures(_lines(docs), [*place, "k"]), "seen")
 
         def texts_of(keys: DataFrame) -> DataFrame:
-            firsts = seen.join(keys, "k", "left_semi").groupBy("k").agg(F.min(F.struct(*place)).alias("at"))
+            firsts = seen.join(small(keys), "k", "left_semi").groupBy("k").agg(F.min(F.struct(*place)).alias("at"))
             at = written(firsts.groupBy("at.doc_id", "at.th").agg(F.collect_list("at.pos").alias("places")), "places")
-            rows = _rows(docs).alias("d").join(at.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")))
+            rows = _rows(docs).alias("d").join(small(at).alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")))
             cut = F.array(F.struct(_split("text").alias("lines"), F.col("places")))
             found = F.flatten(F.transform(cut, lambda c: F.transform(c["places"], lambda i: F.get(c["lines"], i))))
             found = rows.select(F.explode(found).alias("line")).select(_norm(F.col("line")).alias("norm"))
             return found.groupBy(F.xxhash64("norm").alias("k")).agg(F.first("norm").alias("norm"))
 
         of = components(seen.select("k", "bands"), texts_of)
-        named = seen.select(*place, "k").join(of.withColumnRenamed("node", "k"), "k", "left").select(*place, F.coalesce("component", "k").alias("g"))
+        named = seen.select(*place, "k").join(small(of).withColumnRenamed("node", "k"), "k", "left").select(*place, F.coalesce("component", "k").alias("g"))
         named = written(named, "named")
         drop(seen)
         order = F.struct(F.col("doc_id").isNotNull().alias("known"), *place)
         best = named.groupBy("g").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "best")
-        others = named.join(written(best, "best"), "g").where(order != F.col("best"))
-        kept.append(written(others.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("pos")).alias("at")), "dropped"))
+        rows = named.join(small(written(best, "best")), "g", "left")
+        goes = F.when(order != F.col("best"), F.col("pos"))
+        kept.append(written(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(goes)).alias("at")), "marked"))
     return kept[0]
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept (both without blank lines), dropped: positions from 0, comma-joined; a row for each document."""
     text = F.col("text").cast("string")
-    lines = F.regexp_count(text, F.lit(f"[^\n{_BLANK}][^\n]*")).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(lines, F.lit(0)).alias("n_lines")).alias("d")
-    by = dropped(docs).alias("x")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th")).alias("d")
+    by = small(marked(docs)).alias("x")
     found = rows.join(by, F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.th") == F.col("x.th")), "left")
-    n = F.coalesce(F.size("at"), F.lit(0)).cast("long")
+    n, gone = F.coalesce("n_lines", F.lit(0).cast("long")), F.coalesce("at", F.array().cast("array<int>"))
     return found.select(
-        "d.doc_id", "n_lines", (F.col("n_lines") - F.when(F.col("at").isNull(), 0).otherwise(n)).alias("n_kept"),
-        F.coalesce(F.array_join(F.col("at").cast("array<string>"), ","), F.lit("")).alias("dropped"),
-    )
+        "d.doc_id", n.alias("n_lines"), (n - F.size(gone)).alias("n_kept"), F.array_join(gone.cast("array<string>"), ",").alias("dropped")
+    )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines to drop taken out of `text`; blank lines and all other columns stay as they are."""
     i, th, at = fresh(docs, "line_doc", "line_text", "line_at")
-    by = dropped(docs).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("at").alias(at))
+    by = small(marked(docs)).where(F.size("at") > 0).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("at").alias(at))
     text = F.col("text").cast("string")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(th))
     cut = F.array(F.struct(F.split(text, "\n").alias("lines"), F.col(at).alias("at")))
