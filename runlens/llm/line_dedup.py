@@ -165,7 +165,8 @@ def marked(docs: DataFrame) -> DataFrame:
     """
     place = ["doc_id", "th", "pos"]
     with scratch() as kept:
-        seen = written(signatures(_lines(docs), [*place, "k"]), "seen")
+        flat = [F.col("bands")[b].alias(f"b{b}") for b in range(len(BANDS))]
+        seen = written(signatures(_lines(docs), [*place, "k"]).select(*place, "k", *flat), "seen")
 
         def texts_of(keys: DataFrame) -> DataFrame:
             firsts = seen.join(small(keys), "k", "left_semi").groupBy("k").agg(F.min(F.struct(*place)).alias("at"))
@@ -176,7 +177,7 @@ def marked(docs: DataFrame) -> DataFrame:
             found = rows.select(F.explode(found).alias("line")).select(_norm(F.col("line")).alias("norm"))
             return found.groupBy(F.xxhash64("norm").alias("k")).agg(F.first("norm").alias("norm"))
 
-        of = components(seen.select("k", "bands"), texts_of)
+        of = components(seen.select("k", F.array(*(f"b{b}" for b in range(len(BANDS)))).alias("bands")), texts_of)
         named = seen.select(*place, "k").join(small(of).withColumnRenamed("node", "k"), "k", "left").select(*place, F.coalesce("component", "k").alias("g"))
         named = written(named, "named")
         drop(seen)
