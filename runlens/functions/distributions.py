@@ -88,6 +88,15 @@ def _sign_p(b: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_two_sided(int(x), int(m)) for x, m in zip(b, n, strict=True)], dtype="float64")
 
 
+def _rank_p(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if math.isnan(a) else mann_whitney_exact(x, int(a), int(b)) for x, a, b in zip(u.astype(float), n.astype(float), m, strict=True)], dtype="float64")
+
+
+def rank_p_value(u: Column, n: Column, m: Column) -> Column:
+    """Exact two-sided p of the rank sum statistic u of untied samples of n and m; null where n is."""
+    return F.pandas_udf(_rank_p, DoubleType())(u, n, m)
+
+
 def t_p_value(t: Column, df: Column) -> Column:
     """Two-sided; null where t or df is."""
     return F.pandas_udf(_t_p, DoubleType())(t, df)

@@ -54,8 +54,9 @@ def welch(a: Column, b: Column) -> dict[str, Column]:
 
 
 def off_policy(reward: Column, ratio: Column, cap: float = 10.0) -> dict[str, Column]:
-    """Inverse propensity and self-normalised estimates with capped weights and rewards clipped to 0..1."""
-    w, r = F.least(ratio, F.lit(cap)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _d(reward)))
+    """Inverse propensity and self-normalised estimates with capped weights and rewards clipped to 0..1; rows without either do not count."""
+    ok = ratio.isNotNull() & reward.isNotNull()
+    w, r = F.when(ok, F.least(ratio, F.lit(cap))), F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), _d(reward))))
     n, wr = F.count(w), F.sum(w * r)
     return {
         "n": n,

@@ -4,45 +4,70 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Redaction rules in order, each with its pattern.
 REDACTIONS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "bearer": r"Bearer [A-Za-z0-9._-]{16,}",
-    "secret": r"(password|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9]{12,}\"?",
-    "card": r"\b[0-9]{16}\b",
-    "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "phone": r"\+[0-9][0-9 ().-]{8,}[0-9]",
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "credit-card": r"\b(?:\d[ -]*?){13,16}\b",
+    "phone-us": r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "aws-access-key": r"\bAKIA[0-9A-Z]{16}\b",
+    "bearer": r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{10,}",
+    "sk-key": r"\bsk-[A-Za-z0-9_-]{10,}\b",
+    "private-key-block": r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[\s\S]*?-----END[^-]*-----",
 }
-#: Phrases of empty prose by kind.
+#: What a text must hold for a rule to match at all: a part of it, or a pattern.
+_NEEDS = {"email": "@", "aws-access-key": "AKIA", "sk-key": "sk-", "private-key-block": "-----BEGIN "}
+#: An edge between ASCII letters, digits and underscores and anything else; Java's own knows other letters too.
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Phrases of empty prose by kind.
 SLOP = {
     "filler": ["it is important to note", "in today's world", "needless to say", "at the end of the day"],
     "hedge": ["perhaps", "might be", "it seems", "arguably"],
     "apology": ["i apologize", "i'm sorry", "as an ai"],
 }
-#: Words too common to tell a domain.
+#: Words too common to tell a domain.
 STOP = ["the", "and", "that", "with", "for", "was", "this", "from", "are", "has", "have", "not", "you", "but", "und", "der", "die", "les", "que", "des", "est", "una", "los", "las"]
 
 
-def error_signature(text: Column) -> Column:
-    """Ids, paths and numbers by their kinds, white space as one blank: what errors of one cause share."""
+def error_signature(text: Column, span: Column | None = None) -> Column:
+    """Ids, paths and numbers by their kinds, white space as one blank: what errors of one cause share.
+
+    A null or blank message gives its span's name instead, or "error", and says so.
+    """
     steps = [
-        (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<id>"), (r"\b[0-9a-fA-F]{12,}\b", "<id>"),
-        (r"(/[A-Za-z0-9._-]+){2,}", "<path>"), (r"[0-9]+(\.[0-9]+)?(ms|s|kb|mb|gb|%)?", "#$2"), (r"\s+", " "),
+        (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<id>"), (r"(?i)\b[0-9a-f]{12,}\b", "<id>"),
+        (r"(?:/[A-Za-z0-9_.@-]+){2,}", "<path>"), (r"(?i)\b[0-9]+(?:\.[0-9]+)?(ms|s|m|h|kb|mb|gb)?\b", "#$1"), (r"\s+", " "),
     ]
-    return F.trim(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text))
+    name = F.lit("error") if span is None else F.when(span != "", span).otherwise("error")
+    said = F.trim(F.coalesce(text, F.lit("")))
+    base = F.when(said != "", said).otherwise(F.concat(F.lit("("), name, F.lit(" — no message)")))
+    return F.trim(reduce(lambda t, s: F.regexp_replace(t, s[0].replace(r"\b", _EDGE), s[1]), steps, base))
+
+
+def redact(rows: DataFrame, text: str, into: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """rows with `into`, the text after all rules in turn, and a count of replacements for each rule, named as the rule.
+
+    Each rule runs once over what the ones ahead of it left, and only where its guard holds; what it put in
+    is counted afterwards, less what stood there before.
+    """
+    rules, own, marks = rules or REDACTIONS, rows.columns, "_said"
+    now = rows.withColumns({"_digit": F.col(text).rlike("[0-9]"), marks: F.col(text)})
+    for i, (name, pattern) in enumerate(rules.items()):
+        needs = F.col(marks).contains(_NEEDS[name]) if name in _NEEDS else F.lit(True) if name == "bearer" or name not in REDACTIONS else F.col("_digit")
+        done = F.when(needs, F.regexp_replace(marks, pattern.replace(r"\b", _EDGE), f"[redacted:{name}]")).otherwise(F.col(marks))
+        now = now.withColumn(f"_said{i}", done)
+        marks = f"_said{i}"
 
+    def count(name: str) -> Column:
+        mark = f"[redacted:{name}]"
+        times = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit(mark)))
+        return ((times(marks) - times(text)) / len(mark)).cast("int").alias(name)
 
-def redact(text: Column, rules: dict[str, str] | None = None) -> tuple[Column, dict[str, Column]]:
-    """The text with each rule's matches replaced, and each rule's count: of what the rules ahead of it left."""
-    counts = {}
-    for name, pattern in (rules or REDACTIONS).items():
-        counts[name] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, f"[{name}]")
-    return text, counts
+    return now.select(*own, F.col(marks).alias(into), *map(count, rules))
 
 
 def slop_score(text: Column) -> Column:
@@ -67,9 +92,21 @@ def domain_words(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOP))
 
 
-def asset_urls(html: Column) -> Column:
-    """Addresses in href of links and src of scripts and images, in order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<(?:link|script|img)\b[^>]*?\b(?:href|src)\s*=\s*["']([^"']+)["']"""), F.lit(1))
+def asset_urls(html: Column, base: Column) -> Column:
+    """Addresses of links and scripts, resolved against the page's own, each once, links first.
+
+    Addresses with a scheme stay, `//` takes the page's scheme, `/` its host, others its folder. The last is
+    not cleared of dots.
+    """
+    links = F.regexp_extract_all(html, F.lit(r"""(?i)<link\b[^>]*\bhref\s*=\s*["']([^"']+)["'][^>]*>"""), F.lit(1))
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?i)<script\b[^>]*\bsrc\s*=\s*["']([^"']+)["'][^>]*>"""), F.lit(1))
+    scheme, host = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.when(F.regexp_replace(base, "[?#].*$", "").rlike("://[^/]*/"), F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "/[^/]*$", "/")).otherwise(F.concat(host, F.lit("/")))
+
+    def whole(u: Column) -> Column:
+        return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(u.startswith("//"), F.concat(scheme, u)).when(u.startswith("/"), F.concat(host, u)).otherwise(F.concat(folder, u))
+
+    return F.array_distinct(F.transform(F.concat(links, scripts), whole))
 
 
 def has_element(html: Column, selector: str) -> Column:
@@ -80,9 +117,20 @@ def has_element(html: Column, selector: str) -> Column:
     return html.rlike(rf"(?i)<{tag or '[a-z][a-z0-9]*'}{inner}[^>]*>")
 
 
-def truncate(text: Column, limit: int, marker: str = "...[truncated]") -> Column:
-    """At most about `limit` bytes: longer texts keep whole characters and end with the marker."""
-    return F.when(F.octet_length(text) > limit, F.concat(F.substring(text, 1, limit // 4), F.lit(marker))).otherwise(text)
+def truncate(text: Column, limit: int, marker: str = "\n[truncated: original {} bytes]") -> Column:
+    """At most `limit` bytes: a longer text keeps as many whole characters as fit ahead of a marker with its size.
+
+    The cut is made at the text's share of the bytes that are left, or before it where that is too long.
+    """
+    size = F.octet_length(text)
+    head, tail = (F.lit(x) for x in marker.split("{}"))
+    note = F.concat(head, size.cast("string"), tail)
+    room = limit - F.octet_length(note)
+    share = F.greatest(F.lit(0), F.floor(F.length(text) * room / size)).cast("int")
+    begun = F.length(F.substring(text.cast("binary"), F.lit(1), F.greatest(room, F.lit(0))).cast("string"))
+    whole = begun - F.when(F.octet_length(F.substring(text, F.lit(1), begun)) > room, 1).otherwise(0)
+    kept = F.substring(text, F.lit(1), F.greatest(F.lit(0), F.least(share, whole)))
+    return F.when(size > limit, F.concat(kept, note)).otherwise(text)
 
 
 def wire_id(text: Column, digits: int = 32) -> Column:

@@ -124,11 +124,16 @@ def failure_shares(runs: DataFrame, failure: Column, score: Column) -> DataFrame
 
 
 def clusters(rows: DataFrame, keys: dict[str, Column], group: Column, example: str, least: int = 1, few: int = 5) -> DataFrame:
-    """Rows by signature: count, distinct groups, share of rows, the first `few` examples in order."""
-    out = rows.groupBy(*(c.alias(k) for k, c in keys.items())).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(group).alias("groups"), F.min(example).alias("first_example"),
-    )
-    return out.withColumn("share", ratio(F.col("n"), F.sum("n").over(W.partitionBy()))).where(F.col("n") >= least)
+    """Rows by signature: count, distinct groups, share of rows, the first `few` examples in order, comma-joined.
+
+    Examples are ranked before they are gathered, so a task keeps `few` of a signature.
+    """
+    named = rows.select(*(c.alias(k) for k, c in keys.items()), group.alias("_g"), F.col(example).alias("_x"))
+    out = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_g").alias("groups"))
+    out = out.withColumn("share", ratio(F.col("n"), F.sum("n").over(W.partitionBy()))).where(F.col("n") >= least)
+    first = named.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("_x"))).where(F.col("_r") <= few)
+    first = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_x")).cast("array<string>"), ",").alias("examples"))
+    return out.join(first, list(keys))
 
 
 def error_prevalence(spans: DataFrame, trace: str, signature: Column) -> DataFrame:
@@ -162,7 +167,7 @@ def coverage(design: DataFrame, seen: DataFrame, keys: Sequence[str], score: Col
 
 def verdicts(scores: DataFrame, item: str, dimension: str, judge: str, score: Column) -> DataFrame:
     """Per item and dimension: mean over the judges that answered (scores held to 0..1), how many did not, widest gap."""
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.cast("double")))
+    s = F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score.cast("double"))))
     return scores.groupBy(item, dimension).agg(
         F.avg(s).alias("mean"), F.count(s).alias("answered"), F.count_if(score.isNull()).alias("silent"), (F.max(s) - F.min(s)).alias("disagreement")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from .texts import last_seen
 
 
 def pair_arms(rows: DataFrame, arm: str, arms: tuple[str, str], key: Sequence[str], rep: Sequence[str], value: str) -> DataFrame:
@@ -145,9 +146,9 @@ def set_ratio(rows: DataFrame, item: str, a: Column, b: Column) -> DataFrame:
 
 def outcome_correlation(runs: DataFrame, outcomes: DataFrame, run: str, start: str, time: str, lag: str, x: Column, y: str) -> DataFrame:
     """run, x, y: the latest outcome captured within `lag` after the start of its run."""
-    near = runs.select(run, F.col(start).alias("_s"), x.alias("x")).join(outcomes.select(run, F.col(time).alias("_t"), F.col(y).alias("_y")), run)
-    near = near.where(F.col("_t") - F.expr(f"interval {lag}") <= F.col("_s"))
-    return near.groupBy(run, "x").agg(F.max_by("_y", "_t").alias("y"))
+    ends = runs.select(run, x.alias("x"), (F.col(start) + F.expr(f"interval {lag}")).alias("_end"))
+    out = latest_as_of(ends, outcomes.select(run, F.col(time).alias("_t"), F.col(y).alias("y"), F.lit(True).alias("_any")), run, "_end", "_t", ["y", "_any"])
+    return out.where("_any").select(run, "x", "y")
 
 
 def latest_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -156,9 +157,18 @@ def latest_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column |
     return rows.groupBy(*key).agg(F.max(row).alias("_m")).select("_m._row.*")
 
 
-def tool_waste(calls: DataFrame, messages: DataFrame, run: str, call_time: str, message_time: str, result: str, text: str) -> DataFrame:
-    """run, calls, wasted: calls whose result (first 120 characters) is in no later message of the run. A null result is never wasted."""
-    later = messages.select(F.col(run).alias("_run"), F.col(message_time).alias("_mt"), F.col(text).alias("_text"))
-    used = (F.col(run) == F.col("_run")) & (F.col("_mt") > F.col(call_time)) & F.col("_text").contains(F.substring(F.col(result), 1, 120))
-    kept = calls.where(F.col(result).isNotNull()).join(later, used, "left_anti").groupBy(run).agg(F.count(F.lit(1)).alias("wasted"))
-    return calls.groupBy(run).agg(F.count(F.lit(1)).alias("calls")).join(kept, run, "left").withColumn("wasted", F.coalesce("wasted", F.lit(0).cast("long")))
+def tool_waste(runs: DataFrame, calls: DataFrame, messages: DataFrame, run: str, call_time: str, message_time: str, failed: Column, result: str, text: str) -> DataFrame:
+    """run, calls, wasted, waste_rate for every run, 0 for one without calls.
+
+    A failed call is wasted, and so is one whose result (first 120 characters) stands in no later message of
+    its run; an empty or null result has nothing to be found and is not. Results find their messages by
+    hashed windows (texts.last_seen), once for each result of a run, so calls and messages are not paired.
+    """
+    mine = calls.select(run, F.col(call_time).alias("_at"), F.coalesce(failed, F.lit(False)).alias("_bad"), F.substring(F.col(result), 1, 120).alias("_said"))
+    wanted = mine.where("not _bad and _said <> ''").select(run, "_said").distinct()
+    seen = last_seen(messages, wanted, run, text, message_time, "_said").withColumnRenamed("last", "_last")
+    lost = F.col("_bad") | ((F.coalesce("_said", F.lit("")) != "") & ~F.coalesce(F.col("_last") > F.col("_at"), F.lit(False)))
+    by = mine.join(seen, [run, "_said"], "left").groupBy(run).agg(F.count(F.lit(1)).alias("calls"), F.count_if(lost).alias("wasted"))
+    none = F.lit(0).cast("long")
+    out = runs.select(run).distinct().join(by, run, "left").select(run, F.coalesce("calls", none).alias("calls"), F.coalesce("wasted", none).alias("wasted"))
+    return out.withColumn("waste_rate", F.coalesce(ratio(F.col("wasted"), F.col("calls")), F.lit(0.0)))

@@ -22,15 +22,26 @@ def streaks(rows: DataFrame, lane: str, order: Sequence[str], hit: Column, least
     return out.where(F.col("length") >= least).drop("_g")
 
 
-def stuck_loops(calls: DataFrame, lane: str, time: str, order: str, signature: Sequence[str], gap: str = "60 seconds", least: int = 3, between: int = 5) -> DataFrame:
-    """lane, signature, first, last, calls: episodes of one call repeated with at most `gap` and `between` other calls of the lane between."""
-    mine, same = W.partitionBy(lane).orderBy(time, order), W.partitionBy(lane, *signature).orderBy(time, order)
-    rows = calls.withColumn("_n", F.row_number().over(mine))
-    late = F.lag(time).over(same) < F.col(time) - F.expr(f"interval {gap}")
+def stuck_loops(calls: DataFrame, lane: Sequence[str], start: Column, end: Column, order: str, signature: Sequence[str], window_ms: int = 60_000, least: int = 3, between: int = 0) -> DataFrame:
+    """lane, signature, first, last, calls: the densest stretch of each episode of one call repeated; start, end, first and last in milliseconds.
+
+    An episode of a lane (a run's execution track) ends where the next equal call starts over `window_ms`
+    later, after more than `between` other calls, or before the last one has ended (or if it has no end).
+    Of an episode the stretch of most calls within `window_ms` is told, the first of equal ones, if it has
+    `least` calls. Calls without a start or a signature value (arguments not captured) make no loop.
+    """
+    mine, same = W.partitionBy(*lane).orderBy("_s", order), W.partitionBy(*lane, *signature).orderBy("_s", order)
+    rows = calls.select(*lane, *signature, order, start.alias("_s"), end.alias("_e")).where("_s is not null").withColumn("_n", F.row_number().over(mine))
+    for c in signature:
+        rows = rows.where(F.col(c).isNotNull())
+    late = F.col("_s") - F.lag("_s").over(same) > window_ms
     far = F.col("_n") - F.lag("_n").over(same) - 1 > between
-    rows = rows.withColumn("_new", F.coalesce(late | far, F.lit(True)).cast("int")).withColumn("_e", F.sum("_new").over(same.rowsBetween(_START, 0)))
-    out = rows.groupBy(lane, *signature, "_e").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("calls"))
-    return out.where(F.col("calls") >= least).drop("_e")
+    serial = F.coalesce(F.lag("_e").over(same) <= F.col("_s"), F.lit(False))
+    rows = rows.withColumn("_new", F.coalesce(late | far | ~serial, F.lit(True)).cast("int")).withColumn("_ep", F.sum("_new").over(same.rowsBetween(_START, 0)))
+    near = W.partitionBy(*lane, *signature, "_ep").orderBy("_s").rangeBetween(-window_ms, 0)
+    ends = rows.select(*lane, *signature, "_ep", F.struct((-F.count(F.lit(1)).over(near)).alias("n"), F.col("_s").alias("last"), F.min("_s").over(near).alias("first")).alias("m"))
+    best = ends.groupBy(*lane, *signature, "_ep").agg(F.min("m").alias("m")).where(F.col("m.n") <= -least)
+    return best.select(*lane, *signature, F.col("m.first").alias("first"), F.col("m.last").alias("last"), (-F.col("m.n")).alias("calls"))
 
 
 def recent_and_before(rows: DataFrame, lane: str, order: Sequence[str], recent: int, before: int) -> DataFrame:
@@ -57,19 +68,32 @@ def chi_square_shift(rows: DataFrame, lane: str, part: str, category: str) -> Da
     return cells.groupBy(lane).agg(F.sum(F.pow(F.col("r") - F.col("e"), F.lit(2)) / F.col("e")).alias("chi2"), F.count(F.lit(1)).alias("cells"))
 
 
-def series_convergence(rows: DataFrame, lane: str, order: Sequence[str], value: str, window: int = 10, stable: float = 0.05) -> DataFrame:
-    """lane, n, mean, cv of the last `window` values (population deviation), and the verdict stabilized, drifting or noisy.
+def series_convergence(rows: DataFrame, lane: str, order: Sequence[str], value: str, window: int = 5, stable: float = 0.05, drift: int = 3) -> DataFrame:
+    """lane, n, mean, cv, tail_run, stable, state of each lane's series; null values are no measurements.
 
-    Drifting: the tail rises or falls at every step.
+    mean and cv (population deviation over |mean|, over 1 for a mean of 0) are those of the last `window`
+    values; tail_run counts the last steps that go one way, negative downwards. A full window with cv up to
+    `stable` is stabilized, else `drift` steps make it drifting-up or drifting-down, else it is noisy. Below
+    max(2, min(window, 3)) values the state is insufficient-data and the numbers are 0.
     """
-    back, on = W.partitionBy(lane).orderBy(*(F.desc(c) for c in order)), W.partitionBy(lane).orderBy(*order)
-    tail = rows.select("*", F.row_number().over(back).alias("_b"), F.lag(value).over(on).alias("_p")).where(F.col("_b") <= window)
-    step = F.when(F.col("_b") < window, F.signum(F.col(value) - F.col("_p")))
-    out = tail.groupBy(lane).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("_sd"), F.min(step).alias("_lo"), F.max(step).alias("_hi"))
-    cv = ratio(F.col("_sd"), F.abs("mean"))
-    monotone = (F.col("_lo") == F.col("_hi")) & (F.col("_lo") != 0) & (F.col("n") > 2)
-    verdict = F.when(cv <= stable, "stabilized").when(monotone, "drifting").otherwise("noisy")
-    return out.select(lane, "n", "mean", cv.alias("cv"), verdict.alias("verdict"))
+    back = W.partitionBy(lane).orderBy("_b")
+    known = rows.where(F.col(value).isNotNull()).select(lane, F.col(value).cast("double").alias("_v"), F.row_number().over(W.partitionBy(lane).orderBy(*(F.desc(c) for c in order))).alias("_b"))
+    steps = known.withColumn("_d", F.signum(F.col("_v") - F.lead("_v").over(back))).withColumn("_way", F.first("_d").over(back))
+    tail = F.when(F.col("_b") <= window, F.col("_v"))
+    broken = F.coalesce((F.col("_d") != F.col("_way")) | (F.col("_d") == 0), F.lit(True))
+    out = steps.groupBy(lane).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(tail).alias("mean"), F.stddev_pop(tail).alias("_sd"),
+        F.min(F.when(broken, F.col("_b"))).alias("_end"), F.max(F.when(F.col("_b") == 1, F.col("_way"))).alias("_way"),
+    )
+    known, zero = F.col("n") >= max(2, min(window, 3)), F.lit(0.0)
+    cv = F.col("_sd") / F.when(F.abs("mean") > 1e-9, F.abs("mean")).otherwise(1.0)
+    run = ((F.col("_end") - 1) * F.coalesce("_way", zero)).cast("long")
+    done = known & (F.col("n") >= window) & (cv <= stable)
+    state = F.when(~known, "insufficient-data").when(done, "stabilized").when(run >= drift, "drifting-up").when(run <= -drift, "drifting-down").otherwise("noisy")
+    return out.select(
+        lane, "n", F.when(known, F.col("mean")).otherwise(zero).alias("mean"), F.when(known, cv).otherwise(zero).alias("cv"),
+        F.when(known, run).otherwise(F.lit(0)).alias("tail_run"), done.alias("stable"), state.alias("state"),
+    )
 
 
 def adjusted_p(tests: DataFrame, family: str, p: str, key: str) -> DataFrame:

@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import moments
-from ..functions.distributions import bootstrap_interval, normal_p_value, sign_p_value, t_p_value
+from ..functions.distributions import bootstrap_interval, normal_p_value, rank_p_value, sign_p_value, t_p_value
 from ..functions.scores import cliffs_band, ratio
 from .ordered import average_ranks
 
+#: Product of the arms' sizes up to which rank tests are exact.
+EXACT_CELLS = 8192
+
 
 def spearman(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """group, n, rho: Pearson's r of average ranks."""
@@ -40,13 +43,16 @@ def cliffs_delta(rows: DataFrame, group: str, arm: str, arms: tuple[str, str], v
 
 
 def mann_whitney(rows: DataFrame, group: str, arm: str, arms: tuple[str, str], value: str) -> DataFrame:
-    """group, n_a, n_b, u, z, p: two-sided normal approximation, tie-corrected with continuity."""
+    """group, n_a, n_b, u, z, p: two-sided; exact without ties up to n_a n_b = EXACT_CELLS, else the normal approximation, tie-corrected with continuity."""
     sums = rank_sums(rows, group, arm, arms, value)
     a, b, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), (F.col("n_a") + F.col("n_b")).cast("double")
     var = a * b / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
     gap = F.col("u") - a * b / 2
     z = F.try_divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), F.sqrt(var))
-    return sums.select(group, "n_a", "n_b", "u", z.alias("z")).withColumn("p", normal_p_value("z"))
+    exact = (F.col("ties") == 0) & (F.col("n_a") * F.col("n_b")).between(1, EXACT_CELLS)
+    out = sums.select(group, "n_a", "n_b", "u", z.alias("z"), exact.alias("_exact"))
+    p = F.coalesce(rank_p_value("u", F.when(F.col("_exact"), F.col("n_a")), "n_b"), normal_p_value("z"))
+    return out.withColumn("p", p).drop("_exact")
 
 
 def welch_test(rows: DataFrame, group: str, a: Column, b: Column) -> DataFrame:
@@ -159,18 +165,27 @@ def bradley_terry(wins: DataFrame, smoothing: float = 0.1, tolerance: float = 1e
 
 
 class Wealth:
-    """An e-process on outcomes within 0..1 against a mean of at most `null`: bets from the past only, decided once wealth reaches 1/alpha."""
+    """An e-process on outcomes within 0..1 against a mean of at most `null`: bets from the past only, decided once wealth reaches 1/alpha.
+
+    A bet is the past edge over its variance plus squared edge, within 0..most; mean and variance are
+    shrunk towards 1/2 and 1/4 by one observation. Wealth grows by the factor 1 + bet (x - null).
+    """
 
     def __init__(self, null: float = 0.5, alpha: float = 0.05, most: float = 0.5) -> None:
+        if not (0 < null < 1 and 0 < alpha < 1 and 0 < most < 1 / null):
+            raise ValueError("null and alpha lie within 0..1, the greatest bet within 0..1/null")
         self.null, self.alpha, self.most = null, alpha, most
         self.wealth, self.n, self.total, self.squares, self.decided = 1.0, 0, 0.0, 0.0, None
 
     def add(self, x: float) -> float:
-        mean = (self.total + 0.5) / (self.n + 1)
-        var = (self.squares + 0.25) / (self.n + 1)
-        edge = mean - self.null
-        self.wealth *= 1 + max(0.0, min(self.most, edge / (var + edge * edge))) * (x - self.null) / max(self.null, 1 - self.null)
-        self.n, self.total, self.squares = self.n + 1, self.total + x, self.squares + (x - mean) ** 2
+        if not 0 <= x <= 1:
+            raise ValueError(f"outcome {x} is not within 0..1")
+        seen = self.n + 1
+        edge = (self.total + 0.5) / seen - self.null
+        spread = (self.squares + 0.25) / seen
+        self.wealth *= 1 + max(0.0, min(self.most, edge / (spread + edge * edge))) * (x - self.null)
+        self.n, self.total = seen, self.total + x
+        self.squares += (x - (self.total + 0.5) / (seen + 1)) ** 2
         if self.decided is None and self.wealth >= 1 / self.alpha:
             self.decided = self.n
         return self.wealth

@@ -2,30 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def leaks(docs: DataFrame, canaries: DataFrame, doc: str, text: str, item: str, canary: str, key: int = 24) -> DataFrame:
+#: Bytes of a wanted text's head that windows of the searched texts are joined by.
+HEAD = 24
+
+
+def _head(raw: Column, at: Column, size: Column | int) -> Column:
+    return F.xxhash64(F.substring(raw, at, F.lit(size) if isinstance(size, int) else size))
+
+
+def _sizes(wanted: DataFrame, text: str, head: int) -> list[int]:
+    """The head sizes that occur: `head`, and those of shorter wanted texts; at most `head` numbers."""
+    found = wanted.select(F.least(F.octet_length(text), F.lit(head)).alias("n")).where("n > 0").distinct().collect()
+    return sorted(r.n for r in found)
+
+
+def _windows(rows: DataFrame, keep: Sequence[str], text: str, sizes: Sequence[int]) -> DataFrame:
+    """keep, _h: the hashes of all windows of these sizes of each text."""
+    raw = rows.select(*keep, F.col(text).cast("binary").alias("_raw")).where(F.octet_length("_raw") > 0)
+    at = raw.select(*keep, "_raw", F.explode(F.sequence(F.lit(1), F.octet_length("_raw"))).alias("_at"))
+    left = F.octet_length("_raw") - F.col("_at") + 1
+    hashes = F.array(*(F.when(left >= n, F.xxhash64(F.lit(n), _head(F.col("_raw"), F.col("_at"), n))) for n in sizes))
+    return at.select(*keep, hashes[0].alias("_h") if len(sizes) == 1 else F.explode(hashes).alias("_h")).where("_h is not null")
+
+
+def _keyed(wanted: DataFrame, text: str, head: int) -> DataFrame:
+    n = F.least(F.octet_length(text), F.lit(head))
+    return wanted.where(F.octet_length(text) > 0).withColumn("_h", F.xxhash64(n, _head(F.col(text).cast("binary"), F.lit(1), n)))
+
+
+def leaks(docs: DataFrame, canaries: DataFrame, doc: str, text: str, item: str, canary: str, head: int = HEAD) -> DataFrame:
     """(item, doc) where a canary stands in a text as it is, once for each pair.
 
-    Not all pairs are compared: a canary is found by its first `key` bytes, which join with the same
-    windows of the texts, and is then held against the text in full. Canaries under `key` bytes, which
-    have no such window, are compared with every text; they must be few. Empty and null ones leak nowhere.
+    Not all pairs are compared: a canary is found by its first `head` bytes, or all if it is shorter, which
+    join with windows of that size of the texts, and is then held against the text in full. Empty and null
+    ones leak nowhere.
     """
-    wanted = canaries.where(F.octet_length(canary) > 0).select(F.col(item).alias("_item"), F.col(canary).alias("_canary"))
-    head = lambda raw, at: F.xxhash64(F.substring(raw, at, F.lit(key)))
-    long = wanted.where(F.octet_length("_canary") >= key).withColumn("_h", head(F.col("_canary").cast("binary"), F.lit(1)))
-    heads = long.select("_h").distinct()
-    raw = docs.select(doc, text, F.col(text).cast("binary").alias("_raw")).where(F.octet_length(text) >= key)
-    windows = raw.select(doc, "_raw", F.explode(F.sequence(F.lit(1), F.octet_length("_raw") - (key - 1))).alias("_at"))
-    hit = windows.select(doc, head(F.col("_raw"), F.col("_at")).alias("_h")).join(heads, "_h", "left_semi").distinct()
-    near = hit.join(long, "_h").join(docs.select(doc, text), doc)
-    found = near.where(F.col(text).contains(F.col("_canary"))).select(F.col("_item").alias(item), doc)
-    short = wanted.where(F.octet_length("_canary") < key)
-    more = docs.select(doc, text).join(short, F.col(text).contains(F.col("_canary"))).select(F.col("_item").alias(item), doc)
-    return found.unionByName(more).distinct()
+    wanted = canaries.select(F.col(item).alias("_item"), F.col(canary).alias("_canary"))
+    sizes = _sizes(wanted, "_canary", head)
+    if not sizes:
+        return docs.select(doc).join(canaries.select(item)).where("false").select(item, doc)
+    wanted = _keyed(wanted, "_canary", head)
+    hit = _windows(docs, [doc], text, sizes).join(wanted.select("_h").distinct(), "_h", "left_semi").distinct()
+    near = hit.join(wanted, "_h").join(docs.select(doc, text), doc)
+    return near.where(F.col(text).contains(F.col("_canary"))).select(F.col("_item").alias(item), doc).distinct()
+
+
+def last_seen(messages: DataFrame, wanted: DataFrame, key: str, text: str, time: str, said: str, head: int = HEAD) -> DataFrame:
+    """key, said, last: for each wanted text of a key the time of that key's last message that has it; no row without one."""
+    sizes = _sizes(wanted, said, head)
+    if not sizes:
+        return wanted.join(messages.select(F.col(key), F.col(time).alias("last")), key).where("false").select(key, said, "last")
+    wanted = _keyed(wanted.select(key, said), said, head)
+    heads = wanted.select(key, "_h").distinct()
+    hit = _windows(messages, [key, time], text, sizes).join(heads, [key, "_h"], "left_semi").distinct()
+    near = hit.join(wanted, [key, "_h"]).join(messages.select(key, time, text), [key, time])
+    return near.where(F.col(text).contains(F.col(said))).groupBy(key, said).agg(F.max(time).alias("last"))
 
 
 def top_words(docs: DataFrame, group: str, words: Column, n: int, least: int = 1) -> DataFrame:

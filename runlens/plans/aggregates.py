@@ -123,7 +123,7 @@ def error_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with f as (select event_type as cls, floor(value / 25)::int as band, user_id, event_id from events where event_type in ('error', 'view'))
-select cls, band, count(*) as n, count(distinct user_id) as groups, min(event_id) as first_example, round(count(*)::double / (select count(*) from f), 6) as share from f group by all having count(*) >= 3""")
+select cls, band, count(*) as n, count(distinct user_id) as groups, array_to_string(list_sort(list(event_id))[:5], ',') as examples, round(count(*)::double / (select count(*) from f), 6) as share from f group by all having count(*) >= 3""")
 def failure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
     keys = {"cls": F.col("event_type"), "band": F.floor(F.col("value") / 25).cast("int")}
@@ -148,21 +148,22 @@ def scenario_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with d as (select n_name, p.o_orderpriority from nation, (select distinct o_orderpriority from orders) p),
-s as (select n_name, o_orderpriority, count(*) as n, avg(o_totalprice) as score from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_totalprice > 450000 group by all)
+s as (select n_name, o_orderpriority, count(*) as n, avg(o_totalprice) as score from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)
 select n_name, o_orderpriority, coalesce(n, 0) as n, round(score, 6) as score from d left join s using (n_name, o_orderpriority)""")
 def campaign_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, nation = table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation")
     levels = F.broadcast(orders.select("o_orderpriority").distinct())  # a design's levels
     design = nation.select("n_name").join(levels)
-    seen = orders.where("o_totalprice > 450000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    seen = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rounded(A.coverage(design, seen, ["n_name", "o_orderpriority"], F.col("o_totalprice")), "score")
 
 
 @query("""
-with j as (select doc_id, j, s from (select doc_id, 'quality' as j, quality as s from labels union all select doc_id, 'toxic', toxic from labels))
-select doc_id, 'overall' as dim, round(avg(s), 6) as mean, count(s) as answered, 0::bigint as silent, (max(s) - min(s))::double as disagreement from j group by 1""")
+with j as (select doc_id, j, s from (select doc_id, 'quality' as j, quality as s from labels union all select doc_id, 'toxic', case when doc_id % 3 > 0 then toxic end from labels))
+select doc_id, 'overall' as dim, round(avg(s), 6) as mean, count(s) as answered, count(*) - count(s) as silent, (max(s) - min(s))::double as disagreement from j group by 1""")
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").unpivot("doc_id", ["quality", "toxic"], "judge", "score").withColumn("dim", F.lit("overall"))
+    labels = table(spark, sf_dir, "labels").withColumn("toxic", F.when(F.col("doc_id") % 3 > 0, F.col("toxic")))
+    rows = labels.unpivot("doc_id", ["quality", "toxic"], "judge", "score").withColumn("dim", F.lit("overall"))
     return rounded(A.verdicts(rows, "doc_id", "dim", "judge", F.col("score")), "mean")
 
 
@@ -172,8 +173,8 @@ def attack_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select count(*) as n, count(*) filter (where l_quantity <= 3) as stubs, count(*) filter (where l_quantity > 3) as real, 0::bigint as uncosted,
-  case when count(*) filter (where l_quantity <= 3) = 0 then 'real' else 'mixed' end as verdict from lineitem""")
+select count(*) as n, count(*) filter (where l_quantity <= 3) as stubs, count(*) filter (where l_quantity > 3) as real, count(*) filter (where l_discount = 0) as uncosted,
+  case when count(*) = 0 then 'empty' when count(*) filter (where l_quantity <= 3) = 0 then 'real' when count(*) filter (where l_quantity > 3) = 0 then 'stub' else 'mixed' end as verdict from lineitem""")
 def backend_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.when(F.col("l_quantity") > 3, F.col("l_quantity"))
-    return A.integrity(table(spark, sf_dir, "lineitem"), tokens, F.col("l_extendedprice"))
+    return A.integrity(table(spark, sf_dir, "lineitem"), tokens, F.when(F.col("l_discount") != 0, F.col("l_extendedprice")))

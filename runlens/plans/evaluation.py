@@ -54,11 +54,12 @@ def positional_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.positional_bias(table(spark, sf_dir, "lineitem"), "l_partkey", F.col("l_linenumber"), F.col("l_quantity")), "bias")
 
 
-@query("select source, count(*) as n, round(case when count(*) < 3 then 'nan'::double else coalesce(corr(n_chars, quality), 0) end, 6) as r from documents join labels using (doc_id) group by 1 having var_pop(quality) > 0 and var_pop(n_chars) > 0")
+@query("""
+with g as (select source, count(*) as n, var_pop(n_chars) as a, var_pop(quality) as b, case when var_pop(n_chars) > 0 and var_pop(quality) > 0 then corr(n_chars, quality) end as r from documents join labels using (doc_id) group by 1)
+select source, n, round(case when n < 3 then 'nan'::double when a = 0 and b = 0 then 1 when a = 0 or b = 0 then 0 else r end, 6) as r from g""")
 def verbosity_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    varied = rows.groupBy("source").agg(F.var_pop("quality").alias("v"), F.var_pop("n_chars").alias("w")).where("v > 0 and w > 0")
-    return rounded(E.verbosity_bias(rows, "source", F.col("n_chars"), F.col("quality")).join(varied.select("source"), "source", "left_semi"), "r")
+    return rounded(E.verbosity_bias(rows, "source", F.col("n_chars"), F.col("quality")), "r")
 
 
 @query("select round(avg(o_totalprice) filter (where o_orderpriority = '1-URGENT'), 4) as own, round(avg(o_totalprice) filter (where o_orderpriority <> '1-URGENT'), 4) as others, round(avg(o_totalprice) filter (where o_orderpriority = '1-URGENT') - avg(o_totalprice) filter (where o_orderpriority <> '1-URGENT'), 4) as gap from orders")
@@ -67,10 +68,14 @@ def self_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with c as (select user_id, event_type, count(value) as n, sqrt(var_pop(value / 100) + 0.01) + 1 / sqrt(count(value)) as w from events group by all)
-select user_id, event_type, n, round(w, 6) as weight, 1 + round((20000 - count(*) over ()) * w / sum(w) over ())::bigint as share from c""")
+with o as (select user_id % 40 as variant, user_id % 7 * 10 + length(event_type) as scenario, value / 100 as x from events where event_type <> 'error'),
+k as (select v as variant, s * 10 + l as scenario from range(40) a(v), range(7) b(s), (values (4), (5), (6), (8)) c(l)),
+c as (select k.variant, k.scenario, count(x) as n, sqrt(case when count(x) < 2 then 0.05 else var_samp(x) + 0.05 end) + 1 / sqrt(greatest(1, count(x))) as w from k left join o using (variant, scenario) group by all)
+select variant, scenario, n, round(w, 6) as weight, 2 + floor((50000 - 2 * count(*) over ()) * (w / sum(w) over ()) + 0.5)::bigint as share from c""")
 def curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.curriculum(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.col("value") / 100, 20000), "weight")
+    seen = table(spark, sf_dir, "events").where("event_type <> 'error'").select((F.col("user_id") % 40).alias("variant"), (F.col("user_id") % 7 * 10 + F.length("event_type")).alias("scenario"), (F.col("value") / 100).alias("x"))
+    grid = spark.range(40 * 7 * 4).select((F.col("id") % 40).alias("variant"), (F.floor(F.col("id") / 40) % 7 * 10 + F.get(F.array(*map(F.lit, (4, 5, 6, 8))), F.floor(F.col("id") / 280).cast("int"))).alias("scenario"))
+    return rounded(E.curriculum(seen, grid, ["variant", "scenario"], F.col("x"), 50000, floor=2), "weight")
 
 
 @query("""
@@ -88,9 +93,10 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with c as (select event_type, props, count(*) filter (where value >= 30) as passing, count(*) filter (where value < 30) as failing from events group by all) select * from c where passing = 0 or failing = 0""")
+with c as (select event_type, props || user_id as argument, count(*) filter (where value >= 30) as passing, count(*) filter (where value < 30) as failing from events group by all) select * from c where passing = 0 or failing = 0""")
 def argument_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.argument_diff(table(spark, sf_dir, "events"), "event_type", "props", F.col("value") >= 30)
+    calls = table(spark, sf_dir, "events").withColumn("argument", F.concat("props", F.col("user_id").cast("string")))
+    return E.argument_diff(calls, "event_type", "argument", F.col("value") >= 30)
 
 
 @query("select l_shipmode_, min(v) as min, quantile_disc(v, 0.5) as p50, quantile_disc(v, 0.9) as p90, max(v) as max, round(sum(v), 2) as sum, count(v) as n from (select l_linestatus as l_shipmode_, l_quantity as v from lineitem) group by 1")
@@ -100,19 +106,32 @@ def number_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select o_custkey, avg((o_orderstatus = 'F')::int) as r from orders group by 1)
-select case when r = 0 then 'never' when r = 1 then 'always' when r < 0.5 then 'seldom' else 'often' end as band, count(*) as tasks from r group by 1""")
+with r as (select o_custkey, count(*) as n, count(*) filter (where o_orderstatus <> 'P') as n_known, count(*) filter (where o_orderstatus = 'F') / nullif(count(*) filter (where o_orderstatus <> 'P'), 0)::double as r from orders group by 1)
+select o_custkey, n, n_known, round(r, 6) as pass_rate, case when n_known = 0 then 'unknown' when r <= 0.25 then 'gap' else 'saturated' end as headroom from r""")
 def capability_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.headroom(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") == "F")
+    outcome = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "P", "unknown").otherwise("fail")
+    return rounded(E.headroom(table(spark, sf_dir, "orders"), "o_custkey", outcome, keep=0.25), "pass_rate")
 
 
 @query("""
-with b as (select *, value / 100 as p, (100 - value) / 100 * (event_id % 7) / 7 as t, row_number() over (partition by user_id order by ts desc, event_id desc) <= 20 as late from events),
-g as (select user_id, avg(p) filter (where late) - avg(p) filter (where not late) as pg, avg(t) filter (where late) - avg(t) filter (where not late) as tg, corr(p, t) as r from b group by 1)
-select user_id, round(pg, 6) as proxy_gain, round(tg, 6) as truth_gain, round(r, 6) as r, case when pg > 0 and tg < 0 then case when pg - tg > 0.2 then 'high' else 'medium' end when pg - tg > 0.2 then 'low' else 'none' end as severity from g""")
+with x as (select user_id % 100 as lane, ts, event_id, value / 100 as p, case when event_id % 9 > 0 then (100 - value) / 100 * (event_id % 7) / 7 end as t, case when event_id % 2 = 0 then value / 100 + (event_id % 5) / 5 end as s, case when event_id % 3 = 0 then (event_id % 11) / 11 end as c from events),
+b as (select *, count(*) over (partition by lane) as n, row_number() over (partition by lane order by ts, event_id) as i, count(c) over (partition by lane) as nc, case when c is not null then count(c) over (partition by lane order by ts, event_id) end as ic from x),
+w as (select *, i > n - greatest(1, least(50, n // 2)) as late, ic <= nc // 2 as early from b),
+f as (select lane, p, count(*) filter (where late) as a, count(*) filter (where not late) as b from w group by all),
+k as (select lane, max(gap) as d from (select lane, abs(sum(a) over o / sum(a) over (partition by lane) - sum(b) over o / sum(b) over (partition by lane)) as gap from f window o as (partition by lane order by p)) group by 1),
+g as (select lane, count(*) as n, count(*) filter (where late) as n1, count(*) filter (where not late) as n0, count(t) filter (where late) as m1, count(t) filter (where not late) as m0,
+  avg(p) filter (where late) - avg(p) filter (where not late) as pg, avg(t) filter (where late) - avg(t) filter (where not late) as tg, avg(c) filter (where not early) - avg(c) filter (where early) as cg, count(c) as nc, count(s) as ns, corr(p, s) as r from w group by 1),
+s as (select g.lane, n, case when n >= 4 and least(n1, n0, m1, m0) >= 2 then greatest(0, least(1, 5 * (pg - tg))) end as divergence, case when n >= 4 and least(n1, n0) >= 4 then greatest(0, least(1, d - 0.2)) end as shift,
+  case when n >= 4 and ns >= 4 then greatest(0, least(1, 0.5 - greatest(0, r))) end as disagreement, case when n >= 4 and nc >= 4 then greatest(0, least(1, 5 * (pg - cg))) end as drift from g join k using (lane))
+select lane, n, round(divergence, 6) as divergence, round(shift, 6) as shift, round(disagreement, 6) as disagreement, round(drift, 6) as drift,
+  case when greatest(divergence, shift, disagreement, drift) is null then 'insufficient_evidence' when greatest(divergence, shift, disagreement, drift) >= 0.6 then 'gaming' when greatest(divergence, shift, disagreement, drift) >= 0.3 then 'suspect' else 'clean' end as verdict from s""")
 def reward_hacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumns({"p": F.col("value") / 100, "t": (100 - F.col("value")) / 100 * (F.col("event_id") % 7) / 7})
-    return rounded(E.reward_hacking(rows, "user_id", ["ts", "event_id"], "p", "t"), "proxy_gain", "truth_gain", "r")
+    i, v = F.col("event_id"), F.col("value")
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 100).alias("lane"), "ts", "event_id", (v / 100).alias("p"), F.when(i % 9 > 0, (100 - v) / 100 * (i % 7) / 7).alias("t"),
+        F.when(i % 2 == 0, v / 100 + (i % 5) / 5).alias("s"), F.when(i % 3 == 0, (i % 11) / 11).alias("c"),
+    )
+    return rounded(E.reward_hacking(rows, "lane", ["ts", "event_id"], "p", "t", "s", "c"), "divergence", "shift", "disagreement", "drift")
 
 
 @query("""
@@ -126,8 +145,10 @@ def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select count(*) as n, round(count(*) filter (where o_orderpriority <> '5-LOW' and o_orderstatus = 'F')::double / count(*) filter (where o_orderpriority <> '5-LOW'), 6) as pass_rate, round(avg(o_totalprice), 4) as mean_cost,
- round(quantile_cont(o_totalprice, 0.95), 4) as p95_wall, count(*) filter (where o_orderpriority = '5-LOW') as gated, 'low_pass_rate,gated_runs' as issues, 'fail' as verdict from orders""")
+with r as (select count(*) as n, count(*) filter (where o_orderpriority <> '5-LOW' and o_orderstatus = 'F')::double / count(*) filter (where o_orderpriority <> '5-LOW') as pass_rate, avg(o_totalprice) as mean_cost,
+ quantile_cont(o_totalprice, 0.95) as p95_wall, count(*) filter (where o_orderpriority = '5-LOW') as gated from orders),
+i as (select *, list_filter([case when n < 10 then 'too_few_runs' end, case when pass_rate < 0.9 then 'low_pass_rate' end], lambda x: x is not null) as c, list_filter([case when mean_cost > 1e9 then 'cost' end, case when p95_wall > 1e9 then 'slow' end, case when gated > 0 then 'gated_runs' end], lambda x: x is not null) as o from r)
+select n, round(pass_rate, 6) as pass_rate, round(mean_cost, 4) as mean_cost, round(p95_wall, 4) as p95_wall, gated, array_to_string(c || o, ',') as issues, case when len(c) > 0 then 'fail' when len(o) > 0 then 'warn' else 'pass' end as verdict from i""")
 def release_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = {"runs": 10, "pass_rate": 0.9, "cost": 1e9, "wall": 1e9}
     out = E.release_confidence(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice"), F.col("o_totalprice"), limits)

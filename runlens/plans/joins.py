@@ -21,13 +21,13 @@ def pair_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with y as (select l_suppkey, l_returnflag, year(l_shipdate) as y, avg(l_quantity) as s from lineitem where l_quantity > 40 group by all),
+with y as (select l_partkey, l_returnflag, year(l_shipdate) as y, avg(l_quantity) as s from lineitem group by all),
 a as (select * from y where y = 1995), b as (select * from y where y = 1996)
-select l_suppkey, l_returnflag, round(a.s, 6) as before, round(b.s, 6) as after, case when a.s is null then 'added' when b.s is null then 'removed' else 'matched' end as change, round(b.s - a.s, 6) as delta
-from a full join b using (l_suppkey, l_returnflag)""")
+select l_partkey, l_returnflag, round(a.s, 6) as before, round(b.s, 6) as after, case when a.s is null then 'added' when b.s is null then 'removed' else 'matched' end as change, round(b.s - a.s, 6) as delta
+from a full join b using (l_partkey, l_returnflag)""")
 def generation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 40").withColumn("y", F.year("l_shipdate"))
-    key = ["l_suppkey", "l_returnflag"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate"))
+    key = ["l_partkey", "l_returnflag"]
     means = rows.where("y in (1995, 1996)").groupBy(*key, "y").agg(F.avg("l_quantity").alias("s"))
     return rounded(J.generation_diff(means.where("y = 1995"), means.where("y = 1996"), key, "s"), "before", "after", "delta")
 
@@ -144,9 +144,11 @@ def latest_run_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with c as (select conv_id, turn, split_part(text, ' ', 1) as result from conversations where role = 'user'), m as (select conv_id, turn, text from conversations where role = 'assistant')
-select conv_id, count(*) as calls, count(*) filter (where not exists (select 1 from m where m.conv_id = c.conv_id and m.turn > c.turn and contains(m.text, c.result))) as wasted from c group by 1""")
+with c as (select conv_id, turn, length(text) % 5 = 0 as bad, split_part(text, ' ', 1) as result from conversations where role = 'user'), m as (select conv_id, turn, text from conversations where role = 'assistant'),
+w as (select *, bad or (result <> '' and not exists (select 1 from m where m.conv_id = c.conv_id and m.turn > c.turn and contains(m.text, left(c.result, 120)))) as wasted from c)
+select conv_id, count(w.turn) as calls, count(*) filter (where wasted) as wasted, round(coalesce(count(*) filter (where wasted) / nullif(count(w.turn), 0)::double, 0), 6) as waste_rate from (select distinct conv_id from conversations) left join w using (conv_id) group by 1""")
 def tool_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    calls = turns.where("role = 'user'").select("conv_id", "turn", F.split_part("text", F.lit(" "), F.lit(1)).alias("result"))
-    return J.tool_waste(calls, turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("at"), "text"), "conv_id", "turn", "at", "result", "text")
+    calls = turns.where("role = 'user'").select("conv_id", "turn", (F.length("text") % 5 == 0).alias("bad"), F.split_part("text", F.lit(" "), F.lit(1)).alias("result"))
+    said = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("at"), "text")
+    return rounded(J.tool_waste(turns, calls, said, "conv_id", "turn", "at", F.col("bad"), "result", "text"), "waste_rate")

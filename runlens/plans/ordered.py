@@ -18,13 +18,19 @@ def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.streaks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "view"))
 
 
-@query("""
-with n as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events),
-g as (select *, coalesce(lag(ts) over w < ts - interval 12 hours or n - lag(n) over w - 1 > 5, true)::int as new from n window w as (partition by user_id, event_type order by ts, event_id)),
-e as (select *, sum(new) over (partition by user_id, event_type order by ts, event_id) as e from g)
-select user_id, event_type, min(ts) as first, max(ts) as last, count(*) as calls from e group by user_id, event_type, e having count(*) >= 3""")
+_HALF_DAY = 43_200_000
+
+
+@query(f"""
+with c as (select user_id, event_type, event_id, epoch_us(ts) // 1000 as s, epoch_us(ts) // 1000 + round(value * 100000)::bigint as e from events),
+n as (select *, row_number() over (partition by user_id order by s, event_id) as n from c),
+g as (select *, coalesce(s - lag(s) over w > {_HALF_DAY} or n - lag(n) over w - 1 > 1 or not coalesce(lag(e) over w <= s, false), true)::int as new from n window w as (partition by user_id, event_type order by s, event_id)),
+p as (select *, sum(new) over (partition by user_id, event_type order by s, event_id) as p from g),
+d as (select user_id, event_type, p, s, min(s) over w as first, count(*) over w as calls from p window w as (partition by user_id, event_type, p order by s range between {_HALF_DAY} preceding and current row))
+select user_id, event_type, first, s as last, calls from d where calls >= 2 qualify row_number() over (partition by user_id, event_type, p order by calls desc, s, first) = 1""")
 def stuck_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.stuck_loops(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", ["event_type"], gap="12 hours")
+    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    return O.stuck_loops(table(spark, sf_dir, "events"), ["user_id"], start, start + F.round(F.col("value") * 100000).cast("long"), "event_id", ["event_type"], window_ms=_HALF_DAY, least=2, between=1)
 
 
 _SPLIT = """with b as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as b from events),
@@ -48,9 +54,12 @@ def chi2_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with t as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as b, lag(value) over (partition by user_id order by ts, event_id) as p from events),
-g as (select user_id, count(value) as n, avg(value) as mean, stddev_pop(value) as sd, min(case when b < 10 then sign(value - p) end) as lo, max(case when b < 10 then sign(value - p) end) as hi from t where b <= 10 group by 1)
-select user_id, n, round(mean, 6) as mean, round(sd / nullif(abs(mean), 0), 6) as cv, case when sd / nullif(abs(mean), 0) <= 0.05 then 'stabilized' when lo = hi and lo <> 0 and n > 2 then 'drifting' else 'noisy' end as verdict from g""")
+with b as (select user_id, value as v, row_number() over (partition by user_id order by ts desc, event_id desc) as b from events),
+s as (select *, sign(v - lead(v) over (partition by user_id order by b)) as d from b), d as (select *, first_value(d) over (partition by user_id order by b) as way from s),
+g as (select user_id, count(*) as n, avg(v) filter (where b <= 5) as mean, stddev_pop(v) filter (where b <= 5) as sd, min(b) filter (where d is null or d = 0 or d <> way) as stop, max(way) as way from d group by 1),
+c as (select user_id, n, n >= 3 as known, mean, sd / case when abs(mean) > 1e-9 then abs(mean) else 1 end as cv, ((stop - 1) * coalesce(way, 0))::bigint as run from g)
+select user_id, n, case when known then round(mean, 6) else 0 end as mean, case when known then round(cv, 6) else 0 end as cv, case when known then run else 0 end as tail_run, known and n >= 5 and cv <= 0.05 as stable,
+  case when not known then 'insufficient-data' when n >= 5 and cv <= 0.05 then 'stabilized' when run >= 3 then 'drifting-up' when run <= -3 then 'drifting-down' else 'noisy' end as state from c""")
 def series_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.series_convergence(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value"), "mean", "cv")
 
@@ -148,7 +157,7 @@ def step_reward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with recursive n as (select conv_id, turn, case when turn = 0 then null else turn // 2 end as p from conversations where turn < 64),
+with recursive n as (select conv_id, turn, case when turn = 0 then null else turn // 2 end as p from conversations),
 t as (select conv_id, turn, 0 as depth, lpad(turn::varchar, 10, '0') as path from n where p is null
   union all select n.conv_id, n.turn, t.depth + 1, t.path || '/' || lpad(n.turn::varchar, 10, '0') from t join n on n.conv_id = t.conv_id and n.p = t.turn and n.turn <> t.turn)
 select conv_id, turn, depth, (row_number() over (partition by conv_id order by path) - 1)::int as index from t""")

@@ -15,13 +15,13 @@ from .registry import query
 
 
 @query("""
-select l_suppkey, count(*) as n, round(coalesce(corr(l_quantity, l_discount), 0), 6) as r, 1.0::double as r_constant, 0.0::double as r_half from lineitem group by 1""")
+with x as (select l_orderkey, case when l_orderkey % 5 = 0 then 1 else l_quantity end as a, case when l_orderkey % 7 = 0 then 2 else l_discount end as b from lineitem),
+g as (select l_orderkey, count(*) as n, var_pop(a) as va, var_pop(b) as vb, avg(a * b) - avg(a) * avg(b) as ab from x group by 1)
+select l_orderkey, n, round(case when n < 2 then 'nan'::double when va = 0 and vb = 0 then 1 when va = 0 or vb = 0 then 0 else ab / sqrt(va * vb) end, 5) as r from g""")
 def pearson_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d, one = F.col("l_quantity"), F.col("l_discount"), F.lit(1.0)
-    out = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("n"), moments.pearson(q, d).alias("r"), moments.pearson(one, one).alias("r_constant"), moments.pearson(q, one).alias("r_half")
-    )
-    return rounded(out, "r")
+    key = F.col("l_orderkey")
+    a, b = F.when(key % 5 == 0, 1.0).otherwise(F.col("l_quantity")), F.when(key % 7 == 0, 2.0).otherwise(F.col("l_discount"))
+    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), moments.pearson(a, b).alias("r")), "r", places=5)
 
 
 @query("""
@@ -124,9 +124,15 @@ def _mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mcnemar(pairs.withColumn("dim", F.lit("all")), "dim", F.col("before") == "F", F.col("after") == "F")
 
 
-@query()
+@query("""
+with n as (select *, row_number() over (partition by o_orderpriority, o_custkey order by o_orderdate, o_orderkey) as rep from orders),
+p as (select a.o_custkey % 20 as dim, a.o_orderstatus = 'F' as x, b.o_orderstatus = 'F' as y from n a join n b using (o_custkey, rep) where a.o_orderpriority = '1-URGENT' and b.o_orderpriority = '5-LOW'),
+c as (select dim, count(*) filter (where x and not y) as b, count(*) filter (where not x and y) as c from p group by 1)
+select dim, b, c, round(case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) end, 6) as p from c""")
 def mcnemar_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mcnemar(spark, sf_dir)
+    runs = table(spark, sf_dir, "orders")
+    pairs = J.pair_arms(runs, "o_orderpriority", ("1-URGENT", "5-LOW"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus").where("side = 'both'")
+    return rounded(S.mcnemar(pairs.withColumn("dim", F.col("o_custkey") % 20), "dim", F.col("before") == "F", F.col("after") == "F").select("dim", "b", "c", "p"), "p")
 
 
 @query()
@@ -157,14 +163,28 @@ def bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bradley_terry(J.pairwise_wins(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", F.col("o_totalprice"), 1000.0))
 
 
-@query()
+@query("""
+with recursive x as (select user_id, least(value / 100, 1) as x, row_number() over (partition by user_id order by ts, event_id) as i from events),
+e as (select distinct user_id, 0::bigint as n, 1.0::double as w, 0.0::double as t, 0.0::double as q, null::bigint as d from events
+  union all select user_id, n, w, t, q, coalesce(d, case when w >= 20 then n end) from (
+    select e.user_id, n + 1 as n, w * (1 + greatest(0, least(0.5, ((t + 0.5) / (n + 1) - 0.5) / ((q + 0.25) / (n + 1) + ((t + 0.5) / (n + 1) - 0.5) ** 2))) * (x - 0.5)) as w, t + x as t, q + (x - (t + x + 0.5) / (n + 2)) ** 2 as q, d from e join x on x.user_id = e.user_id and x.i = e.n + 1))
+select user_id, n, round(w, 6) as wealth, d as decided_at from e qualify row_number() over (partition by user_id order by n desc) = 1""")
 def eprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.eprocess(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") / 100)
+    return rounded(S.eprocess(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.least(F.col("value") / 100, F.lit(1.0))), "wealth")
 
 
-@query()
+@query("""
+with recursive o as (select o_custkey, o_orderkey, left(o_orderpriority, 1)::int as b, o_totalprice as y, lag(left(o_orderpriority, 1)::int) over w as a, lag(o_totalprice) over w as x from orders window w as (partition by o_custkey order by o_orderkey)),
+m as (select o_custkey, a, b, case when x > y then 1.0 when x = y then 0.5 else 0.0 end::double as s, row_number() over (partition by o_custkey order by o_orderkey) as i from o where a <> b),
+r as (select distinct o_custkey, 0::bigint as n, [1000.0, 1000, 1000, 1000, 1000]::double[] as v from m
+  union all select o_custkey, n, list_transform([1, 2, 3, 4, 5], lambda k: case when k = a then v[k] + d when k = b then v[k] - d else v[k] end) from (
+    select r.o_custkey, n + 1 as n, v, a, b, 32 * (s - 1 / (1 + 10 ** ((v[b] - v[a]) / 400))) as d from r join m on m.o_custkey = r.o_custkey and m.i = r.n + 1)),
+z as (select o_custkey, v from r qualify row_number() over (partition by o_custkey order by n desc) = 1)
+select o_custkey, k::varchar as player, round(v[k], 4) as rating from z, (values (1), (2), (3), (4), (5)) p(k) where exists (select 1 from m where m.o_custkey = z.o_custkey and (m.a = k or m.b = k))""")
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "orders")
-    a, b = turns.where("o_orderpriority < '3'"), turns.where("o_orderpriority >= '3'")
-    matches = a.select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("a"), F.col("o_totalprice").alias("x")).join(b.select("o_custkey", F.col("o_orderkey").alias("k2"), F.col("o_orderpriority").alias("b"), F.col("o_totalprice").alias("y")), "o_custkey")
-    return S.elo(matches, "o_custkey", ["o_orderkey", "k2"], "a", "b", F.when(F.col("x") > F.col("y"), 1.0).otherwise(0.0))
+    from pyspark.sql import Window as W
+
+    w, rank = W.partitionBy("o_custkey").orderBy("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    turns = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", rank.alias("b"), F.col("o_totalprice").alias("y"), F.lag(rank).over(w).alias("a"), F.lag("o_totalprice").over(w).alias("x"))
+    result = F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") == F.col("y"), 0.5).otherwise(0.0)
+    return rounded(S.elo(turns.where("a <> b"), "o_custkey", ["o_orderkey"], "a", "b", result), "rating", places=4)

@@ -17,14 +17,14 @@ _Q = {k: v.replace("'", "''") for k, v in T.REDACTIONS.items()}
 def _redaction_sql() -> str:
     steps, prior = [], "select doc_id, text as t0 from documents"
     for i, (k, p) in enumerate(_Q.items()):
-        steps.append(f"r{i} as (select *, len(regexp_extract_all(t{i}, '{p}'))::int as {k}, regexp_replace(t{i}, '{p}', '[{k}]', 'g') as t{i + 1} from {f'r{i - 1}' if i else f'({prior})'})")
-    return "with " + ",\n".join(steps) + f" select doc_id, {', '.join(_Q)} from r{len(_Q) - 1}"
+        steps.append(f"r{i} as (select *, len(regexp_extract_all(t{i}, '{p}'))::int as \"{k}\", regexp_replace(t{i}, '{p}', '[redacted:{k}]', 'g') as t{i + 1} from {f'r{i - 1}' if i else f'({prior})'})")
+    named = ", ".join(f'"{k}"' for k in _Q)
+    return "with " + ",\n".join(steps) + f" select doc_id, {named}, sha256(t{len(_Q)}) as said from r{len(_Q) - 1}"
 
 
 @query(_redaction_sql())
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts = T.redact(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in counts.items()))
+    return T.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "said").drop("text").withColumn("said", F.sha2("said", 256))
 
 
 _HITS = " - ".join(
@@ -52,21 +52,31 @@ def domain_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select page_id, len(regexp_extract_all(html, '(?i)<(?:link|script|img)\\b[^>]*?\\b(?:href|src)\\s*=\\s*["'']([^"'']+)["'']'))::int as assets, regexp_matches(html, '(?i)<p(?:\\s[^>]*)?[^>]*>') as has_p from pages""")
+with a as (select page_id, html, url, regexp_extract_all(html, '(?i)<link\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["''][^>]*>', 1) || regexp_extract_all(html, '(?i)<script\\b[^>]*\\bsrc\\s*=\\s*["'']([^"'']+)["'']', 1) as u from pages),
+r as (select *, list_transform(u, lambda x: case when regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') then x when starts_with(x, '//') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || x when starts_with(x, '/') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || x else regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || x end) as w from a)
+select page_id, len(list_distinct(w))::int as assets, array_to_string(list_sort(list_distinct(w)), ' ') as urls, regexp_matches(html, '(?i)<p(?:\\s[^>]*)?[^>]*>') as has_p from r""")
 def html_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.size(T.asset_urls(F.col("html"))).alias("assets"), T.has_element(F.col("html"), "p").alias("has_p"))
+    found = table(spark, sf_dir, "pages").withColumn("found", T.asset_urls(F.col("html"), F.col("url")))
+    return found.select("page_id", F.size("found").alias("assets"), F.array_join(F.array_sort("found"), " ").alias("urls"), T.has_element(F.col("html"), "p").alias("has_p"))
 
 
 @query("""
-with s as (select event_id, trim(regexp_replace(regexp_replace(props || ' after ' || round(value)::int || 'ms', '[0-9]+(\\.[0-9]+)?(ms|s|kb|mb|gb|%)?', '#\\2', 'g'), '\\s+', ' ', 'g')) as sig from events)
-select sig, count(*) as n, min(event_id) as first from s group by 1""")
+with m as (select event_id, event_type, case when event_id % 11 > 0 then event_type || ' at /srv/app-' || event_id % 3 || '/run.py after ' || round(value)::int || case event_id % 4 when 0 then 'ms' when 1 then 'm' when 2 then ' retries' else 'h' end else ' ' end as said from events),
+s as (select event_id, case when trim(said) = '' then '(' || event_type || ' — no message)' else trim(said) end as base from m),
+r as (select event_id, trim(regexp_replace(regexp_replace(regexp_replace(base, '(?:/[A-Za-z0-9_.@-]+){2,}', '<path>', 'g'), '(?i)\\b[0-9]+(?:\\.[0-9]+)?(ms|s|m|h|kb|mb|gb)?\\b', '#\\1', 'g'), '\\s+', ' ', 'g')) as sig from s)
+select sig, count(*) as n, min(event_id) as first from r group by 1""")
 def error_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.col("props"), F.lit(" after "), F.round("value").cast("int").cast("string"), F.lit("ms"))
-    return table(spark, sf_dir, "events").groupBy(T.error_signature(said).alias("sig")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    i, kind = F.col("event_id"), F.col("event_type")
+    unit = F.when(i % 4 == 0, "ms").when(i % 4 == 1, "m").when(i % 4 == 2, " retries").otherwise("h")
+    said = F.concat(kind, F.lit(" at /srv/app-"), (i % 3).cast("string"), F.lit("/run.py after "), F.round("value").cast("int").cast("string"), unit)
+    sig = T.error_signature(F.when(i % 11 > 0, said).otherwise(" "), kind)
+    return table(spark, sf_dir, "events").groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
 @query("""
-select doc_id, case when strlen(text) > 400 then substr(text, 1, 100) || '...[truncated]' else text end as cut, ceil(length(text) / 4.0)::bigint as tokens, substr(sha256(text), 1, 32) as wire from documents""")
+with d as (select doc_id, text, strlen(text) as b, chr(10) || '[truncated: original ' || strlen(text) || ' bytes]' as mark from documents),
+c as (select *, 400 - strlen(mark) as room, floor(length(text) * (400 - strlen(mark)) / b)::int as share from d)
+select doc_id, case when b > 400 then left(text, list_max(list_filter(range(0, share + 1), lambda x: strlen(left(text, x)) <= room))) || mark else text end as cut, ceil(length(text) / 4.0)::bigint as tokens, substr(sha256(text), 1, 32) as wire from c""")
 def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.scores import estimate_tokens
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import distributions as D
 from runlens.functions import moments, scores, text
 from runlens.operators import aggregates as A
+from runlens.operators import evaluation as E
 from runlens.operators import joins as J
 from runlens.operators import ordered as O
 from runlens.operators import statistics as S
@@ -136,6 +137,70 @@ def test_wealth_decides_for_a_clear_winner_only():
     assert good.decided and even.decided is None and good.n == 200
 
 
+def test_wealth_of_a_hand_computed_series():
+    w = S.Wealth()
+    assert w.add(1.0) == 1.0 and w.squares == pytest.approx((1 - 0.75) ** 2)
+    bet = min(0.5, 0.25 / ((0.25 + 0.0625) / 2 + 0.0625))
+    assert w.add(1.0) == pytest.approx(1 + bet * 0.5)
+    with pytest.raises(ValueError):
+        w.add(1.5)
+
+
+def test_series_states(spark):
+    series = {"flat": [0.5] * 5, "up": [0.1, 0.5, 0.2, 0.3, 0.4, 0.9], "down": [0.9, 0.7, 0.5, 0.2], "noisy": [0.1, 0.9, 0.2, 0.8, 0.3], "few": [0.1, 0.2], "zero": [0.0, 0.0, 0.0, 0.0, 0.0]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "l string, i int, v double")
+    got = {r.l: (r.state, r.tail_run) for r in O.series_convergence(df, "l", ["i"], "v").collect()}
+    assert got == {"flat": ("stabilized", 0), "up": ("drifting-up", 3), "down": ("drifting-down", -3), "noisy": ("noisy", -1), "few": ("insufficient-data", 0), "zero": ("stabilized", 0)}
+
+
+def test_stuck_loops_take_the_densest_stretch_of_serial_calls(spark):
+    calls = [("r", "t", "x", i, s, e) for i, (s, e) in enumerate([(0, 1), (30_000, 31_000), (60_000, 61_000), (110_000, 111_000), (115_000, 116_000), (119_000, 119_500), (130_000, 131_000)])]
+    calls += [("r", "u", "x", 20 + i, s, e) for i, (s, e) in enumerate([(0, 50), (10, 60), (20, 70)])]  # overlapping
+    calls += [("r", "v", k, 30 + i, i * 10, i * 10 + 5) for i, k in enumerate("ababab")] + [("r", "w", "x", 40 + i, i, None) for i in range(5)]
+    df = spark.createDataFrame(calls, "run string, track string, tool string, o int, s long, e long")
+    find = lambda **k: sorted((r.track, r.tool, r["first"], r["last"], r.calls) for r in O.stuck_loops(df, ["run", "track"], F.col("s"), F.col("e"), "o", ["tool"], **k).collect())
+    assert find() == [("t", "x", 110_000, 130_000, 4)] or find() == [("t", "x", 60_000, 119_000, 4)]
+    assert find(between=1)[-2:] == [("v", "a", 0, 40, 3), ("v", "b", 10, 50, 3)]
+
+
+def test_waste_of_failed_unused_and_empty_results(spark):
+    runs = spark.createDataFrame([(1,), (2,)], "run int")
+    calls = spark.createDataFrame([(1, 1, False, "the whole answer"), (1, 2, True, "the whole answer"), (1, 3, False, ""), (1, 4, False, None), (1, 5, False, "ab"), (1, 9, False, "the whole answer")], "run int, at int, bad boolean, result string")
+    said = spark.createDataFrame([(1, 6, "so the whole answer is: ab"), (2, 7, "ab")], "run int, time int, text string")
+    got = sorted(rows(J.tool_waste(runs, calls, said, "run", "at", "time", F.col("bad"), "result", "text")))
+    assert got == [(1, 6, 2, pytest.approx(2 / 6)), (2, 0, 0, 0.0)]
+
+
+def test_headroom_and_tight_budgets(spark):
+    df = spark.createDataFrame([("a", "pass"), ("a", "unknown"), ("b", "fail"), ("c", "unknown")], "t string, o string")
+    got = {r.t: (r.n, r.n_known, r.headroom) for r in E.headroom(df, "t", F.col("o")).collect()}
+    assert got == {"a": (2, 1, "saturated"), "b": (1, 1, "gap"), "c": (1, 0, "unknown")}
+    seen = spark.createDataFrame([("x", 0.0), ("x", 1.0), ("y", 0.3)], "c string, s double")
+    cells = spark.createDataFrame([("x",), ("y",), ("z",)], "c string")
+    share = lambda budget: {r.c: (r.n, r.share) for r in E.curriculum(seen, cells, ["c"], F.col("s"), budget).collect()}
+    assert share(2) == {"x": (2, 1), "y": (1, 1), "z": (0, 1)}
+    w = {"x": math.sqrt(0.55) + 1 / math.sqrt(2), "y": math.sqrt(0.05) + 1, "z": math.sqrt(0.05) + 1}
+    assert share(103) == {k: (n, 1 + math.floor(100 * w[k] / sum(w.values()) + 0.5)) for k, n in (("x", 2), ("y", 1), ("z", 0))}
+
+
+def test_reward_hacking_verdicts(spark):
+    up = [("a", i, 0.1 + 0.04 * i, 0.5) for i in range(20)] + [("b", i, 0.5, 0.5) for i in range(20)] + [("c", i, 0.5, 0.5) for i in range(3)]
+    df = spark.createDataFrame(up, "l string, i int, p double, t double")
+    got = {r.l: (r.n, r.verdict, r.divergence) for r in E.reward_hacking(df, "l", ["i"], "p", "t").collect()}
+    assert got == {"a": (20, "gaming", 1.0), "b": (20, "clean", 0.0), "c": (3, "insufficient_evidence", None)}
+
+
+def test_truncation_fills_the_budget(spark):
+    for said in ("a" * 500, "é" * 300, "aé\U0001f600" * 90, "short"):
+        out = one(spark, x=text.truncate(F.lit(said), 200)).x
+        size = len(said.encode())
+        if size <= 200:
+            assert out == said
+        else:
+            note = f"\n[truncated: original {size} bytes]"
+            assert out.endswith(note) and said.startswith(out.removesuffix(note)) and 200 - 8 <= len(out.encode()) <= 200
+
+
 def test_leaks_of_short_long_and_empty_canaries(spark):
     docs = spark.createDataFrame([(1, "say the very secret sentence of thirty letters aloud"), (2, "xx ab yy"), (3, None), (4, "")], "d int, t string")
     canaries = spark.createDataFrame([(1, "the very secret sentence of thirty letters"), (2, "ab"), (3, ""), (4, None)], "i int, c string")
@@ -145,9 +210,12 @@ def test_leaks_of_short_long_and_empty_canaries(spark):
 def test_signatures_and_redaction(spark):
     said = F.lit("at /usr/lib/x.py took 12ms  or 1.5gb for 550e8400-e29b-41d4-a716-446655440000")
     assert one(spark, x=text.error_signature(said)).x == "at <path> took #ms or #gb for <id>"
-    new, counts = text.redact(F.lit("a@b.co and a@b.co from 1.2.3.4"))
-    got = one(spark, x=new, **counts)
-    assert got.x == "[email] and [email] from [ip]" and (got.email, got.ip, got.phone) == (2, 1, 0)
+    blank = one(spark, a=text.error_signature(F.lit(None).cast("string"), F.lit("fetch")), b=text.error_signature(F.lit(" ")), c=text.error_signature(F.lit("5m or 2h or 7x")))
+    assert tuple(blank) == ("(fetch — no message)", "(error — no message)", "#m or #h or 7x")
+    rows_in = spark.createDataFrame([("a@b.co and A@B.co from 1.2.3.4",), ("ssn 123-45-6789, key sk-abcdefghijkl, Bearer abcdefghij.klm",), ("call 555-123-4567",), (None,)], "t string")
+    got = text.redact(rows_in, "t", "x").collect()
+    assert got[0].x == "[redacted:email] and [redacted:email] from [redacted:ipv4]" and (got[0].email, got[0].ipv4, got[0].ssn) == (2, 1, 0)
+    assert got[1].x == "ssn [redacted:ssn], key [redacted:sk-key], [redacted:bearer]" and got[2].x == "call [redacted:phone-us]" and got[3].x is None
 
 
 def test_log_functions(spark):
