@@ -19,7 +19,7 @@ TREES = 5
 LEAF = 384
 #: Vectors that one task compares with each other, or with as many others.
 BLOCK = 1024
-#: Half the width of the band around a split whose vectors go both ways, for unit vectors.
+#: Half the width of the band around a split whose vectors go both ways, for unit vectors of 64 dimensions; projections shrink with the root of the dimension.
 SPILL = 0.02
 #: The splits are fitted on at most so many vectors, chosen by hash of the id; every vector is indexed.
 SAMPLE = 16_384
@@ -29,6 +29,10 @@ OWN_MEDIANS = 12
 TIGHT = 0.5
 
 
+def spill(dim: int) -> float:
+    return SPILL * math.sqrt(64 / dim)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision, by their largest component first."""
     x = x.astype(np.float64)
@@ -56,7 +60,7 @@ class Tree:
             for rows in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
                 n, p = int(node[rows[0]]), shown[rows, level]
                 split = float(np.median(p)) if len(rows) >= 16 else float(level_medians[level])
-                whole = len(rows) >= 16 and (np.abs(p - split) < SPILL).mean() > TIGHT
+                whole = len(rows) >= 16 and (np.abs(p - split) < spill(x.shape[1])).mean() > TIGHT
                 if n >= 1 << level and not whole:
                     medians[n] = split
                     node[rows] = 2 * n + (p >= split)
@@ -76,7 +80,7 @@ class Tree:
             done.append((rows[whole], nodes[whole]))
             rows, nodes, split = rows[~whole], nodes[~whole], split[~whole]
             p = shown[rows, level] - split
-            left, right = p < SPILL, p >= -SPILL
+            left, right = p < spill(x.shape[1]), p >= -spill(x.shape[1])
             rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
         done.append((rows, nodes))
         return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
@@ -92,22 +96,22 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & ok & F.exists(v, lambda x: x != 0)
 
 
-def _groups(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Each row's members: ids, unit vectors, parts; and whether only pairs across parts count."""
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Each row's members: ids, unit vectors, numbers of copies, parts; and whether only pairs across parts count."""
     for members, cross in zip(b.column(0), b.column(1), strict=True):
         own = members.values
-        yield np.asarray(own.field(0)), unit(_matrix(own.field(1))), np.asarray(own.field(2)), cross.as_py()
+        yield np.asarray(own.field(0)), unit(_matrix(own.field(1))), np.asarray(own.field(2)), np.asarray(own.field(3)), cross.as_py()
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
-    """(key, vec_id, embedding) -> members, cross: groups of a key, the large ones as all pairs of hashed blocks."""
+    """(key, vec_id, embedding, copies) -> members, cross: groups of a key, the large ones as all pairs of hashed blocks."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     return (
         rows.join(sizes.where("n > 1"), key)
         .withColumn("part", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .groupBy(*key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        .agg(F.collect_list(F.struct("vec_id", "embedding", "part")).alias("members"))
+        .agg(F.collect_list(F.struct("vec_id", "embedding", "copies", "part")).alias("members"))
         .where(F.size("members") > 1)
         .select("members", (F.col("i") != F.col("j")).alias("cross"))
     )
@@ -127,7 +131,7 @@ def _spanning(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for ids, x, part, cross in _groups(b):
+            for ids, x, _, part, cross in _groups(b):
                 near, label = _near(x, part, cross, least), ids.copy()
                 i, j = np.nonzero(near)
                 while True:
@@ -144,13 +148,13 @@ def _spanning(least: float):
 
 
 def _counting(least: float):
-    """How many links each vector has within each group."""
+    """How many links to other vectors each one has within each group; a vector that stands for copies counts as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for ids, x, part, cross in _groups(b):
-                n = _near(x, part, cross, least).sum(axis=1)
+            for ids, x, copies, part, cross in _groups(b):
+                n = _near(x, part, cross, least) @ copies
                 a.append(ids[n > 0])
                 c.append(n[n > 0])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, c)], ["vec_id", "links"])
@@ -161,15 +165,21 @@ def _counting(least: float):
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, embedding, ...) -> vec_id, n_links, component_id, kept, one row for each input row.
 
+    Equal vectors are one node that knows its number of copies, so a large group of them is compared once.
     Candidates come from the leaves of the forest; a pair is linked if its cosine in double precision is
     at least `least`. Leaves only have to connect what belongs together: links are counted afterwards
     among the members of a component, in blocks, so that no pair is written down and none is counted
     twice. Vectors that are null, empty or zero, hold null or non-finite components or have no vec_id
-    link with nothing, nor do vectors of different lengths; component_id is then vec_id. Rows that share
-    a vec_id are one node, and each shows the links of all of them.
+    link with nothing, nor do vectors of different lengths; component_id is then vec_id. Equal rows count
+    once. Rows with one vec_id but different vectors each show the smallest of their components and the
+    sum of their links.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = written(rows.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding"))).withColumn("dim", F.size("embedding")), "vectors")
+    equal = [F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("h2"), F.size("embedding").alias("dim")]
+    ok = F.col("vec_id").isNotNull() & _valid(F.col("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok).select("vec_id", "embedding", *equal)
+    own_ids = written(rows.groupBy("h", "h2", "dim", "vec_id").agg(F.first("embedding").alias("embedding")), "ids")
+    nodes = own_ids.groupBy("h", "h2", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    good = written(nodes.select("h", "h2", F.col("rep").alias("vec_id"), "embedding", "dim", "copies"), "vectors")
     n = good.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
     some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
@@ -190,23 +200,28 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                     for s in range(0, len(at), 8192):
                         k, out = at[s : s + 8192], own.take(pa.array(at[s : s + 8192]))
                         yield pa.RecordBatch.from_arrays(
-                            [out.column(0), out.column(1), pa.array(np.full(len(k), dim), pa.int32()), pa.array(np.full(len(k), t), pa.int32()), pa.array(leaf[s : s + 8192])],
-                            ["vec_id", "embedding", "dim", "tree", "leaf"],
+                            [out.column(0), out.column(1), pa.array(np.full(len(k), dim), pa.int32()), out.column(3), pa.array(np.full(len(k), t), pa.int32()), pa.array(leaf[s : s + 8192])],
+                            ["vec_id", "embedding", "dim", "copies", "tree", "leaf"],
                         )
 
     kind = good.schema["embedding"].dataType.simpleString()
-    routed = written(good.mapInArrow(route, f"vec_id long, embedding {kind}, dim int, tree int, leaf long"), "leaves")
+    indexed = good.select("vec_id", "embedding", "dim", "copies")
+    routed = written(indexed.mapInArrow(route, f"vec_id long, embedding {kind}, dim int, copies long, tree int, leaf long"), "leaves")
     key = ["dim", "tree", "leaf"]
     sizes = routed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     edges = _dealt(routed, sizes, key).mapInArrow(_spanning(least), "a long, b long")
     component = connected_components(edges).select(F.col("node").alias("vec_id"), "component")
-    member = written(good.join(component, "vec_id"), "members")
+    component = written(component, "components")
+    member = written(indexed.join(component, "vec_id"), "members")
     sizes = member.groupBy("component", "dim").agg(F.count(F.lit(1)).alias("n"))
     links = _dealt(member, sizes, ["component", "dim"]).mapInArrow(_counting(least), "vec_id long, links long")
     links = links.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    found = component.join(links, "vec_id", "left")
+    nodes = good.join(component, "vec_id", "left").join(links, "vec_id", "left")
+    nodes = nodes.select("h", "h2", "dim", F.coalesce("component", "vec_id").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = own_ids.select("h", "h2", "dim", "vec_id").join(nodes, ["h", "h2", "dim"])
+    several = found.groupBy("vec_id").agg(F.min("component").alias("component"), F.sum("n_links").cast("long").alias("n_links"))
     own = F.coalesce("component", "vec_id")
-    return rows.select("vec_id").join(found, "vec_id", "left").select(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(several, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"),
         F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"),
     )

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import held_out
 
 #: Learning reads at most about this many documents of each language, chosen by hash of the id; with fewer, all.
 SAMPLE_DOCS = 4_000
-#: Words kept for each language, and the longest n-gram behind them.
-WORDS = 30_000
+#: A word that the sample of a language has less often counts as unseen; and the longest n-gram behind words.
+LEAST = 2
 LONGEST = 5
 #: Unseen words whose scores a worker remembers.
 CACHED_WORDS = 200_000
@@ -25,7 +25,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, n: the most frequent words of each language in the bounded sample of documents to learn from."""
+    """lang, word, n: the words of each language, LEAST times or more in the bounded sample of documents to learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     dealt = known.join(F.broadcast(sizes), "lang").where(
@@ -33,8 +33,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     )
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     counts = dealt.select("lang", word).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return counts.withColumn("rank", first).where(F.col("rank") <= WORDS).select("lang", "word", "n")
+    return counts.where(F.col("n") >= LEAST).select("lang", "word", "n")
 
 
 #: Longer words are scored each time they occur.
@@ -43,47 +42,50 @@ CACHED_LENGTH = 40
 SLICE = 4096
 
 
+class Table:
+    """Log frequencies by key, one column for each language."""
+
+    def __init__(self, weights: Iterable[tuple[str, int, float]], langs: int) -> None:
+        self.row: dict[str, int] = {}
+        rows, columns, values = array("q"), array("q"), array("d")
+        for key, column, weight in weights:
+            rows.append(self.row.setdefault(key, len(self.row)))
+            columns.append(column)
+            values.append(weight)
+        counts = np.zeros((len(self.row), langs))
+        np.add.at(counts, (np.array(rows, np.int64), np.array(columns, np.int64)), np.array(values))
+        self.logs = (np.log(counts + 1) - np.log(counts.sum(axis=0) + len(counts) + 1)).astype(np.float32)
+
+
 class Model:
-    """Log frequencies of words and of n-grams (of the kept words, ends marked), one column for each language."""
+    """Log frequencies of words and of n-grams (of the same words, ends marked), one column for each language."""
 
     def __init__(self, counts: list[tuple[str, str, int]]) -> None:
+        counts = sorted(counts)
         self.langs = sorted({r[0] for r in counts})
         column = {x: i for i, x in enumerate(self.langs)}
-        words: dict[str, dict[int, float]] = {}
-        grams: list[dict[str, dict[int, float]]] = [{} for _ in range(LONGEST + 1)]
-        for lang, word, n in counts:
-            c = column[lang]
-            words.setdefault(word, {})[c] = n
-            weight, marked = 1 + math.log(n), f" {word} "
-            for size in range(1, LONGEST + 1):
-                of = grams[size]
-                for i in range(len(marked) - size + 1):
-                    own = of.setdefault(marked[i : i + size], {})
-                    own[c] = own.get(c, 0) + weight
-        self.words, self.grams = self._logs(words), [self._logs(g) for g in grams]
-
-    def _logs(self, counts: dict[str, dict[int, float]]) -> dict[str, np.ndarray]:
-        n = len(self.langs)
-        total = np.zeros(n)
-        for own in counts.values():
-            for c, x in own.items():
-                total[c] += x
-        size = np.log(total + len(counts) + 1)
-        table = np.zeros((len(counts), n), np.float32)
-        for row, own in zip(table, counts.values(), strict=True):
-            for c, x in own.items():
-                row[c] = x
-        return dict(zip(counts, (np.log(table + 1) - size).astype(np.float32), strict=True))
+        self.words = Table(((word, column[lang], n) for lang, word, n in counts), len(self.langs))
+        self.grams = [
+            Table(
+                (
+                    (f" {word} "[i : i + size], column[lang], 1 + math.log(n))
+                    for lang, word, n in counts
+                    for i in range(len(word) + 3 - size)
+                ),
+                len(self.langs),
+            )
+            for size in range(1, LONGEST + 1)
+        ]
 
     def unseen(self, word: str) -> np.ndarray:
         """The mean over the longest n-grams of which any is known; nothing for a word with none."""
         marked = f" {word} "
         for size in range(LONGEST, 0, -1):
-            total, n, last = np.zeros(len(self.langs)), 0, len(marked) - size + 1
+            table, total, n, last = self.grams[size - 1], np.zeros(len(self.langs)), 0, len(marked) - size + 1
             for at in range(0, last, SLICE):
-                found = [x for i in range(at, min(at + SLICE, last)) if (x := self.grams[size].get(marked[i : i + size])) is not None]
+                found = [x for i in range(at, min(at + SLICE, last)) if (x := table.row.get(marked[i : i + size])) is not None]
                 if found:
-                    total += np.sum(found, axis=0, dtype=np.float64)
+                    total += table.logs[found].sum(axis=0, dtype=np.float64)
                     n += len(found)
             if n:
                 return (total / n).astype(np.float32)
@@ -94,13 +96,9 @@ class Scorer:
     """Predictions of one worker."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.row, self.table = model, {}, []
-        for word, x in model.words.items():
-            self.row[word] = len(self.table)
-            self.table.append(x)
-        self.base = len(self.table)
-        self.array = np.array(self.table + [np.zeros(len(model.langs))] * CACHED_WORDS, np.float32)
-        self.known = dict(self.row)
+        self.model, self.known = model, model.words.row
+        self.row, self.base = dict(self.known), len(self.known)
+        self.array = np.concatenate([model.words.logs, np.zeros((CACHED_WORDS, len(model.langs)), np.float32)])
 
     def _add(self, word: str) -> int:
         if len(self.row) >= self.base + CACHED_WORDS:

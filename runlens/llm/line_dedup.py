@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fresh, scratch, small, written
+from .common import fresh, scratch, small, written
 from .components import connected_components, settled
 
 SHINGLE = 9
-LEAST = 0.8
+#: The least Jaccard similarity, in fifths.
+LEAST = 4
 #: MinHash values are the cells of a grid of ROWS x COLUMNS; its columns and its diagonals are the bands, two bands
 #: share one value at most. A pair of Jaccard similarity 0.8 shares a band with probability 0.982, one of 0.9 with 0.9989.
 ROWS, COLUMNS = 3, 4
@@ -39,7 +42,10 @@ def _split(text: str) -> Column:
 
 
 def _norm(line: Column) -> Column:
-    return F.btrim(line, F.lit(_BLANK))
+    """line without white space at its ends; few have other than spaces there, and spaces alone are cheap to trim."""
+    trimmed = F.trim(line)
+    rest = reduce(or_, (test(c) for c in _BLANK[1:] for test in (trimmed.startswith, trimmed.endswith)))
+    return F.when(rest, F.btrim(line, F.lit(_BLANK))).otherwise(trimmed)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -78,51 +84,60 @@ def _shingles(text: Column) -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, ...) whose shingle sets have Jaccard similarity LEAST or more, exactly; 64-bit hashes stand for shingles."""
+    """Those of the pairs (a, b, ...) whose shingle sets have a similarity of at least LEAST, exactly; 64-bit hashes stand for shingles.
+
+    The longer line's set comes first: where even a shorter line without repeats would have too few
+    shingles, its set is not made. Rows are let through by explode(), which unlike a filter is not merged
+    with the columns below it, so each set is made once.
+    """
     sides = [texts.select(F.col("k").alias(x), F.col("norm").alias(f"n{x}")) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-
-    def counted(s: Column) -> Column:
-        n, m = F.size(s["x"]), F.size(s["y"])
-        # sets of n and m shingles have similarity min/max at most
-        common = F.when(F.least(n, m) >= LEAST * F.greatest(n, m), F.size(F.array_intersect(s["x"], s["y"])))
-        return F.struct((n + m).alias("both"), common.alias("common"))
-
-    # the lambdas' variables hold what would else be computed at each use
-    sets = F.array(F.struct(_shingles(F.col("na")).alias("x"), _shingles(F.col("nb")).alias("y")))
-    ok = F.exists(F.transform(sets, counted), lambda c: F.coalesce(c["common"] >= LEAST * (c["both"] - c["common"]), F.lit(False)))
-    return both.where(ok).select(*pairs.columns)
+    columns, longer = pairs.columns, F.octet_length("na") >= F.octet_length("nb")
+    both = both.select(*columns, F.when(longer, F.col("na")).otherwise(F.col("nb")).alias("long"), F.when(longer, F.col("nb")).otherwise(F.col("na")).alias("short"))
+    both = both.select(*columns, "short", _shingles(F.col("long")).alias("x"))
+    most = F.greatest(F.octet_length("short") - (SHINGLE - 1), F.lit(1))  # shingles of the shorter line
+    both = both.select(*columns, "short", "x", F.explode(F.when(5 * most >= LEAST * F.size("x"), F.array(F.lit(True)))).alias("go"))
+    both = both.select(*columns, "x", _shingles(F.col("short")).alias("y"))
+    common = F.size(F.array_intersect("x", "y"))  # c / (n + m - c) >= LEAST / 5
+    alike = F.when((5 + LEAST) * common >= LEAST * (F.size("x") + F.size("y")), F.array(F.lit(True)))
+    return both.select(*columns, F.explode(alike).alias("go")).select(*columns)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
     """(k, norm) -> k, n (shingles), s0, s1, ...: sketches of two sets differ in no more bits than the sets do in shingles."""
     h = texts.select("k", F.explode(_shingles(F.col("norm"))).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))")
-    words = [F.coalesce(F.bit_xor(F.when(F.pmod("h", F.lit(SKETCH)) == j, bit)), F.lit(0).cast("long")).alias(f"s{j}") for j in range(SKETCH)]
+    h = h.select("k", F.pmod("h", F.lit(SKETCH)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))").alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == j, F.col("bit"))), F.lit(0).cast("long")).alias(f"s{j}") for j in range(SKETCH)]
     return h.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
 def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
-    """(band, k) -> (a, b, ga, gb, d): the pairs of a bucket in two components that may be similar.
+    """(band, k) -> (a, b, ga, gb, d): the pairs of a bucket in two components that may be similar, once for each pair.
 
-    Every pair of blocks of a bucket is a group of its own. Sets of n and m shingles with similarity LEAST
-    differ in (n + m)(1 - LEAST) / (1 + LEAST) shingles at most, so the others are not similar for certain.
+    Every pair of blocks of a bucket is a group of its own; lines that share several buckets meet in the
+    first of them. Sets of n and m shingles with similarity s differ in (n + m)(1 - s) / (1 + s) shingles
+    at most, so the others are not similar for certain.
     """
-    of = of.select(F.col("node").alias("k"), "component")
+    of = small(of).select(F.col("node").alias("k"), "component")
     members = written(members.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
-    mixed = written(members.join(sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band"), "mixed")
-    own = written(mixed.select("k").distinct(), "own")
-    sketches = written(_sketches(texts.join(own, "k", "left_semi")), "sketches")
-    dealt = mixed.withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")).join(sketches, "k")
+    mixed = members.join(sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band")
+    # the buckets of a line are as many as its bands at most
+    lines = written(mixed.groupBy("k").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("band", "blocks"))).alias("in")), "mixed")
+    sketches = written(_sketches(texts.join(small(lines).select("k"), "k", "left_semi")), "sketches")
+    words = [f"s{w}" for w in range(SKETCH)]
+    dealt = lines.join(small(sketches), "k").select("k", "g", "n", *words, "in", F.posexplode("in").alias("at", "b"))
+    before = F.transform(F.slice("in", F.lit(1), F.col("at")), lambda x: x["band"]).alias("before")
+    part = F.pmod(F.xxhash64("k", F.lit(1)), F.col("b.blocks")).cast("int").alias("part")
+    dealt = dealt.select("k", "g", "n", *words, before, "b.band", "b.blocks", part)
     sides = []
     own_i, all_i, own_j, all_j = F.col("part"), F.explode(F.sequence(F.lit(0), "part")), F.col("part"), F.explode(F.sequence("part", F.col("blocks") - 1))
     for x, i, j in (("a", own_i, all_j), ("b", all_i, own_j)):
-        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", *(f"s{w}" for w in range(SKETCH)))]
+        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", "before", *words)]
         sides.append(dealt.select("band", i.alias("i"), j.alias("j"), *columns))
-    bits = sum(F.bit_count(F.col(f"s{w}a").bitwiseXOR(F.col(f"s{w}b"))) for w in range(SKETCH))
+    bits = sum(F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words)
     d = F.greatest(bits.cast("long"), F.abs(F.col("na") - F.col("nb")))
-    may = (F.col("ga") != F.col("gb")) & (d <= (F.col("na") + F.col("nb")) * (1 - LEAST) / (1 + LEAST) + 1e-6)
+    may = (F.col("ga") != F.col("gb")) & ((5 + LEAST) * d <= (5 - LEAST) * (F.col("na") + F.col("nb"))) & ~F.arrays_overlap("beforea", "beforeb")
     once = (F.col("x.i") < F.col("x.j")) | (F.col("ka") < F.col("kb"))
     x, y = (side.alias(c) for side, c in zip(sides, "xy", strict=True))
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "i", "j")]
@@ -130,7 +145,7 @@ def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
     turned = F.col("ka") > F.col("kb")
     low, high = (F.struct(F.col(f"k{c}").alias("k"), F.col(f"g{c}").alias("g")) for c in "ab")
     pairs = pairs.select(F.when(turned, high).otherwise(low).alias("p"), F.when(turned, low).otherwise(high).alias("q"), d.alias("d"))
-    return pairs.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"), F.col("p.g").alias("ga"), F.col("q.g").alias("gb"), "d").distinct()
+    return pairs.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"), F.col("p.g").alias("ga"), F.col("q.g").alias("gb"), "d")
 
 
 def components(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -178,14 +193,17 @@ def marked(docs: DataFrame) -> DataFrame:
             return found.groupBy(F.xxhash64("norm").alias("k")).agg(F.first("norm").alias("norm"))
 
         of = components(seen.select("k", F.array(*(f"b{b}" for b in range(len(BANDS)))).alias("bands")), texts_of)
-        named = seen.select(*place, "k").join(small(of).withColumnRenamed("node", "k"), "k", "left").select(*place, F.coalesce("component", "k").alias("g"))
-        named = written(named, "named")
-        drop(seen)
+        of = small(of).withColumnRenamed("node", "k")
+        named = seen.select(*place, "k").join(of, "k", "left").select(*place, F.coalesce("component", "k").alias("g"))
         order = F.struct(F.col("doc_id").isNotNull().alias("known"), *place)
         best = named.groupBy("g").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "best")
-        rows = named.join(small(written(best, "best")), "g", "left")
-        goes = F.when(order != F.col("best"), F.col("pos"))
-        kept.append(written(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(goes)).alias("at")), "marked"))
+        gone = named.join(small(written(best, "best")), "g").where(order != F.col("best"))
+        gone = written(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("pos")).alias("at")), "gone")
+        counts = seen.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_lines")).alias("c")
+        same = F.col("c.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("c.th") == F.col("x.th"))
+        none = F.array().cast("array<int>")
+        rows = counts.join(small(gone).alias("x"), same, "left").select("c.doc_id", "c.th", "n_lines", F.coalesce("at", none).alias("at"))
+        kept.append(written(rows, "marked"))
     return kept[0]
 
 

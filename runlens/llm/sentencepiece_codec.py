@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding; giant documents by a max-plus scan over chunks.
 
-A giant document is cut near fixed places. At each place the true cut may be at any of a few
+A document longer than a chunk is cut near fixed places. At each place the true cut may be at any of a few
 positions, which are the boundary's states. A chunk yields a matrix from its entry states to its exit
 states: the score of the text between them, with its first and last piece. Matrices combine in the
 max-plus semiring, a pair of neighbours adding minus infinity where the model would join the pieces
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import parallel, written
 
-#: Characters of a chunk; documents of over two are giants.
+#: Characters of a chunk; longer documents are encoded and decoded in chunks.
 CHUNK = 16_384
 CACHED_WORDS = 300_000
 _SPACE = "▁"
@@ -94,29 +94,66 @@ class Codec:
             return np.array(self.whole.encode(text), "<u4").tobytes()
         return self.encode_normal(self.normal(text))
 
-    def decode(self, ids: bytes) -> str:
-        return self.whole.decode(np.frombuffer(ids, "<u4").tolist())
+    def decode(self, ids: bytes, first: bool = True) -> str:
+        """The text of a document's ids, or of a later chunk's: only the first loses the space that stands before every text."""
+        return (self.whole if first else self.inner).decode(np.frombuffer(ids, "<u4").tolist())
 
     def states(self, text: str, at: int) -> list[int]:
-        """Positions from `at` on of which one is a cut of every encoding: the next word's start, or each of the
-        next `longest`. None lies within a run of spaces."""
-        for p in range(max(at, 1), min(at + 4 * self.longest, len(text))):
-            if self.by_word and text[p] == _SPACE and text[p - 1] != _SPACE:
-                return [p]
-        if self.by_word and _SPACE * 2 in text[max(0, at - 1) : at + self.longest + 1]:
-            while at < len(text) and (text[at] != _SPACE or text[at - 1] == _SPACE):
-                at += 1
-            return [at]
-        return list(range(at, min(at + self.longest, len(text)))) or [len(text)]
+        """Positions from `at` on of which one is a cut of every encoding: each one to the next word's start, or each
+        of the next `longest`. None lies within a run of spaces."""
+        last = min(at + self.longest, len(text))
+        if self.by_word:
+            for p in range(max(at, 1), min(at + 4 * self.longest, len(text))):
+                if text[p] == _SPACE and text[p - 1] != _SPACE:
+                    return [x for x in range(at, p + 1) if x == p or (x < last and text[x] != _SPACE and text[x - 1] != _SPACE)]
+            if _SPACE * 2 in text[max(0, at - 1) : at + self.longest + 1]:
+                while at < len(text) and (text[at] != _SPACE or text[at - 1] == _SPACE):
+                    at += 1
+                return [at]
+        return list(range(at, last)) or [len(text)]
+
+    def _ends(self, text: str) -> tuple[int, int]:
+        """The first and last piece of the encoding; of words encoded apart only the first and last are looked at."""
+        first = last = text
+        if self.by_word:
+            head, tail = self._word_start(text), self._last_word(text)
+            first, last = text[:head], text[tail:]
+        a, b = np.frombuffer(self.encode_normal(first), "<u4"), np.frombuffer(self.encode_normal(last), "<u4")
+        return int(a[0]), int(b[-1])
+
+    @staticmethod
+    def _word_start(text: str) -> int:
+        """Where the second word with its spaces begins; the end if there is none."""
+        at = 1
+        while at < len(text):
+            at = text.find(_SPACE, at)
+            if at < 0:
+                break
+            if text[at - 1] != _SPACE:
+                return at
+            at += 1
+        return len(text)
+
+    @staticmethod
+    def _last_word(text: str) -> int:
+        """Where the last word with its spaces begins."""
+        at = text.rfind(_SPACE, 0, len(text.rstrip(_SPACE)))
+        if text.endswith(_SPACE) and at >= 0 and text.rstrip(_SPACE):
+            return len(text.rstrip(_SPACE))
+        while at > 0 and text[at - 1] == _SPACE:
+            at -= 1
+        return max(at, 0)
 
     def transfer(self, text: str, entry: list[int], leave: list[int]) -> list[tuple[int, int, float, int, int]]:
         """(entry, exit, score, first piece, last piece) between each pair of states."""
         out = []
         for a in entry:
             for b in leave:
-                if a < b:
+                if a < b and self.unigram:
                     ids = np.frombuffer(self.encode_normal(text[a:b]), "<u4")
-                    out.append((a, b, float(sum(self.scores[i] for i in ids.tolist())) if self.unigram else 0.0, int(ids[0]), int(ids[-1])))
+                    out.append((a, b, float(sum(self.scores[i] for i in ids.tolist())), int(ids[0]), int(ids[-1])))
+                elif a < b:
+                    out.append((a, b, 0.0, *self._ends(text[a:b])))
         return out
 
     def meets(self, left: int, right: int) -> bool:
@@ -158,24 +195,24 @@ def chunk_matrix(c: Codec, text: str, nominal: int) -> tuple[list[int], list[int
     return entry, leave
 
 
-_ENCODED = "row long, doc_id long, part int, ids binary"
-_NAMES = ["row", "doc_id", "part", "ids"]
+_ENCODED = "row long, doc_id long, part int, ids binary, n_parts int"
+_NAMES = ["row", "doc_id", "part", "ids", "n_parts"]
 
 
 def _by_size(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    large = F.coalesce(F.length("text") > 2 * CHUNK, F.lit(False))
+    large = F.coalesce(F.length("text") > CHUNK, F.lit(False))
     return rows.where(~large), rows.where(large)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text, ...) -> row, doc_id, part, ids: each document's ids in parts by ascending `part`.
+    """(doc_id, text, ...) -> row, doc_id, part, ids, n_parts: each document's ids in parts by ascending `part`.
 
     The ids are those of the library's encode(). `row` tells rows with one doc_id apart. A null or empty
-    text gives one part without ids. Documents of up to two chunks have one part; giants go the chunked
-    way, each chunk with its own row and task.
+    text gives one part without ids. Documents of up to one chunk have one part; longer ones go the
+    chunked way, each chunk with its own row and task.
     """
     small, giant = _by_size(docs)
 
@@ -183,7 +220,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         c = codec(model)
         for b in batches:
             ids = [c.encode(t.as_py() or "") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.binary())], _NAMES)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], _NAMES)
 
     return small.mapInArrow(whole, _ENCODED).unionByName(_giants(giant, model))
 
@@ -235,11 +272,13 @@ def _giants(docs: DataFrame, model: str) -> DataFrame:
         parts = sorted(pdf["part"].unique().tolist())
         while len(spans) > 1:  # pairs of neighbours, as a parallel scan would
             spans = [c.combine(*spans[i : i + 2]) if i + 1 < len(spans) else spans[i] for i in range(0, len(spans), 2)]
+        if not spans[0]:  # a boundary without a state on the library's path, which states() rules out
+            raise ValueError(f"no consistent path over {len(parts)} chunks")
         (first, last), (_, _, _, cuts) = max(spans[0].items(), key=lambda x: x[1][0])
         at = [first, *cuts, last]
-        return pd.DataFrame({"row": pdf["row"].iloc[0], "part": parts, "start": at[:-1], "end": at[1:]})
+        return pd.DataFrame({"row": pdf["row"].iloc[0], "part": parts, "start": at[:-1], "end": at[1:], "n_parts": len(parts)})
 
-    cuts = cells.groupBy("row").applyInPandas(trace, "row long, part int, start long, end long")
+    cuts = cells.groupBy("row").applyInPandas(trace, "row long, part int, start long, end long, n_parts int")
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -248,50 +287,56 @@ def _giants(docs: DataFrame, model: str) -> DataFrame:
             for text, base, start, end in zip(b.column(3), b.column(4), b.column(5), b.column(6), strict=True):
                 t, z = text.as_py(), base.as_py()
                 ids.append(c.encode_normal(t[start.as_py() - z : end.as_py() - z]) if c.plain else c.encode(t))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary())], _NAMES)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary()), b.column(7)], _NAMES)
 
-    traced = chunks.join(cuts, ["row", "part"]).select("row", "doc_id", "part", "text", F.col("entry")[0].alias("base"), "start", "end")
+    traced = chunks.join(cuts, ["row", "part"]).select("row", "doc_id", "part", "text", F.col("entry")[0].alias("base"), "start", "end", "n_parts")
     return traced.mapInArrow(backtrace, _ENCODED)
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """The result of encode() -> row, doc_id, ids (whole), text: one row for each document."""
-    whole = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
+def _said(encoded: DataFrame, model: str) -> DataFrame:
+    """The result of encode() with `said`: the text of each part, decoded where the part is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
-            ids = [b"".join(p["ids"] for p in x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())], ["row", "doc_id", "ids", "text"]
-            )
+            said = [c.decode(x.as_py(), first=not p.as_py()) for p, x in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*_NAMES, "said"])
+
+    return encoded.select(*_NAMES).mapInArrow(run, f"{_ENCODED}, said string")
 
-    return whole.select("row", "doc_id", "p").mapInArrow(run, "row long, doc_id long, ids binary, text string")
+
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """The result of encode() -> row, doc_id, ids (whole), text: one row for each document, its parts decoded apart."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "ids", "said"))).alias("p")
+    whole = _said(encoded, model).groupBy("row", "doc_id").agg(parts)
+    return whole.select("row", "doc_id", F.array_join("p.said", "").alias("text"), F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids")).select("row", "doc_id", "ids", "text")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (ids as little-endian 32-bit numbers), decoded_sha256 of the text decoded again.
 
-    One row for each input row. Only the parts of giants are brought together.
+    One row for each input row. Documents of one part are told where they are encoded; only the ids and texts
+    of longer ones, encoded and decoded by chunks, are brought together.
     """
-    small, giant = _by_size(docs)
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"]
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
+    small, giant = _by_size(docs)
 
-    def told(c: Codec, ids: pa.Array, all_ids: list[bytes]) -> pa.RecordBatch:
-        said = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in all_ids]
-        numbers = ([len(x) // 4 for x in all_ids], [zlib.crc32(x) for x in all_ids])
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(said, pa.string())], names)
+    def told(doc_ids: pa.Array, ids: list[bytes], said: list[str]) -> pa.RecordBatch:
+        numbers = ([len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids])
+        hashes = [hashlib.sha256(x.encode()).hexdigest() for x in said]
+        return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(hashes, pa.string())], names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
-            yield told(c, b.column(0), [c.encode(t.as_py() or "") for t in b.column(1)])
+            ids = [c.encode(t.as_py() or "") for t in b.column(1)]
+            yield told(b.column(0), ids, list(map(c.decode, ids)))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
         for b in batches:
-            yield told(c, b.column(0), [b"".join(p["ids"] for p in x.as_py()) for x in b.column(1)])
+            rows = [x.as_py() for x in b.column(1)]
+            yield told(b.column(0), [b"".join(p["ids"] for p in x) for x in rows], ["".join(p["said"] for p in x) for x in rows])
 
-    parts = _giants(giant, model).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
+    parts = _said(_giants(giant, model), model).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids", "said"))).alias("p"))
     return small.select("doc_id", "text").mapInArrow(whole, schema).unionByName(parts.select("doc_id", "p").mapInArrow(gathered, schema))

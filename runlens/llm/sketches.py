@@ -113,10 +113,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     all that the driver sees. Rows without doc_id come first; rows with the same one are ordered by text hash.
     """
     spark = docs.sparkSession
-    parts = parallel(spark)
+    parts = max(parallel(spark), docs.rdd.getNumPartitions())  # as many as the input has splits, or more
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0]
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 
     @F.pandas_udf("int")
@@ -142,7 +142,8 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    contained_edited (how much of the text is in its edited one, estimated), distinct_shingles (estimated).
 
     One row for each input row. A null text counts as empty and has an empty fingerprint; two empty
     fingerprints have likeness 1, an empty and another one 0. The next document is the one with the next
@@ -150,17 +151,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
-        " edited_fingerprint string, near_edited double, near_next double"
+        " edited_fingerprint string, near_edited double, near_next double, contained_edited double, distinct_shingles double"
     )
 
     def row(x: _Part, after: _Part) -> tuple:
         new, sketch = x.edited(after)
         return (
             x.doc_id, len(x.text), hashlib.sha256(new).hexdigest(), encode(x.sketch), encode(sketch),
-            resemblance(x.sketch, sketch), resemblance(x.sketch, after.sketch),
+            resemblance(x.sketch, sketch), resemblance(x.sketch, after.sketch), containment(x.sketch, sketch), distinct(x.sketch),
         )
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,22 +68,28 @@ def token_log_odds(texts: DataFrame) -> DataFrame:
 
 
 def maximal_segments(steps: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
-    """Ruzzo and Tompa's linear scan: all maximal scoring segments of (score, start, end) steps, in order."""
-    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
+    """Ruzzo and Tompa's linear scan: all maximal scoring segments of (score, start, end) steps, in order.
+
+    Each candidate knows the nearest one before it that starts from a lower sum, so a search goes along
+    that chain instead of back through the whole list.
+    """
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, start, end, place of the lower one
     total = 0.0
     for score, start, end in steps:
         before, total = total, total + score
         if score <= 0:
             continue
-        new = (before, total, start, end)
+        at = len(found) - 1
         while True:
-            at = next((j for j in range(len(found) - 1, -1, -1) if found[j][0] < new[0]), None)
-            if at is None or found[at][1] >= new[1]:
-                found.append(new)
+            while at >= 0 and found[at][0] >= before:
+                at = found[at][4]
+            if at < 0 or found[at][1] >= total:
+                found.append((before, total, start, end, at))
                 break
-            new = (found[at][0], new[1], found[at][2], new[3])
+            before, _, start, _, lower = found[at]
             del found[at:]
-    return [(r - l, a, b) for l, r, a, b in found]
+            at = lower
+    return [(r - l, a, b) for l, r, a, b, _ in found]
 
 
 @dataclass
@@ -160,19 +166,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for b in batches:
             out = [scanner.segments(t.as_py()) for t in b.column(1)]
             segments = pa.array([[s for s, _, _ in x] for x, _ in out], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in out], pa.int64()), segments], ["toxic", "n", "s"])
 
-    rows = texts.select("toxic", "text").mapInArrow(run, "toxic int, n long, s array<double>").collect()
-    clean = [s for r in rows if not r.toxic for s in r.s]
-    model.rate = (len(clean) + 1) / (sum(r.n for r in rows if not r.toxic) + 1)
-    model.decay = float(np.clip((len(clean) + 1) / (sum(clean) + 1), 0.5, 2.0))
-    x = np.array([(1.0, *model.evidence([(s, 0, 0) for s in r.s], r.n)) for r in rows])
-    y = np.array([r.toxic for r in rows], float)
+    rows = written(texts.select("toxic", "text").mapInArrow(scan, "toxic int, n long, s array<double>"), "segments")
+    sums = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    n, total, tokens = rows.where("toxic = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.size("s"), sums, F.col("n")))).first()
+    model.rate = (n + 1) / (tokens + 1)
+    model.decay = float(np.clip((n + 1) / (total + 1), 0.5, 2.0))
+    tail = Model(rate=model.rate, decay=model.decay)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [tail.evidence([(s, 0, 0) for s in x.as_py()], n.as_py()) for n, x in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], ["toxic", "best", "all"])
+
+    known = rows.mapInArrow(weigh, "toxic int, best double, all double").collect()  # three numbers for each document of the sample
+    x = np.array([(1.0, r[1], r[2]) for r in known]).reshape(-1, 3)
+    y = np.array([r[0] for r in known], float)
     if not 0 < y.sum() < len(y):
         return Model()
     w = np.where(y > 0, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))

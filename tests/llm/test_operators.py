@@ -229,6 +229,32 @@ def test_toxic_words_and_passages(spark):
     assert sorted(r.doc_id for r in toxicity.reject(docs, toxicity.fit(docs, labels)).collect()) == [*(i for i in range(400) if i % 4), 900, 901]
 
 
+def test_maximal_segments_are_found_in_linear_time():
+    import time
+
+    began = time.time()
+    found = toxicity.maximal_segments([(-1.5 if i % 2 else 1.0, i, i + 1) for i in range(200_000)])
+    assert len(found) == 100_000 and time.time() - began < 5
+
+
+def test_scores_equal_a_plain_sum_over_passages(spark):
+    rows = [(i, " ".join(np.random.default_rng(i).choice(WORDS, 40)) + (" vilewort" * 3 if i % 4 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    a, b, c = model.weights
+    got = by_id(toxicity.score(docs, model))
+    for i, text in rows[:60]:
+        words = [x.lower() for x in re.findall(r"[^\W_]+", text)]
+        s = [model.word(w) for w in words]
+        best, sums = 0.0, []
+        steps = [(v, k, k + 1) for k, v in enumerate(s)]
+        sums = [v for v, _, _ in toxicity.maximal_segments(steps)]
+        p = lambda v: 1 - np.exp(-model.rate * len(words) * np.exp(-model.decay * v))  # noqa: E731, B023
+        x, y = (-np.log(max(p(max(sums)), 1e-12)), np.log1p(sum(v for v in sums if p(v) < toxicity.SIGNIFICANT))) if sums else (0.0, 0.0)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(a + b * x + c * y))), abs=1e-6)
+
+
 def test_maximal_segments_against_brute_force():
     for seed in range(30):
         s = np.random.default_rng(seed).normal(-0.2, 1, 12)
@@ -274,6 +300,15 @@ def test_pieces_equal_the_library(docs, monkeypatch, chunk):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_copies_of_a_vector_are_one_node(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 32))
+    near = a + rng.normal(size=32) * 0.05
+    rows = [(i, a.tolist()) for i in range(5, 305)] + [(2, near.tolist()), (1000, b.tolist()), (1001, b.tolist()), (1001, b.tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got[2] == (300, 2, True) and all(got[i] == (300, 2, False) for i in range(5, 305)) and got[1000] == (1, 1000, True) and got[1001] == (1, 1000, False)
+
+
 def test_embeddings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
     base = RNG.normal(size=(40, 16))
@@ -362,6 +397,10 @@ def test_sketches_estimate_and_merge(docs):
     assert got[1].fingerprint == got[3].fingerprint and got[6].fingerprint == got[7].fingerprint == ""
     data = TEXTS[17].encode()
     parts = sketches.merge(sketches.bottom(sketches.window_hashes(data[:20_015])), sketches.bottom(sketches.window_hashes(data[20_000:])))
+    for i in (1, 4, 17):
+        sets = [{x.encode()[j : j + 16] for j in range(len(x.encode()) - 15)} for x in (TEXTS[i], TEXTS[i][: len(TEXTS[i]) - len(TEXTS[i]) // 4])]
+        assert got[i].distinct_shingles == pytest.approx(len(sets[0]), rel=0.4) and got[i].contained_edited == pytest.approx(len(sets[0] & sets[1]) / len(sets[0]), abs=0.2)
+    assert sketches.containment(sketches.bottom(np.arange(10, dtype=np.uint64)), sketches.bottom(np.arange(5, dtype=np.uint64))) == pytest.approx(0.5)
     assert parts.tolist() == sketches.bottom(sketches.window_hashes(data)).tolist() == sketches.decode(got[17].fingerprint).tolist()
     assert sketches.distinct(parts) == pytest.approx(len({data[j : j + 16] for j in range(len(data) - 15)}), rel=0.4)
 
@@ -402,6 +441,38 @@ def test_long_runs_of_letters_count_whole():
     assert run not in scorer.row
 
 
+def test_personal_data_of_secrets_and_clashing_columns(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'set token = "{key}" here', 1, 2, 3, 4), (2, f"see commit {key} for more", 1, 2, 3, 4), (3, None, 1, 2, 3, 4), (4, "plain words only", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base int, spans int, _text int, _digit int")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect() if (r.base, r.spans, r["_text"], r["_digit"]) == (1, 2, 3, 4)}
+    assert got == {1: 'set token = "[SECRET]" here', 2: rows[1][1], 3: None, 4: rows[3][1]}
+    with pytest.raises(ValueError):
+        pii.find(docs)
+
+
+def test_boosted_trees_equal_their_brute_force(spark):
+    trees, least = pii.model(spark)
+    texts = [t for t, _ in pii.examples(120, seed=99)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii._candidates(docs).select("doc_id", F.explode("further").alias("x"))
+    features = rows.select("doc_id", "x", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"f_{n}") for n, c in pii._numbers(F.col("x")))).collect()
+    def walk(tree, f):
+        while not isinstance(tree, float):
+            tree = tree[2] if f[tree[0]] <= tree[1] else tree[3]
+        return tree
+    base = {i: list(base_spans(t)) for i, t in enumerate(texts)}
+    want = {i: {(f"{k}", a, e) for a, _, e, k in base[i]} for i in base}
+    for r in features:
+        x, f = r.x, list(r[2:])
+        if sum(walk(t, f) for t in trees) >= least and not any(a < x.end and x.start < e for a, _, e, _ in base[r.doc_id]):
+            want[r.doc_id].add((pii.KINDS[x.k], x.start, x.end))
+    got = {r.doc_id: {(k, int(a), int(e)) for k, a, e in (s.split(":") for s in filter(None, r.spans.split(",")))} for r in pii.digest(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 40
+
+
 def test_personal_data_base_and_added(spark):
     docs = spark.createDataFrame(list(PII.items()), "doc_id long, text string")
     got = by_id(pii.digest(docs))
