@@ -75,6 +75,59 @@ def clopper_pearson(k: int, n: int, confidence: float = 0.95) -> tuple[float, fl
     return (0.0 if k == 0 else solve(k, n - k + 1, tail)), (1.0 if k == n else solve(k + 1, n - k, 1 - tail))
 
 
+def _z(alpha: float, power: float, two_sided: bool) -> tuple[float, float]:
+    return normal_quantile(1 - alpha / 2 if two_sided else 1 - alpha), normal_quantile(power)
+
+
+def required_n(effect: Column, alpha: float = 0.05, power: float = 0.8, two_sided: bool = True, paired: bool = False) -> Column:
+    """Sample size for each arm, or of pairs, that shows a standardised effect; infinite for none."""
+    a, b = _z(alpha, power, two_sided)
+    n = F.ceil((1 if paired else 2) * F.pow(F.try_divide(F.lit(a + b), effect), F.lit(2.0))).cast("double")
+    return F.when(effect > 0, n).otherwise(float("inf"))
+
+
+def paired_mde(pairs: Column, alpha: float = 0.05, power: float = 0.8, two_sided: bool = True) -> Column:
+    """The least standardised effect that so many pairs show; infinite for none."""
+    a, b = _z(alpha, power, two_sided)
+    return F.when(pairs > 0, F.try_divide(F.lit(a + b), F.sqrt(pairs.cast("double")))).otherwise(float("inf"))
+
+
+def mcnemar_n(p10: Column, p01: Column, alpha: float = 0.05, power: float = 0.8, two_sided: bool = True) -> Column:
+    """Pairs that show a difference of discordant shares; infinite for equal ones, null for shares that are none."""
+    a, b = _z(alpha, power, two_sided)
+    gap, both = p10 - p01, p10 + p01
+    n = F.pow(a * F.sqrt(both) + b * F.sqrt(F.greatest(F.lit(0.0), both - gap * gap)), F.lit(2.0))
+    return F.when((p10 < 0) | (p01 < 0) | (both > 1), None).when(gap == 0, float("inf")).otherwise(F.ceil(F.try_divide(n, gap * gap)).cast("double"))
+
+
+def mcnemar_power(p10: Column, p01: Column, pairs: Column, alpha: float = 0.05, two_sided: bool = True) -> Column:
+    """Chance that so many pairs show the difference of discordant shares; alpha for none."""
+    a, _ = _z(alpha, 0.5, two_sided)
+    gap, both = p10 - p01, p10 + p01
+    z = (F.sqrt(pairs.cast("double")) * F.abs(gap) - a * F.sqrt(both)) / F.sqrt(F.greatest(F.lit(1e-12), both - gap * gap))
+    cdf = F.pandas_udf(lambda s: pd.Series([None if math.isnan(v) else normal_cdf(v) for v in s.astype(float)], dtype="float64"), DoubleType())
+    return F.when((p10 < 0) | (p01 < 0) | (both > 1), None).when((gap == 0) | (pairs <= 0), F.lit(alpha)).otherwise(cdf(z))
+
+
+def signed_rank_exact(doubled: list[int], deviation: float) -> float:
+    """Exact two-sided p of a signed rank sum: the share of sign patterns whose doubled sum lies so far from its centre or farther."""
+    ways = np.zeros(sum(doubled) + 1)
+    ways[0] = 1
+    for r in doubled:
+        ways[r:] += ways[: len(ways) - r].copy()
+    far = np.abs(np.arange(len(ways)) - sum(doubled) / 2) >= deviation - 1e-9
+    return min(1.0, float(ways[far].sum() / ways.sum()))
+
+
+def _signed_rank_p(ranks: pd.Series, deviation: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else signed_rank_exact([round(x) for x in r], d) for r, d in zip(ranks, deviation, strict=True)], dtype="float64")
+
+
+def signed_rank_p_value(doubled: Column, deviation: Column) -> Column:
+    """signed_rank_exact() of an array of doubled ranks; null where that is."""
+    return F.pandas_udf(_signed_rank_p, DoubleType())(doubled, deviation)
+
+
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     pairs = zip(t.astype(float), df.astype(float), strict=True)
     return pd.Series([None if math.isnan(x) or math.isnan(d) else 2 * (1 - student_t_cdf(abs(x), d)) for x, d in pairs], dtype="float64")

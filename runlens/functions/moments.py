@@ -53,6 +53,20 @@ def welch(a: Column, b: Column) -> dict[str, Column]:
     return {"t": F.when(ok, t), "df": F.when(ok, df)}
 
 
+def doubly_robust(reward: Column, ratio: Column, chosen: Column, target: Column, cap: float = float("inf")) -> dict[str, Column]:
+    """Mean of target + weight (reward - chosen) with its error, all values clipped to 0..1; chosen and target are a model's values of
+    the action taken and of the policy, and a row without both counts with weight x reward. One without the other is an error."""
+    unit = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _d(x))))
+    ok = ratio.isNotNull() & reward.isNotNull()
+    w, modelled = F.when(ok, F.least(_d(ratio), F.lit(cap))), chosen.isNotNull() & target.isNotNull()
+    lone = F.when(chosen.isNull() != target.isNull(), F.raise_error(F.lit("chosen and target values go together")).cast("double"))
+    part = F.coalesce(lone, F.when(modelled, unit(target) + w * (unit(reward) - unit(chosen))).otherwise(w * unit(reward)))
+    return {
+        "n": F.count(part), "value": F.avg(part), "error": F.sqrt(F.try_divide(F.coalesce(F.var_samp(part), F.lit(0.0)), _d(F.count(part)))),
+        "modelled": F.count_if(ok & modelled), "fallback": F.count_if(ok & ~modelled), "ess": F.coalesce(F.try_divide(F.sum(w) * F.sum(w), F.sum(w * w)), F.lit(0.0)), "max_weight": F.max(w),
+    }
+
+
 def off_policy(reward: Column, ratio: Column, cap: float = 10.0) -> dict[str, Column]:
     """Inverse propensity and self-normalised estimates with capped weights and rewards clipped to 0..1; rows without either do not count."""
     ok = ratio.isNotNull() & reward.isNotNull()

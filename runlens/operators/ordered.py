@@ -109,9 +109,9 @@ def adjusted_p(tests: DataFrame, family: str, p: str, key: str) -> DataFrame:
     }).drop("_m", "_i")
 
 
-def average_ranks(rows: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
-    """rows with average ranks, ties sharing theirs. Counts per value make the ranks, so ties never meet in one task twice."""
-    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(rows: DataFrame, group: Sequence[str], value: str, name: str, times: str | None = None) -> DataFrame:
+    """rows with average ranks, ties sharing theirs; `times` says how often a row counts. Counts per value make the ranks, so ties never meet in one task twice."""
+    counts = rows.groupBy(*group, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*group).orderBy(value).rowsBetween(_START, 0)) - F.col("_n")
     ranks = counts.select(*group, value, (before + (F.col("_n") + 1) / 2).alias(name))
     return rows.join(ranks, [*group, value])

@@ -11,19 +11,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import moments
-from ..functions.distributions import bootstrap_interval, normal_p_value, rank_p_value, sign_p_value, t_p_value
+from ..functions.distributions import bootstrap_interval, normal_p_value, rank_p_value, sign_p_value, signed_rank_p_value, t_p_value
 from ..functions.scores import cliffs_band, ratio
 from .ordered import average_ranks
 
 #: Product of the arms' sizes up to which rank tests are exact.
 EXACT_CELLS = 8192
+#: Differences up to which the signed rank test is exact.
+WILCOXON_EXACT = 20
 
 
 def spearman(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """group, n, rho: Pearson's r of average ranks."""
-    ok = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b)
-    ranked = average_ranks(average_ranks(ok, [group], a, "_ra"), [group], b, "_rb")
-    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), moments.pearson(F.col("_ra"), F.col("_rb")).alias("rho"))
+    """group, n, rho: Pearson's r of average ranks; NaN below two pairs, 1 if both are constant, 0 if one is.
+
+    Pairs of values are counted first; ranks, their joins and the sums see a row for each distinct pair.
+    """
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(group, a, b).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = average_ranks(average_ranks(pairs, [group], a, "_ra", "_n"), [group], b, "_rb", "_n")
+    w, x, y = (F.col(c).cast("double") for c in ("_n", "_ra", "_rb"))
+    n = F.sum(w)
+    centre = (n + 1) / 2
+    cov, va, vb = (F.sum(w * p) / n - centre * centre for p in (x * y, x * x, y * y))
+    rho = F.when(n < 2, float("nan")).when((va <= 1e-12) & (vb <= 1e-12), 1.0).when((va <= 1e-12) | (vb <= 1e-12), 0.0).otherwise(cov / F.sqrt(va * vb))
+    return ranked.groupBy(group).agg(F.sum("_n").alias("n"), rho.alias("rho"))
+
+
+def wilcoxon(pairs: DataFrame, group: str, before: Column, after: Column) -> DataFrame:
+    """group, n (pairs that differ), w (rank sum of the gains), p: exact up to WILCOXON_EXACT differences, else normal with ties corrected; 1 for none.
+
+    Sizes of differences are counted first, so ties make no rows.
+    """
+    d = (after - before).cast("double")
+    sizes = pairs.select(group, d.alias("_d")).where("_d <> 0").groupBy(group, F.abs("_d").alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_up"))
+    ranked = average_ranks(sizes, [group], "_s", "_r", "_n")
+    t = F.col("_n").cast("double")
+    sums = ranked.groupBy(group).agg(F.sum("_n").alias("n"), F.sum(F.col("_up") * F.col("_r")).alias("w"), F.sum(t * t * t - t).alias("_ties"))
+    few = ranked.join(sums.where(F.col("n") <= WILCOXON_EXACT).select(group), group, "left_semi")
+    ranks = few.groupBy(group).agg(F.flatten(F.collect_list(F.array_repeat((2 * F.col("_r")).cast("int"), F.col("_n").cast("int")))).alias("_ranks"))
+    n = F.col("n").cast("double")
+    gap = F.abs(F.col("w") - n * (n + 1) / 4)
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
+    out = sums.join(ranks, group, "left").withColumns({"_dev": 2 * gap, "_z": F.try_divide(F.greatest(gap - 0.5, F.lit(0.0)), sd)})
+    p = F.coalesce(signed_rank_p_value("_ranks", "_dev"), normal_p_value("_z"))
+    groups = pairs.select(group).distinct()
+    out = groups.join(out.select(group, "n", "w", p.alias("p")), group, "left")
+    return out.select(group, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def paired_bootstrap(pairs: DataFrame, group: str, before: Column, after: Column, resamples: int = 1000) -> DataFrame:
+    """group, n, mean, low, high: percentile bootstrap of the mean paired difference."""
+    return bootstrap_ci(pairs.select(group, (after - before).cast("double").alias("_d")), group, "_d", resamples)
 
 
 def rank_sums(rows: DataFrame, group: str, arm: str, arms: tuple[str, str], value: str) -> DataFrame:

@@ -11,6 +11,7 @@ from runlens.operators import aggregates as A
 from runlens.operators import evaluation as E
 from runlens.operators import joins as J
 from runlens.operators import ordered as O
+from runlens.operators import records as R
 from runlens.operators import statistics as S
 from runlens.operators import texts as X
 
@@ -129,6 +130,49 @@ def test_exact_rank_test_against_enumeration():
         assert D.mann_whitney_exact(u, n, m) == pytest.approx(min(1, 2 * sum(x <= low for x in us) / len(us)))
 
 
+def test_signed_ranks_against_enumeration(spark):
+    import itertools
+
+    for ranks in ([2, 4, 6], [3, 3, 6, 8], [5, 5, 5, 5, 10]):
+        sums = [sum(r for r, up in zip(ranks, signs, strict=True) if up) for signs in itertools.product([0, 1], repeat=len(ranks))]
+        for s in set(sums):
+            far = abs(s - sum(ranks) / 2)
+            assert D.signed_rank_exact(ranks, far) == pytest.approx(sum(abs(x - sum(ranks) / 2) >= far for x in sums) / len(sums))
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.0, 2.0), ("a", 0.0, 3.0), ("b", 1.0, 1.0), *(("c", 0.0, float(i)) for i in range(1, 31))], "g string, x double, y double")
+    got = {r.g: (r.n, r.w, r.p) for r in S.wilcoxon(df, "g", F.col("x"), F.col("y")).collect()}
+    assert got["a"] == (3, 6.0, pytest.approx(0.25)) and got["b"] == (0, 0.0, 1.0) and got["c"][:2] == (30, 465.0) and got["c"][2] < 1e-5
+
+
+def test_power_against_published_values(spark):
+    got = one(spark, a=D.required_n(F.lit(0.5)), b=D.required_n(F.lit(0.5), paired=True), c=D.required_n(F.lit(0.0)), d=D.mcnemar_n(F.lit(0.2), F.lit(0.2)), e=D.mcnemar_power(F.lit(0.3), F.lit(0.1), F.lit(100)), f=D.paired_mde(F.lit(0)))
+    assert (got.a, got.b, got.c, got.d, got.f) == (63.0, 32.0, math.inf, math.inf, math.inf) and got.e == pytest.approx(0.8975, abs=1e-3)
+
+
+def test_scorecard_verdicts(spark):
+    runs = [("s", "p", "c1", 1, x) for x in (0.1, 0.2, 0.15, 0.12)] + [("s", "p", "c2", 2, x) for x in (0.8, 0.9, 0.85, 0.82)] + [("t", "p", "c1", 1, 0.5), ("t", "p", "c2", 2, 0.52), ("u", "p", "c2", 2, 0.5), ("u", "p", "c2", 2, None)]
+    entries = R.record_runs(spark.createDataFrame(runs, "s string, p string, c string, at int, x double"), "s", "p", "c", "at", F.col("x"))
+    got = {r.s: (r.verdict, r.p) for r in R.scorecard_diff(entries, "s", "p", "c", "at").collect()}
+    assert got["s"][0] == "improved" and got["s"][1] < 1e-4 and got["t"] == ("flat", None) and got["u"] == ("new", None)
+
+
+def test_baselines_and_periods(spark):
+    rows_in = [("a", i < 5, 1.0 + i / 100, True) for i in range(10)] + [("b", i < 5, float(10**i), True) for i in range(10)] + [("c", i < 5, (2.0 if i < 5 else 1.0) + i / 1000, True) for i in range(10)] + [("d", False, 1.0, True)]
+    df = spark.createDataFrame(rows_in, "m string, cand boolean, v double, up boolean")
+    got = {r.m: r.verdict for r in R.against_baseline(df, "m", F.col("cand"), F.col("v"), F.col("up")).collect()}
+    assert got == {"a": "regressed", "b": "unstable", "c": "improved", "d": "insufficient"}
+    out = {r.metric: r.verdict for r in R.prior_period(df.where("m = 'c'"), F.col("cand"), {"up": (F.col("v"), True), "down": (F.col("v"), False), "none": (F.lit(None), True)}).collect()}
+    assert out == {"up": "improved", "down": "regressed"}
+
+
+def test_classes_of_failures_in_order(spark):
+    runs = spark.createDataFrame([("ok", "completed", None, None, None), ("named", "failed", False, "pii_leak", None), ("late", "aborted", False, "unknown", "hit the Deadline"), ("stuck", "failed", False, None, None), ("idle", "failed", False, None, None), ("dry", "failed", False, None, None), ("odd", "failed", None, None, None), ("scope", "failed", False, None, None)], "runId string, status string, pass boolean, failureClass string, notes string")
+    spans = [("stuck", f"s{i}", i, "tool", "grep", "error", None, None, None, None, None) for i in range(3)] + [("idle", "g", 1, "agent", None, None, None, None, None, None, 4), ("dry", "r", 1, "retrieval", None, None, None, None, None, None, None), ("odd", "f", 1, "judge", None, None, None, "format", 0.4, None, None)]
+    spans = spark.createDataFrame(spans, "runId string, spanId string, ord int, kind string, toolName string, status string, exitCode int, dimension string, score double, bestHit double, toolsAvailable int")
+    events = spark.createDataFrame([("scope", "e1", 1, "custom", '{"kind": "integration_manifest_resolved", "missing": [{"status": "ready", "missingScopes": ["read"]}]}'), ("scope", "e0", 2, "budget_breach", "{}")], "runId string, eventId string, ord int, kind string, payload string")
+    got = {r.runId: (r.failure_class, r.trigger) for r in R.classify_failures(runs, spans, events).collect()}
+    assert got == {"ok": ("success", None), "named": ("pii_leak", None), "late": ("timeout", None), "stuck": ("tool_recovery_failure", "s2"), "idle": ("tool_selection_error", None), "dry": ("bad_retrieval", "r"), "odd": ("format_drift", "f"), "scope": ("missing_integration_scope", "e1")}
+
+
 def test_wealth_decides_for_a_clear_winner_only():
     good, even = S.Wealth(), S.Wealth()
     for i in range(200):
