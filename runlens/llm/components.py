@@ -58,14 +58,19 @@ def settled(of: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataF
         return of
     best = F.min_by(F.struct("a", "b", "ga", "gb"), F.struct("d", "a", "b")).alias("p")
     first = written(pairs.groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(best).select("p.*"), "first")
-    found = written(verify(first).select(F.col("ga").alias("a"), F.col("gb").alias("b")), "found")
+    ends = [F.col("ga").alias("a"), F.col("gb").alias("b")]
+    if pairs.count() <= 2 * first.count():  # hardly any to be spared by an order
+        found = written(verify(pairs.select("a", "b", "ga", "gb")).select(*ends), "found")
+    else:
+        found = written(verify(first).select(*ends), "found")
+        joined = written(connected_components(found), "joined")
+        rest = pairs.select("a", "b", "ga", "gb").join(first.select("a", "b"), ["a", "b"], "left_anti")
+        for c in ("ga", "gb"):
+            to = joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
+            rest = rest.join(to, c, "left").withColumn(f"{c}_to", F.coalesce(f"{c}_to", c))
+        more = written(verify(rest.where("ga_to <> gb_to").select("a", "b", "ga", "gb")).select(*ends), "found")
+        found = found.unionByName(more)
     joined = written(connected_components(found), "joined")
-    rest = pairs.select("a", "b", "ga", "gb").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    for c in ("ga", "gb"):
-        to = joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
-        rest = rest.join(to, c, "left").withColumn(f"{c}_to", F.coalesce(f"{c}_to", c))
-    more = written(verify(rest.where("ga_to <> gb_to").select("a", "b", "ga", "gb")).select(F.col("ga").alias("a"), F.col("gb").alias("b")), "found")
-    joined = written(connected_components(found.unionByName(more)), "joined")
     of = written(of, "of")
     to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
     moved = of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))

@@ -27,7 +27,7 @@ BANDS = [[r * COLUMNS + (c + slope * r) % COLUMNS for r in range(ROWS)] for slop
 #: Lines of a bucket that one task holds against each other, or against as many others.
 BLOCK = 1024
 #: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
-SKETCH = 8
+SKETCH = 32
 _BLANK = " \t\r\x0b\x0c"
 
 
