@@ -49,7 +49,7 @@ STAGES = [
     ("pii", pii_stage),
     ("packing", packing_stage),
 ]
-#: Learned models and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+#: Learned models and tokenizers are beyond SQL; a test holds run() against a plain run over pairs of lines and documents.
 ORACLE_SQL = None
 
 
