@@ -204,37 +204,6 @@ def step_rewards(steps: DataFrame, run: str, order: Sequence[str], reward: str,
     return out.select(run, "mean", "sum", "low_share", F.coalesce("_w.d", F.lit(0.0)).alias("worst_drop"), F.col("_w.i").alias("worst_at"))
 
 
-def trajectory(spans: DataFrame, run: str, span: str, parent: str, order: str, depth: int = 100) -> DataFrame:
-    """run, span, depth, index: pre-order walk from the roots, siblings in order; spans that no root reaches are left out.
-
-    One join for each level of the tree, which ends when a level is empty; a path of sibling places orders the walk.
-    """
-    place = F.row_number().over(W.partitionBy(run, parent).orderBy(order, span))
-    nodes = spans.select(run, F.col(span).alias("s"), F.col(parent).alias("p"), F.lpad(place.cast("string"), 10, "0").alias("at"))
-    spark = spans.sparkSession
-    nodes.createOrReplaceTempView("_runlens_nodes")
-    walked = spark.sql(f"""
-        with recursive t(run, s, depth, path) max recursion level {depth} as (
-          select {run}, s, 0, at from _runlens_nodes where p is null
-          union all
-          select t.run, n.s, t.depth + 1, concat(t.path, '/', n.at) from t join _runlens_nodes n on n.{run} = t.run and n.p = t.s)
-        select * from t""")
-    index = F.row_number().over(W.partitionBy("run").orderBy("path")) - 1
-    return walked.select(F.col("run").alias(run), F.col("s").alias(span), "depth", index.alias("index"))
-
-
-def propagated_errors(spans: DataFrame, run: str, span: str, parent: str, failed: Column, depth: int = 100) -> DataFrame:
-    """run, span, propagated: failed spans, and whether an ancestor failed as well."""
-    spans.select(run, F.col(span).alias("s"), F.col(parent).alias("p"), failed.alias("bad")).createOrReplaceTempView("_runlens_spans")
-    return spans.sparkSession.sql(f"""
-        with recursive up(run, s, a) max recursion level {depth} as (
-          select {run}, s, p from _runlens_spans where bad
-          union all
-          select up.run, up.s, n.p from up join _runlens_spans n on n.{run} = up.run and n.s = up.a where up.a is not null)
-        select up.run as {run}, up.s as {span}, coalesce(bool_or(n.bad), false) as propagated
-        from up left join _runlens_spans n on n.{run} = up.run and n.s = up.a group by up.run, up.s""")
-
-
 def round_robin(rows: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
     """The first n rows taken from the groups in turn, groups by name."""
     turn = F.row_number().over(W.partitionBy(group).orderBy(*order))

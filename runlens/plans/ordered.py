@@ -156,27 +156,6 @@ def step_reward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out.join(low, "l_suppkey"), "mean", "low_share", "worst_drop"), "sum", places=4)
 
 
-@query("""
-with recursive n as (select conv_id, turn, case when turn = 0 then null else turn // 2 end as p from conversations),
-t as (select conv_id, turn, 0 as depth, lpad(turn::varchar, 10, '0') as path from n where p is null
-  union all select n.conv_id, n.turn, t.depth + 1, t.path || '/' || lpad(n.turn::varchar, 10, '0') from t join n on n.conv_id = t.conv_id and n.p = t.turn and n.turn <> t.turn)
-select conv_id, turn, depth, (row_number() over (partition by conv_id order by path) - 1)::int as index from t""")
-def trajectory_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    parent = F.when(F.col("turn") > 0, F.floor(F.col("turn") / 2)).cast("long")
-    # turn 1's parent is 0: a binary heap of turns, with 0 as its root
-    return O.trajectory(turns.select("conv_id", "turn", parent.alias("parent")), "conv_id", "turn", "parent", "turn")
-
-
-@query("""
-with recursive n as (select conv_id, turn as s, case when turn > 0 then turn - 1 end as p, length(text) % 3 = 0 as bad from conversations),
-up as (select conv_id, s, p as a from n where bad union all select up.conv_id, up.s, n.p from up join n on n.conv_id = up.conv_id and n.s = up.a where up.a is not null)
-select up.conv_id, up.s as turn, coalesce(bool_or(n.bad), false) as propagated from up left join n on n.conv_id = up.conv_id and n.s = up.a group by 1, 2""")
-def propagated_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("parent", F.when(F.col("turn") > 0, F.col("turn") - 1))
-    return O.propagated_errors(turns, "conv_id", "turn", "parent", F.length("text") % 3 == 0)
-
-
 @query("select * exclude r, r::int as turn from (select *, row_number() over (partition by event_type order by event_id) as r from events) order by r, event_type limit 12")
 def selection_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.round_robin(table(spark, sf_dir, "events"), "event_type", ["event_id"], 12)

@@ -14,6 +14,7 @@ from runlens.operators import ordered as O
 from runlens.operators import records as R
 from runlens.operators import statistics as S
 from runlens.operators import texts as X
+from runlens.operators import trees
 
 
 def rows(df):
@@ -85,7 +86,7 @@ def test_touching_spans_are_apart_and_overlaps_count(spark):
 
 def test_orphans_are_left_out_of_a_trajectory(spark):
     df = spark.createDataFrame([("r", "a", None, 1), ("r", "c", "a", 3), ("r", "b", "a", 2), ("r", "x", "gone", 4), ("r", "y", "y", 5)], "run string, s string, p string, o int")
-    assert sorted(rows(O.trajectory(df, "run", "s", "p", "o"))) == [("r", "a", 0, 0), ("r", "b", 1, 1), ("r", "c", 1, 2)]
+    assert sorted(rows(trees.trajectory(df, "run", "s", "p", ["o"]))) == [("r", "a", 0, 0), ("r", "b", 1, 1), ("r", "c", 1, 2)]
 
 
 def test_trajectory_depth_reads_every_turn(spark, tmp_path):
