@@ -1,17 +1,11 @@
-"""What the corpus operators share: tables, scratch tables on shared storage, text conventions."""
+"""What the corpus operators share: tables, names that clash with none, text conventions; scratch tables as in the rest of the library."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..scratch import drop, scratch, shared_dir, small, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,75 +23,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A local session without one gets a folder of its own, a cluster an error: its executors could not read it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="runlens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.runlens_path = path
-    return out
-
-
-#: Bytes of files up to which a written table is sent to every executor.
-SMALL = 32 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A table that written() made, marked for broadcast if its files take SMALL bytes at most; else Spark shuffles both sides."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.runlens_path)
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(df) if size <= SMALL else df
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that written() made, once nothing reads it."""
-    path = getattr(df, "runlens_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-@contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """Deletes the tables written inside when it ends, but for those put on the list that it gives."""
-    before, kept = {path for _, path in _written}, []
-    yield kept
-    stay = before | {t.runlens_path for t in kept}
-    for x in [x for x in _written if x[1] not in stay]:
-        _delete(*x)
-        _written.remove(x)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by now, the others' may not
-            continue
-
-
 def held_out(id_col: str = "doc_id"):
     """The third of documents that no model here learns from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, written
@@ -45,6 +45,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def mixed_buckets(members: DataFrame, bucket: str, block: int) -> DataFrame:
+    """(bucket, g, ...) -> bucket, main, n_main, n_rest: of buckets with members of several components, the largest one, its blocks and those of all others."""
+    by = members.groupBy(bucket, "g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by.groupBy(bucket).agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("g", F.struct("n", "g")).alias("main")).where("size > most")
+    blocks = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("most"), "n_main"), (F.col("size") - F.col("most"), "n_rest"))]
+    return sizes.select(bucket, "main", *blocks)
+
+
+def cells(by: Column, in_main: Column, n_main: Column, n_rest: Column) -> tuple[Column, Column]:
+    """A member's block, and the pairs of blocks (i, j) with i <= j that it belongs to: all but those of the largest component with itself.
+
+    The blocks of the largest component follow those of the others, so the pairs number
+    rest * (rest / 2 + main): a component that fills a bucket costs no pairs of its own.
+    """
+    part = F.when(in_main, n_rest + F.pmod(F.xxhash64(by), n_main)).otherwise(F.pmod(F.xxhash64(by), n_rest)).cast("int")
+    others = F.when(in_main, F.sequence(F.lit(0), n_rest - 1)).otherwise(F.sequence(F.lit(0), n_rest + n_main - 1))
+    return part, F.transform(others, lambda o: F.struct(F.least(part, o).alias("i"), F.greatest(part, o).alias("j")))
+
+
 def settled(of: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """of (node, component) with the components joined that a similar pair connects; pairs (a, b, ga, gb, d) are not verified yet.
 

@@ -19,9 +19,9 @@ SAMPLE_DOCS = 4_000
 #: A word that the sample of a language has less often counts as unseen; and the longest n-gram behind words.
 LEAST = 2
 LONGEST = 5
-#: Unseen words whose scores a worker remembers.
-CACHED_WORDS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of unseen words' scores that a worker remembers.
+CACHED = 64 << 20
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ SLICE = 4096
 
 
 class Table:
-    """Log frequencies by key, one column for each language."""
+    """Log frequencies by key and language: one for whatever a language has not, and what each key's own languages add, row by row."""
 
     def __init__(self, weights: Iterable[tuple[str, int, float]], langs: int) -> None:
         self.row: dict[str, int] = {}
@@ -52,9 +52,18 @@ class Table:
             rows.append(self.row.setdefault(key, len(self.row)))
             columns.append(column)
             values.append(weight)
-        counts = np.zeros((len(self.row), langs))
-        np.add.at(counts, (np.array(rows, np.int64), np.array(columns, np.int64)), np.array(values))
-        self.logs = (np.log(counts + 1) - np.log(counts.sum(axis=0) + len(counts) + 1)).astype(np.float32)
+        cell, at = np.unique(np.array(rows, np.int64) * langs + np.array(columns, np.int64), return_inverse=True)
+        sums = np.bincount(at, np.array(values, np.float64), len(cell))
+        column = (cell % max(langs, 1)).astype(np.int32)
+        self.langs, self.column, self.more = langs, column, np.log1p(sums).astype(np.float32)
+        self.ends = np.searchsorted(cell, np.arange(len(self.row) + 1) * langs)
+        self.rest = -np.log(np.bincount(column, sums, langs) + len(self.row) + 1)
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """The sum of the logs of these rows, by language."""
+        first, n = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return len(rows) * self.rest + np.bincount(self.column[at], self.more[at], self.langs)
 
 
 class Model:
@@ -85,49 +94,48 @@ class Model:
             for at in range(0, last, SLICE):
                 found = [x for i in range(at, min(at + SLICE, last)) if (x := table.row.get(marked[i : i + size])) is not None]
                 if found:
-                    total += table.logs[found].sum(axis=0, dtype=np.float64)
+                    total += table.total(np.array(found, np.int64))
                     n += len(found)
             if n:
                 return (total / n).astype(np.float32)
         return np.zeros(len(self.langs), np.float32)
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters (of any script, `\\p{L}`) of a lower-cased text: other numerals such as `²` or `Ⅳ` are word characters to Python, but no letters."""
+    found = _WORDS.findall(text.lower())
+    return found if "".join(found).isalpha() else [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 class Scorer:
-    """Predictions of one worker."""
+    """Predictions of one worker. Sums of unseen words are kept for the next texts, as many as CACHED bytes hold."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, model.words.row
-        self.row, self.base = dict(self.known), len(self.known)
-        self.array = np.concatenate([model.words.logs, np.zeros((CACHED_WORDS, len(model.langs)), np.float32)])
-
-    def _add(self, word: str) -> int:
-        if len(self.row) >= self.base + CACHED_WORDS:
-            self.row = dict(self.known)
-        i = self.row[word] = len(self.row)
-        self.array[i] = self.model.unseen(word)
-        return i
+        self.model, self.known, self.cache = model, model.words.row, {}
+        self.room = CACHED // (4 * len(model.langs) + 300)  # an entry has some 300 bytes besides its numbers
+
+    def _unseen(self, word: str) -> np.ndarray:
+        if len(word) > CACHED_LENGTH:
+            return self.model.unseen(word)
+        found = self.cache.get(word)
+        if found is None:
+            if len(self.cache) >= self.room:
+                self.cache.clear()
+            found = self.cache[word] = self.model.unseen(word)
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall((text or "").lower())
+        words = letters(text or "")
         if not words or not self.model.langs:
             return "und", 0.0
         total = np.zeros(len(self.model.langs))
         for at in range(0, len(words), 100_000):
             part = words[at : at + 100_000]
-            found = list(map(self.row.get, part))
-            if None in found:
-                if len(self.row) + found.count(None) > self.base + CACHED_WORDS:
-                    self.row = dict(self.known)
-                    found = list(map(self.row.get, part))
-                for i, x in enumerate(found):
-                    if x is None and len(part[i]) <= CACHED_LENGTH:
-                        found[i] = self.row.get(part[i])
-                        if found[i] is None:
-                            found[i] = self._add(part[i])
-                    elif x is None:
-                        total += self.model.unseen(part[i])
-                found = [x for x in found if x is not None]
-            total += self.array[np.array(found, np.int64)].sum(axis=0, dtype=np.float64)
+            found = list(map(self.known.get, part))
+            for i, x in enumerate(found):
+                if x is None:
+                    total += self._unseen(part[i])
+            total += self.model.words.total(np.array([x for x in found if x is not None], np.int64))
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.model.langs[best], float(p[best] / p.sum())

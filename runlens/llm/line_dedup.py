@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, scratch, small, written
-from .components import connected_components, settled
+from .components import cells, connected_components, mixed_buckets, settled
 
 SHINGLE = 9
 #: The least Jaccard similarity, in fifths.
@@ -63,14 +63,15 @@ def signatures(lines: DataFrame, key: Sequence[str] = ("k",)) -> DataFrame:
     """(key, norm) -> key, bands: the hashes of each line's bands of MinHash values.
 
     All shingles of a line count, whatever its length. A shingle's value under the j-th permutation is its
-    32-bit hash with the bits of the j-th constant flipped. Shingles are rows that whole-stage code hashes
-    and folds into the minima of their line before anything is shuffled.
+    32-bit hash times an odd constant plus another, modulo 2^32: permutations independent enough that also
+    lines of few shingles have different minima. Shingles are rows that whole-stage code hashes and folds
+    into the minima of their line before anything is shuffled.
     """
     rng = random.Random(4)
-    flips = [rng.getrandbits(32) - (1 << 31) for _ in range(ROWS * COLUMNS)]
+    constants = [(rng.getrandbits(29) * 2 + 1, rng.getrandbits(32)) for _ in range(ROWS * COLUMNS)]
     rows = lines.select(*key, F.col("norm").cast("binary").alias("raw")).select(*key, "raw", F.explode(_starts(F.col("raw"))).alias("i"))
-    h = rows.select(*key, F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    mins = h.groupBy(*key).agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(flips)))
+    h = rows.select(*key, F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
+    mins = h.groupBy(*key).agg(*(F.min((F.col("h") * a + b).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{j}") for j, (a, b) in enumerate(constants)))
     bands = [F.xxhash64(F.lit(b), *(f"m{j}" for j in cells)) for b, cells in enumerate(BANDS)]
     return mins.select(*key, F.array(*bands).alias("bands"))
 
@@ -114,27 +115,26 @@ def _sketches(texts: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
     """(band, k) -> (a, b, ga, gb, d): the pairs of a bucket in two components that may be similar, once for each pair.
 
-    Every pair of blocks of a bucket is a group of its own; lines that share several buckets meet in the
-    first of them. Sets of n and m shingles with similarity s differ in (n + m)(1 - s) / (1 + s) shingles
-    at most, so the others are not similar for certain.
+    Blocks of a bucket meet in pairs, each a group of its own, but those of its largest component never each
+    other; lines that share several buckets meet in the first of them. Sets of n and m shingles with
+    similarity s differ in (n + m)(1 - s) / (1 + s) shingles at most, so the others are not similar for certain.
     """
     of = small(of).select(F.col("node").alias("k"), "component")
     members = written(members.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
-    mixed = members.join(sizes.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band")
+    mixed = members.join(mixed_buckets(members, "band", BLOCK), "band")
     # the buckets of a line are as many as its bands at most
-    lines = written(mixed.groupBy("k").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("band", "blocks"))).alias("in")), "mixed")
+    lines = written(mixed.groupBy("k").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("band", "main", "n_main", "n_rest"))).alias("in")), "mixed")
     sketches = written(_sketches(texts.join(small(lines).select("k"), "k", "left_semi")), "sketches")
     words = [f"s{w}" for w in range(SKETCH)]
     dealt = lines.join(small(sketches), "k").select("k", "g", "n", *words, "in", F.posexplode("in").alias("at", "b"))
     before = F.transform(F.slice("in", F.lit(1), F.col("at")), lambda x: x["band"]).alias("before")
-    part = F.pmod(F.xxhash64("k", F.lit(1)), F.col("b.blocks")).cast("int").alias("part")
-    dealt = dealt.select("k", "g", "n", *words, before, "b.band", "b.blocks", part)
+    in_main = F.col("g") == F.col("b.main")
+    part, pairs_of = cells(F.struct("k", F.lit(1)), in_main, F.col("b.n_main"), F.col("b.n_rest"))
+    dealt = dealt.select("k", "g", "n", *words, before, "b.band", part.alias("part"), F.explode(pairs_of).alias("c"))
     sides = []
-    own_i, all_i, own_j, all_j = F.col("part"), F.explode(F.sequence(F.lit(0), "part")), F.col("part"), F.explode(F.sequence("part", F.col("blocks") - 1))
-    for x, i, j in (("a", own_i, all_j), ("b", all_i, own_j)):
+    for x, own in (("a", F.col("part") == F.col("c.i")), ("b", F.col("part") == F.col("c.j"))):
         columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", "before", *words)]
-        sides.append(dealt.select("band", i.alias("i"), j.alias("j"), *columns))
+        sides.append(dealt.where(own).select("band", "c.i", "c.j", *columns))
     bits = sum(F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words)
     d = F.greatest(bits.cast("long"), F.abs(F.col("na") - F.col("nb")))
     may = (F.col("ga") != F.col("gb")) & ((5 + LEAST) * d <= (5 - LEAST) * (F.col("na") + F.col("nb"))) & ~F.arrays_overlap("beforea", "beforeb")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, scratch, written
-from .components import connected_components, settled
+from .components import cells, connected_components, mixed_buckets, settled
 
 BITS = 64
 #: Distinct fingerprints that one task compares with each other, or with as many others.
@@ -227,12 +227,14 @@ def _unlike(least: float, radius: int):
         fp, part, g, rep, n = (t.column(c).to_numpy() for c in ("fp", "part", "g", "rep", "n"))
         fp, words = fp.view(np.uint64), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        found = []
-        for at in range(len(fp)):
-            ok = (np.bitwise_count(fp[at + 1 :] ^ fp[at]) <= radius) & (g[at + 1 :] != g[at])
-            if cross:
-                ok &= part[at + 1 :] != part[at]
-            to = np.flatnonzero(ok) + at + 1
+        found = [(np.empty(0, np.int64),) * 5]
+        if cross:  # each member of the smaller block against all of the larger
+            sides = sorted((np.flatnonzero(part == p) for p in np.unique(part)), key=len)
+            turns = ((at, sides[1]) for at in sides[0]) if len(sides) == 2 else ()
+        else:
+            turns = ((at, np.arange(at + 1, len(fp))) for at in range(len(fp)))
+        for at, among in turns:
+            to = among[(np.bitwise_count(fp[among] ^ fp[at]) <= radius) & (g[among] != g[at])]
             d = np.maximum(np.bitwise_count(words[to] ^ words[at]).sum(axis=1, dtype=np.int64), np.abs(n[to] - n[at]))
             may = d <= (n[to] + n[at]) * (1 - least) / (1 + least) + 1e-6
             to, low = to[may], rep[at] < rep[to[may]]
@@ -290,9 +292,10 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     # a text with any candidate is in a pair
     labelled = written(sets.select("th", "n").join(of.withColumnRenamed("node", "th"), "th", "left").select("th", F.coalesce("component", "th").alias("g")), "labelled")
     members = texts.join(labelled, "th").select("s", "fp", F.col("th").alias("rep"), "g", F.explode(F.array(*keys)).alias("k"))
-    mixed = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("k", "size")
-    blocks = _in_blocks(members, mixed, F.col("rep")).join(sets.select(F.col("th").alias("rep"), "n", "sketch"), "rep")
-    blocks = blocks.select("k", "i", "j", "fp", "rep", "part", "g", "n", "sketch")
+    held = written(members, "held")
+    part, pairs_of = cells(F.col("rep"), F.col("g") == F.col("main"), F.col("n_main"), F.col("n_rest"))
+    blocks = held.join(mixed_buckets(held, "k", BLOCK), "k").withColumns({"part": part, "c": F.explode(pairs_of)}).join(sets.select(F.col("th").alias("rep"), "n", "sketch"), "rep")
+    blocks = blocks.select("k", "c.i", "c.j", "fp", "rep", "part", "g", "n", "sketch")
     unlike = blocks.groupBy("k", "i", "j").applyInArrow(_unlike(least, radius), "a long, b long, ga long, gb long, d long").distinct()
     found = settled(of, unlike.join(pairs, ["a", "b"], "left_anti"), alike)
     return rows.join(found, rows.th == found.node, "left").select("doc_id", "th", F.coalesce("component", "th").alias("g"))

@@ -202,6 +202,41 @@ def test_recall_of_similar_lines(spark):
     assert len(true) > 100 and len(true & {i - 400 for i in got}) >= 0.95 * len(true)
 
 
+@pytest.mark.parametrize("size", [5, 10, 20, 50, 200])
+def test_pairs_of_similarity_four_fifths_share_a_band(spark, size):
+    """size shingles in the union, four fifths of them in both: the chance is 0.982 by the design of the bands."""
+    rng = np.random.default_rng(size)
+    text = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), size + 8)) for _ in range(1500)]
+    rows = [(i, t[: len(t) - size // 5]) for i, t in enumerate(text)] + [(10_000 + i, t) for i, t in enumerate(text)]
+    bands = {r.k: set(r.bands) for r in line_dedup.signatures(spark.createDataFrame(rows, "k long, norm string")).collect()}
+    assert np.mean([bool(bands[i] & bands[10_000 + i]) for i in range(1500)]) >= 0.97
+
+
+def test_a_component_that_fills_a_bucket_costs_no_pairs_of_its_own(spark, monkeypatch):
+    from runlens.llm import components as C
+
+    rows = [(1, i, 7 if i < 5000 else i) for i in range(5003)] + [(2, i, 9) for i in range(50)]
+    members = spark.createDataFrame(rows, "band long, k long, g long")
+    mixed = C.mixed_buckets(members, "band", 64).collect()
+    assert [(r.band, r.main, r.n_main, r.n_rest) for r in mixed] == [(1, 7, 79, 1)]
+    part, pairs = C.cells(F.col("k"), F.col("g") == F.col("main"), F.col("n_main"), F.col("n_rest"))
+    dealt = members.join(C.mixed_buckets(members, "band", 64), "band").select("k", "g", part.alias("part"), F.explode(pairs).alias("c")).collect()
+    cells = {}
+    for r in dealt:
+        cells.setdefault((r.c.i, r.c.j), []).append((r.k, r.part))
+    met = {(min(a, b), max(a, b)) for (i, j), m in cells.items() for a, x in m for b, y in m if a != b and (i == j or x != y)}
+    assert met == {(min(a, b), b) for a in range(5003) for b in range(5000, 5003) if a < b}
+
+
+def test_two_threads_keep_their_scratch_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = spark.createDataFrame([(i, prose(20, i % 7)) for i in range(40)], "doc_id long, text string")
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(lambda: line_dedup.digest(docs).collect()) for _ in range(2)] + [pool.submit(lambda: simhash.keep_one(docs).collect())]
+        assert [len(r.result()) for r in runs] == [40, 40, 7]
+
+
 def test_long_lines_without_common_characters_are_linked(spark):
     digits = "".join(np.random.default_rng(8).choice(list("0123457"), 400))
     rows = [(1, digits), (2, digits[:200] + "9" + digits[201:]), (3, digits[::-1])]
@@ -414,6 +449,55 @@ def test_languages_words_first_then_grams(spark):
     assert [got[i].lang_pred for i in (200, 201, 202, 203)] == ["de", "und", "und", "en"]
 
 
+def test_other_numerals_are_no_letters(spark):
+    rows = [(i, "haus und hof" if i % 2 else "house and yard", "de" if i % 2 else "en") for i in range(30)]
+    rows += [(100 + i, t, None) for i, t in enumerate(["²", "½ ①", "Ⅳ", "x² ½haus", "", None])]
+    got = by_id(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [got[100 + i].lang_pred for i in range(6)] == ["und", "und", "und", "de", "und", "und"]
+    assert language_id.letters("A²bc ⅣÉ_é9z") == ["a", "bc", "é", "é", "z"]
+
+
+def test_language_scores_equal_brute_force():
+    import math
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    counts = [(f"l{i:03}", w, int(rng.integers(2, 40))) for i in range(300) for w in rng.choice(WORDS, 20, replace=False)]
+    tracemalloc.start()
+    model = language_id.Model(counts)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    langs, have = sorted({c[0] for c in counts}), {(w, lang): n for lang, w, n in counts}
+
+    def table(weights):
+        sums = {}
+        for key, lang, x in weights:
+            sums[key, lang] = sums.get((key, lang), 0) + x
+        keys = {k for k, _ in sums}
+        totals = {lang: sum(x for (_, at), x in sums.items() if at == lang) for lang in langs}
+        return keys, lambda k: np.array([math.log(sums.get((k, lang), 0) + 1) - math.log(totals[lang] + len(keys) + 1) for lang in langs])
+
+    words, of_word = table((w, lang, n) for lang, w, n in counts)
+    grams = {size: table((f" {w} "[i : i + size], lang, 1 + math.log(n)) for lang, w, n in counts for i in range(len(w) + 3 - size)) for size in range(1, 6)}
+
+    def score(word):
+        if word in words:
+            return of_word(word)
+        for size in range(5, 0, -1):
+            known = [g for i in range(len(word) + 3 - size) if (g := f" {word} "[i : i + size]) in grams[size][0]]
+            if known:
+                return np.mean([grams[size][1](g) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    scorer = language_id.Scorer(model)
+    for text in (" ".join(rng.choice(WORDS, 6)) + " abcdxyz zzzz", "qqq", "abc " * 3 + WORDS[0] + "é"):
+        total = sum(score(w) for w in text.split())
+        lang, p = scorer.predict(text)
+        want = np.exp(total - total.max())
+        assert lang == langs[int(total.argmax())] and abs(p - want.max() / want.sum()) < 1e-4
+    assert have
+
+
 PII = {
     1: "mail a.b+c@mail-1.example.com, or x@y, a@b.com_c@d.org now", 2: "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8 and 001.002.003.255", 3: "card 4111 1111 1111 1111 or 4111111111111112",
     4: "call +1 (527) 555-9774 or +12 or +1234567890123456", 5: None, 6: "", 7: "1" * 20_000, 8: "a" * 20_000 + "@b", 9: "+1 (527) 555-9774, 4111-1111-1111-1111 a@b.cc 9.9.9.9" * 30,
