@@ -25,8 +25,8 @@ from .common import small, written
 from .words import slices, words
 
 #: Documents and bytes of text of a block at most (a longer text is a block of its own); queries and their bytes in a chunk.
-BLOCK = 8192
-BLOCK_BYTES = 64 << 20
+BLOCK = 4096
+BLOCK_BYTES = 32 << 20
 CHUNK = 256
 CHUNK_BYTES = 1 << 20
 #: Intervals of one query that take a step together.
