@@ -165,16 +165,6 @@ def sign_p_value(b: Column, n: Column) -> Column:
     return F.pandas_udf(_sign_p, DoubleType())(b, n)
 
 
-def bootstrap_interval(values: np.ndarray, resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> tuple[float, float]:
-    """Percentile bootstrap of the mean: sorted means at floor(a B) and floor((1-a) B) - 1. Values are sorted first, so order is no input."""
-    if not len(values):
-        return math.nan, math.nan
-    values, rng, tail = np.sort(values), np.random.default_rng([seed, len(values)]), (1 - confidence) / 2
-    step = max(1, 2_000_000 // len(values))
-    means = np.sort(np.concatenate([rng.choice(values, (min(step, resamples - i), len(values))).mean(axis=1) for i in range(0, resamples, step)]))
-    return float(means[math.floor(tail * resamples)]), float(means[math.floor((1 - tail) * resamples) - 1])
-
-
 def mann_whitney_exact(u: float, n: int, m: int) -> float:
     """Exact two-sided p of U without ties, by counting: how many of the arrangements give each U."""
     ways = np.zeros(n * m + 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import moments
 from ..functions.scores import ratio
 from .ordered import ks_distance
+from .quantiles import exact_quantiles
 
 
 def positional_bias(scores: DataFrame, item: str, position: Column, score: Column) -> DataFrame:
@@ -147,8 +148,9 @@ def release_confidence(runs: DataFrame, passed: Column, gated: Column, cost: Col
     ok = ~F.coalesce(gated, F.lit(False))
     n, costs = F.count(F.lit(1)), F.count(cost)
     out = runs.agg(
-        n.alias("n"), ratio(F.count_if(ok & passed), F.count_if(ok)).alias("pass_rate"), F.when(costs == n, F.avg(cost)).alias("mean_cost"), F.percentile(wall, 0.95).alias("p95_wall"), F.count_if(~ok).alias("gated")
+        n.alias("n"), ratio(F.count_if(ok & passed), F.count_if(ok)).alias("pass_rate"), F.when(costs == n, F.avg(cost)).alias("mean_cost"), F.count_if(~ok).alias("gated")
     )
+    out = out.join(exact_quantiles(runs.select(wall.alias("_w")), None, "_w", [0.95]).select(F.get("q", F.lit(0)).alias("p95_wall")), how="left")  # one row each
     issue = lambda when, name: F.when(F.coalesce(when, F.lit(True)), F.lit(name))
     critical = [issue(F.col("n") < limits["runs"], "too_few_runs"), issue(F.col("pass_rate") < limits["pass_rate"], "low_pass_rate")]
     other = [issue(F.col("mean_cost") > limits["cost"], "cost"), issue(F.col("p95_wall") > limits["wall"], "slow"), F.when(F.col("gated") > 0, F.lit("gated_runs"))]
@@ -164,10 +166,3 @@ def sentinel(history: DataFrame, judge: str, time: str, model: str, metric: str)
     rows = history.select(judge, time, metric, (before.isNotNull() & (before != F.col(model))).alias("_c"))
     out = rows.groupBy(judge).agg(F.count(F.lit(1)).alias("n"), F.min_by(metric, time).alias("first"), F.max_by(metric, time).alias("last"), F.count_if("_c").alias("changes"))
     return out.withColumn("trend", F.col("last") - F.col("first"))
-
-
-def quantile_edges(rows: DataFrame, value: str, buckets: int = 5) -> DataFrame:
-    """i, edge: distinct linear quantiles."""
-    qs = [i / buckets for i in range(1, buckets)]
-    edges = rows.agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, qs)))).alias("e"))
-    return edges.select(F.posexplode("e").alias("i", "edge"))

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import moments
 from ..functions.distributions import t_p_value
 from ..functions.scores import ratio
-from .ordered import ks_distance, recent_and_before
+from .ordered import adjusted_p, ks_distance, recent_and_before
+from .paired import poisson_bootstrap
+from .quantiles import exact_quantiles
+from .statistics import wilcoxon
 
 #: The classes of failures.
 FAILURE_CLASSES = [
@@ -104,7 +108,8 @@ def problems(runs: DataFrame, snapshot: Column) -> DataFrame:
 class Rule:
     """A class given to runs that have an event or span for which `when` holds, and for which the run's own condition does.
 
-    `on` says which rows `when` reads: events, spans or the run alone.
+    `on` says which rows `when` reads: events, spans, or tools (one that failed at every call) and offered (tools,
+    none called). `noted` is a condition on the run that does as well as a row; `named`: the row is given as trigger.
     """
 
     name: str
@@ -112,6 +117,8 @@ class Rule:
     on: str
     when: Column
     run: Column | None = None
+    noted: Column | None = None
+    named: bool = True
 
 
 def failure_rules() -> list[Rule]:
@@ -124,6 +131,7 @@ def failure_rules() -> list[Rule]:
     lost = F.coalesce(F.col("pass") == F.lit(False), F.lit(False))
     items = [f"$.{k}[*]" for k in ("missing", "optionalMissing", "ready")]
     timeout = (F.col("kind") == "error") & F.lower(F.coalesce(p("reason"), F.lit(""))).contains("timeout")
+    # fixed values: the rules' ids, the classes they give, and the codes and kinds they look for
     return [
         Rule("knowledge-readiness-blocked", "knowledge_readiness_blocked", "events", of("readiness_scored") & (p("passed") == "false")),
         Rule("bad-integration-manifest", "bad_integration_manifest", "events", (of("integration_manifest_validated") & (p("valid") == "false")) | (failed & (code == "manifest_invalid"))),
@@ -140,8 +148,7 @@ def failure_rules() -> list[Rule]:
         Rule("budget-breach", "budget_exceeded", "events", F.col("kind") == "budget_breach"),
         Rule("policy-violation", "policy_violation", "events", F.col("kind") == "policy_violation"),
         Rule("sandbox-failure", "sandbox_failure", "spans", (F.col("kind") == "sandbox") & (F.col("exitCode") != 0)),
-        Rule("timeout", "timeout", "events", timeout, F.col("status") == "aborted"),
-        Rule("timeout-noted", "timeout", "run", F.lower(F.coalesce(F.col("notes"), F.lit(""))).rlike("timeout|deadline"), F.col("status") == "aborted"),
+        Rule("timeout", "timeout", "events", timeout, F.col("status") == "aborted", F.lower(F.coalesce(F.col("notes"), F.lit(""))).rlike("timeout|deadline"), named=False),
         Rule("tool-recovery-failure", "tool_recovery_failure", "tools", F.lit(True)),
         Rule("tool-selection-error", "tool_selection_error", "offered", F.lit(True), lost),
         Rule("format-drift", "format_drift", "spans", (F.col("kind") == "judge") & (F.col("dimension") == "format") & (F.col("score") < 0.5)),
@@ -155,15 +162,15 @@ def classify_failures(runs: DataFrame, spans: DataFrame, events: DataFrame, rule
     dimension, score, bestHit (highest score of a retrieval's hits, null for none), toolsAvailable. events:
     runId, eventId, ord, kind, payload. A completed run that is not marked as failed is a success; a class
     given with the run counts before all rules; tool_recovery_failure: a tool with `least` calls or more
-    that all failed; tool_selection_error: tools offered, none called. One aggregate for each table and
+    that all failed, of several the one called first, its last failure being the trigger; tool_selection_error: tools offered, none called. One aggregate for each table and
     one join, whatever the number of rules.
     """
     rules = list(failure_rules() if rules is None else rules)
     first = lambda r, key: F.min(F.when(F.coalesce(r.when, F.lit(False)), F.struct("ord", F.col(key).cast("string").alias("id")))).alias(f"r_{r.name}")
     of = lambda on: [r for r in rules if r.on == on]
     tool = F.when(F.col("kind") == "tool", F.col("toolName"))
-    by_tool = spans.where(tool.isNotNull()).groupBy("runId", "toolName").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.max(F.when(F.col("status") == "error", F.struct("ord", F.col("spanId").cast("string").alias("id")))).alias("last"))
-    by_tool = by_tool.groupBy("runId").agg(F.sum("n").alias("_calls"), F.min(F.when((F.col("n") >= least) & (F.col("n") == F.col("bad")), F.col("last"))).alias("_stuck"))
+    by_tool = spans.where(tool.isNotNull()).groupBy("runId", "toolName").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.min("ord").alias("called"), F.max(F.when(F.col("status") == "error", F.struct("ord", F.col("spanId").cast("string").alias("id")))).alias("last"))
+    by_tool = by_tool.groupBy("runId").agg(F.sum("n").alias("_calls"), F.min(F.when((F.col("n") >= least) & (F.col("n") == F.col("bad")), F.struct("called", "last.id"))).alias("_stuck"))
     in_spans = spans.groupBy("runId").agg(F.max(F.when(F.col("kind") == "agent", F.col("toolsAvailable"))).alias("_offered"), *(first(r, "spanId") for r in of("spans")))
     in_events = events.groupBy("runId").agg(F.count(F.lit(1)).alias("_events"), *(first(r, "eventId") for r in of("events")))
     all_of = runs.join(in_spans, "runId", "left").join(in_events, "runId", "left").join(by_tool, "runId", "left")
@@ -177,10 +184,10 @@ def classify_failures(runs: DataFrame, spans: DataFrame, events: DataFrame, rule
             holds, trigger = F.col("_stuck").isNotNull(), F.col("_stuck.id")
         elif r.on == "offered":
             holds, trigger = (F.col("_offered") > 0) & (F.coalesce("_calls", F.lit(0)) == 0), none
-        elif r.on == "run":
-            holds, trigger = r.when, none
         else:
-            holds, trigger = F.col(f"r_{r.name}").isNotNull(), F.col(f"r_{r.name}")["id"]
+            found = F.col(f"r_{r.name}")
+            holds, trigger = found.isNotNull(), found["id"] if r.named else none
+            holds = holds if r.noted is None else holds | F.coalesce(r.noted, F.lit(False))
         holds = F.coalesce(holds & (F.lit(True) if r.run is None else r.run), F.lit(False))
         hits.append(F.when(holds, give(F.lit(r.gives), r.name, trigger)))
     found = F.coalesce(F.when(done, give(F.lit("success"), "completed", none)), F.when(said, give(F.col("failureClass"), "explicit-outcome", none)), *hits, give(F.lit("unknown"), "none", none))
@@ -233,14 +240,15 @@ def scorecard_diff(entries: DataFrame, scenario: str, profile: str, commit: str,
 def against_baseline(samples: DataFrame, metric: str, candidate: Column, value: Column, better: Column, effect: float = 0.5, alpha: float = 0.05, unstable: float = 0.3) -> DataFrame:
     """metric, n and mean of both sides, delta, d, t, df, p, iqr, verdict: improved, regressed, stable, or unstable if a side's IQR over its |mean| exceeds the limit.
 
-    better: whether higher values are. A metric with under two values on a side is insufficient. IQRs are
-    approximate to a ten-thousandth of the ranks, so a metric's values need not meet in one task.
+    better: whether higher values are. A metric with under two values on a side is insufficient. IQRs are those of
+    interpolated quartiles, exact without a metric's values in one task.
     """
     v = value.cast("double")
-    sides = samples.where(v.isNotNull()).groupBy(metric).agg(
-        F.bool_and(better).alias("_up"), *(summary(F.when(on, v)).alias(n) for n, on in (("a", ~candidate), ("b", candidate))),
-        *(F.percentile_approx(F.when(on, v), [0.25, 0.75], 10_000).alias(n) for n, on in (("_qa", ~candidate), ("_qb", candidate))),
-    )
+    told = samples.where(v.isNotNull()).select(F.col(metric).alias("_m"), F.coalesce(candidate, F.lit(False)).alias("_c"), v.alias("_v"), better.alias("_b"))
+    sides = told.groupBy("_m").agg(F.bool_and("_b").alias("_up"), *(summary(F.when(F.col("_c") == on, F.col("_v"))).alias(n) for n, on in (("a", False), ("b", True))))
+    quartiles = exact_quantiles(told.select(F.struct("_m", "_c").alias("_of"), "_v"), "_of", "_v", [0.25, 0.75]).groupBy(F.col("_of._m").alias("_m"))
+    quartiles = quartiles.agg(*(F.max(F.when(F.col("_of._c") == on, F.col("q"))).alias(n) for n, on in (("_qa", False), ("_qb", True))))
+    sides = sides.join(quartiles, "_m").withColumnRenamed("_m", metric)
     a, b = F.col("a"), F.col("b")
     c = compared(a, b)
     spread = lambda q: F.get(q, F.lit(1)) - F.get(q, F.lit(0))
@@ -269,9 +277,11 @@ def silent_fallback(runs: DataFrame, lane: str, order: Sequence[str], run: str,
 
 
 def calibration_drift(runs: DataFrame, lane: str, order: Sequence[str], confidence: str, recent: int = 20, before: int = 50, least: int = 10, alpha: float = 0.05) -> DataFrame:
-    """lane, n_recent, n_before, d, critical, alert: the last confidences against those before; alert is null where a side has under `least`."""
-    rows = recent_and_before(runs.where(F.col(confidence).isNotNull()), lane, order, recent, before)
+    """lane, n_recent, n_before, d, critical, alert: the last finite confidences against those before; alert is null where a side has under `least`."""
+    finite = F.col(confidence).isNotNull() & ~F.isnan(F.col(confidence).cast("double")) & (F.abs(F.col(confidence)) < float("inf"))
+    rows = recent_and_before(runs.where(finite), lane, order, recent, before)
     by = ks_distance(rows, lane, "part", confidence)
+    # fixed values: the two-sample test's factors at 0.01, 0.05, 0.1 and above
     scale = 1.63 if alpha <= 0.01 else 1.36 if alpha <= 0.05 else 1.22 if alpha <= 0.1 else 1.0
     a, b = F.col("n_recent").cast("double"), F.col("n_before").cast("double")
     critical = scale * F.sqrt(F.try_divide(a + b, a * b))
@@ -298,8 +308,35 @@ def judge_insights(scores: DataFrame, run: str, judge: str, score: Column) -> Da
     return means.groupBy(judge).agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean"))
 
 
-def summary_table(runs: DataFrame, candidate: str, score: Column, z: float = 1.959963984540054) -> DataFrame:
-    """candidate, n, mean, ci_low, ci_high (normal) of each candidate's scores."""
-    by = runs.where(score.isNotNull()).groupBy(candidate).agg(summary(score).alias("_s"))
-    half = z * F.sqrt(F.coalesce(F.col("_s.var"), F.lit(0.0)) / F.col("_s.n"))
-    return by.select(candidate, F.col("_s.n").alias("n"), F.col("_s.mean").alias("mean"), (F.col("_s.mean") - half).alias("ci_low"), (F.col("_s.mean") + half).alias("ci_high"))
+def summary_table(runs: DataFrame, candidate: str, score: Column, key: Sequence[str] = (), comparator: str | None = None, row: Column | None = None, least: int = 6, **bootstrap) -> DataFrame:
+    """candidate, n, mean, ci_low, ci_high of finite scores, and against a comparator: paired_n, unpaired, unpaired_comparator, dz, p, q.
+
+    The interval is normal, or with `row`, an integer key of each run, the Poisson bootstrap's. Runs are matched
+    by key, repetitions by score order of equal keys; p is Wilcoxon's from `least` pairs on, q its
+    Benjamini-Hochberg value among the candidates; the comparator's own row has none of them.
+    """
+    x = score.cast("double")
+    own = runs.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).withColumn("_s", x)
+    if row is None:
+        by = own.groupBy(candidate).agg(summary(F.col("_s")).alias("_t"))
+        half = 1.959963984540054 * F.sqrt(F.coalesce(F.col("_t.var"), F.lit(0.0)) / F.col("_t.n"))
+        out = by.select(candidate, F.col("_t.n").alias("n"), F.col("_t.mean").alias("mean"), (F.col("_t.mean") - half).alias("ci_low"), (F.col("_t.mean") + half).alias("ci_high"))
+    else:
+        out = poisson_bootstrap(own, candidate, row, F.col("_s"), **bootstrap).withColumnsRenamed({"low": "ci_low", "high": "ci_high"})
+    if comparator is None:
+        return out
+    place = F.row_number().over(W.partitionBy(candidate, *key).orderBy("_s"))
+    numbered = own.select(candidate, *key, "_s", place.alias("_rep"))
+    of = numbered.where(F.col(candidate) == comparator).select(*key, "_rep", F.col("_s").alias("_c"))
+    others = numbered.where(F.col(candidate) != comparator)
+    pairs = others.join(of, [*key, "_rep"])
+    d = F.col("_c") - F.col("_s")
+    met = pairs.groupBy(candidate).agg(F.count(F.lit(1)).alias("paired_n"), moments.paired_dz(d).alias("dz"))
+    ranked = wilcoxon(pairs, candidate, F.col("_s"), F.col("_c")).select(candidate, "p")
+    total = own.where(F.col(candidate) == comparator).agg(F.count(F.lit(1)).alias("_all"))
+    out = out.join(met, candidate, "left").join(ranked, candidate, "left").crossJoin(F.broadcast(total))  # one row
+    other = F.col(candidate) != comparator
+    n = F.when(other, F.coalesce("paired_n", F.lit(0).cast("long")))
+    out = out.withColumns({"paired_n": n, "unpaired": F.when(other, F.col("n") - n), "unpaired_comparator": F.when(other, F.col("_all") - n), "p": F.when(n >= least, F.col("p"))})
+    tested = adjusted_p(out.where("p is not null").select(F.lit(0).alias("_f"), candidate, "p"), "_f", "p", candidate).select(candidate, F.col("bh").alias("q"))
+    return out.join(tested, candidate, "left").select(candidate, "n", "mean", "ci_low", "ci_high", "paired_n", "unpaired", "unpaired_comparator", "dz", "p", "q")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import moments
-from ..functions.distributions import bootstrap_interval, normal_p_value, rank_p_value, sign_p_value, signed_rank_p_value, t_p_value
+from ..functions.distributions import normal_p_value, rank_p_value, sign_p_value, signed_rank_p_value, t_p_value
 from ..functions.scores import cliffs_band, ratio
 from .ordered import average_ranks
 
@@ -58,11 +58,6 @@ def wilcoxon(pairs: DataFrame, group: str, before: Column, after: Column) -> Dat
     return out.select(group, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
-def paired_bootstrap(pairs: DataFrame, group: str, before: Column, after: Column, resamples: int = 1000) -> DataFrame:
-    """group, n, mean, low, high: percentile bootstrap of the mean paired difference."""
-    return bootstrap_ci(pairs.select(group, (after - before).cast("double").alias("_d")), group, "_d", resamples)
-
-
 def rank_sums(rows: DataFrame, group: str, arm: str, arms: tuple[str, str], value: str) -> DataFrame:
     """group, n_a, n_b, u (of arm b over arm a), ties: sum of t^3 - t over tie groups. One row a value meets the window."""
     by = rows.where(F.col(arm).isin(*arms)).groupBy(group, value).agg(F.count_if(F.col(arm) == arms[0]).alias("a"), F.count_if(F.col(arm) == arms[1]).alias("b"))
@@ -155,28 +150,6 @@ def js_divergence(rows: DataFrame, group: str, side: Column, sides: tuple[str, s
     return cells.groupBy(group).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(part(F.col("p")) + part(F.col("q"))) / 2)).alias("jsd"))
 
 
-def bootstrap_ci(rows: DataFrame, group: str, value: str, resamples: int = 1000) -> DataFrame:
-    """group, n, mean, low, high: percentile bootstrap of the mean.
-
-    Resampling a group of n draws counts of its distinct values, so only value counts reach a task, not rows.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    kind = rows.schema[group].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, k = pdf["v"].to_numpy(), pdf["k"].to_numpy()
-        n = int(k.sum())
-        if n <= 100_000:
-            low, high = bootstrap_interval(np.repeat(v, k), resamples)
-        else:
-            means = np.sort(np.random.default_rng([0, n]).multinomial(n, k / n, resamples) @ v / n)
-            low, high = means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [n], "mean": [float(v @ k / n)], "low": [low], "high": [high]})
-
-    return counts.groupBy(group).applyInPandas(run, f"{group} {kind}, n long, mean double, low double, high double")
-
-
 def bradley_terry(wins: DataFrame, smoothing: float = 0.1, tolerance: float = 1e-6, rounds: int = 256) -> DataFrame:
     """(a, b, wins_a, wins_b, draws) -> candidate, strength (geometric mean 1): minorise-maximise on the candidates' matrix.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import joins as J
+from ..operators import quantiles as Q
 from ..operators import rules as R
 from ..session import table
 from .aggregates import rounded
@@ -164,4 +165,4 @@ def judge_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select (i - 1)::int as i, edge from (select unnest(list_distinct_sorted) as edge, generate_subscripts(list_distinct_sorted, 1) as i from (select list_sort(list_distinct(quantile_cont(value, [0.2, 0.4, 0.6, 0.8]))) as list_distinct_sorted from events))")
 def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.quantile_edges(table(spark, sf_dir, "events"), "value")
+    return Q.quantile_edges(table(spark, sf_dir, "events"), "value")

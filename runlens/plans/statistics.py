@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import statistics as S
 from ..session import table
 from .aggregates import rounded
-from .registry import query
+from .registry import query, t_p_sql
 
 
 @query("""
@@ -135,10 +135,13 @@ def mcnemar_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.mcnemar(pairs.withColumn("dim", F.col("o_custkey") % 20), "dim", F.col("before") == "F", F.col("after") == "F").select("dim", "b", "c", "p"), "p")
 
 
-@query()
+@query(f"""
+with x as (select l_suppkey, {_ARMS} from lineitem), g as (select l_suppkey, avg(b) - avg(a) as gap, var_samp(a) / count(a) as va, var_samp(b) / count(b) as vb, count(a) as na, count(b) as nb, sqrt(((count(a) - 1) * var_samp(a) + (count(b) - 1) * var_samp(b)) / (count(a) + count(b) - 2)) as sd from x group by 1),
+t as (select *, gap / sqrt(va + vb) as t, (va + vb) ** 2 / (va ** 2 / (na - 1) + vb ** 2 / (nb - 1)) as df from g)
+select l_suppkey, round(t, 6) as t, round(df, 4) as df, round(gap / sd, 6) as d, round({t_p_sql("t", "df")}, 5) as p from t""")
 def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.when(F.col("l_returnflag") == f, F.col("l_quantity")) for f in "AR")
-    return S.welch_test(table(spark, sf_dir, "lineitem"), "l_suppkey", a, b)
+    return rounded(rounded(rounded(S.welch_test(table(spark, sf_dir, "lineitem"), "l_suppkey", a, b), "t", "d"), "df", places=4), "p", places=5)
 
 
 @query(f"""
@@ -153,11 +156,6 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mann_whitney(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag", ("A", "R"), "l_quantity")
 
 
-@query()
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bootstrap_ci(table(spark, sf_dir, "events"), "event_type", "value")
-
-
 @query()
 def bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bradley_terry(J.pairwise_wins(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", F.col("o_totalprice"), 1000.0))

@@ -48,7 +48,7 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JOURNAL = """
 j as (select user_id as run, event_id as ord, case event_type when 'view' then 'spawned' when 'click' then 'settled' when 'purchase' then 'cancelled' when 'error' then 'metered' else 'steered' end as kind,
   'n' || (event_id % 9) as id, case when event_id % 4 = 0 then '' else 'n' || (event_id // 9 % 10) end as parent, case when event_id % 17 = 0 then null else 'l' || (event_id % 3) end as label,
-  case event_id % 5 when 0 then 'supervisor' when 1 then 'worker' when 2 then 'boss' end as role, epoch_ms(ts) as moment, case when value > 50 then 'done' else 'down' end as status, floor(value)::bigint as input, user_id % 7 as output, round(value / 100, 2) as usd from events),
+  case event_id % 5 when 0 then 'supervisor' when 1 then 'worker' when 2 then 'boss' end as role, epoch_us(ts) // 1000 as moment, case when value > 50 then 'done' else 'down' end as status, floor(value)::bigint as input, user_id % 7 as output, round(value / 100, 2) as usd from events),
 """
 
 
