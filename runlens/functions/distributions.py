@@ -141,13 +141,13 @@ def _sign_p(b: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_two_sided(int(x), int(m)) for x, m in zip(b, n, strict=True)], dtype="float64")
 
 
-def _rank_p(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([None if math.isnan(a) else mann_whitney_exact(x, int(a), int(b)) for x, a, b in zip(u.astype(float), n.astype(float), m, strict=True)], dtype="float64")
+def _rank_p(u: pd.Series, n: pd.Series, m: pd.Series, times: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else mann_whitney_exact(x, int(a), int(b), [int(v) for v in t]) for x, a, b, t in zip(u, n, m, times, strict=True)], dtype="float64")
 
 
-def rank_p_value(u: Column, n: Column, m: Column) -> Column:
-    """Exact two-sided p of the rank sum statistic u of untied samples of n and m; null where n is."""
-    return F.pandas_udf(_rank_p, DoubleType())(u, n, m)
+def rank_p_value(u: Column, n: Column, m: Column, times: Column) -> Column:
+    """Exact two-sided p of the rank sum statistic u of samples of n and m whose values, in order, occur so many times; null where times is."""
+    return F.pandas_udf(_rank_p, DoubleType())(u, n, m, times)
 
 
 def t_p_value(t: Column, df: Column) -> Column:
@@ -165,14 +165,28 @@ def sign_p_value(b: Column, n: Column) -> Column:
     return F.pandas_udf(_sign_p, DoubleType())(b, n)
 
 
-def mann_whitney_exact(u: float, n: int, m: int) -> float:
-    """Exact two-sided p of U without ties, by counting: how many of the arrangements give each U."""
-    ways = np.zeros(n * m + 1)
-    ways[0] = 1
-    for i in range(1, m + 1):  # the generating function's factors (1 - q^(n+i)) / (1 - q^i)
-        for k in range(n * m, n + i - 1, -1):
-            ways[k] -= ways[k - n - i]
-        for k in range(i, n * m + 1):
-            ways[k] += ways[k - i]
-    low = min(u, n * m - u)
-    return min(1.0, 2 * float(ways[: math.floor(low) + 1].sum() / ways.sum()))
+def mann_whitney_exact(u: float, n: int, m: int, times: list[int] | None = None) -> float:
+    """Exact two-sided p of U: the share of the ways to deal the pooled values to samples of n and m whose U lies as far from its centre or farther.
+
+    `times` says how often each value occurs, in order; without it none occurs twice. Ways are counted by the
+    number dealt to the second sample and its doubled U, value by value.
+    """
+    times = [1] * (n + m) if times is None else times
+    if m > n:  # the smaller sample makes the smaller table
+        u, n, m = n * m - u, m, n
+    ways = np.zeros((m + 1, 2 * n * m + 1))
+    ways[0, 0] = 1
+    seen = 0
+    for t in times:
+        new = np.zeros_like(ways)
+        for had in range(min(m, seen) + 1):
+            row = ways[had]
+            if not row.any():
+                continue
+            before = seen - had  # of the first sample, below this value
+            for k in range(max(0, t - (n - before)), min(t, m - had) + 1):
+                step = k * (2 * before + (t - k))
+                new[had + k, step:] += math.comb(t, k) * row[: len(row) - step]
+        ways, seen = new / new.sum(), seen + t
+    far = np.abs(np.arange(2 * n * m + 1) - n * m) >= abs(2 * u - n * m) - 1e-9
+    return min(1.0, float(ways[m][far].sum() / ways[m].sum()))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import moments
+from ..functions.distributions import incomplete_beta
+from ..functions.random import uniform
 from ..functions.scores import ratio
 from .ordered import ks_distance
 from .quantiles import exact_quantiles
@@ -166,3 +169,39 @@ def sentinel(history: DataFrame, judge: str, time: str, model: str, metric: str)
     rows = history.select(judge, time, metric, (before.isNotNull() & (before != F.col(model))).alias("_c"))
     out = rows.groupBy(judge).agg(F.count(F.lit(1)).alias("n"), F.min_by(metric, time).alias("first"), F.max_by(metric, time).alias("last"), F.count_if("_c").alias("changes"))
     return out.withColumn("trend", F.col("last") - F.col("first"))
+
+
+def beta_quantile(p: Column, a: Column, b: Column) -> Column:
+    """The value below which a beta variable of (a, b) lies with chance p, by halving."""
+
+    def solve(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for q, x, y in zip(p, a, b, strict=True):
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if incomplete_beta(x, y, mid) < q else (low, mid)
+            out.append((low + high) / 2)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(solve, "double")(p, a.cast("double"), b.cast("double"))
+
+
+def thompson_curriculum(cells: DataFrame, observations: DataFrame, cell: Sequence[str], key: Column, passed: Column, budget: int, threshold: float = 0.5, prior: tuple[float, float] = (1.0, 1.0), seed: int = 0) -> DataFrame:
+    """cell, n, sampled, weight, count: how many of `budget` runs each candidate cell gets, most where a draw of its pass rate lies near the threshold.
+
+    The draw is the beta quantile, at passes and failures plus the prior, of a uniform number of the cell's integer
+    key and the seed alone. weight falls with the squared distance over the posterior's deviation (0.05 at least);
+    counts are rounded one by one. Cells without observations have the prior; observations of other cells do not count.
+    """
+    told = observations.where(passed.isNotNull()).groupBy(*cell).agg(F.count_if(passed).alias("_p"), F.count_if(~passed).alias("_f"))
+    rows = cells.withColumn("_key", key.cast("long")).join(told, list(cell), "left")
+    p, f = (F.coalesce(c, F.lit(0)) for c in ("_p", "_f"))
+    rows = rows.select(*cell, "_key", (p + f).alias("n"), (p + prior[0]).alias("_a"), (f + prior[1]).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    rows = rows.withColumn("sampled", beta_quantile(uniform(F.col("_key"), F.lit(0), seed), a, b))
+    far = (F.col("sampled") - threshold) / F.greatest(F.lit(0.05), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
+    rows = rows.withColumn("weight", F.exp(-far * far))
+    total = rows.agg(F.sum("weight").alias("_total"))
+    share = F.coalesce(F.try_divide(F.col("weight"), F.col("_total")), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(total)).select(*cell, "n", "sampled", "weight", F.floor(share * budget + 0.5).alias("count"))  # one row of totals

@@ -75,16 +75,19 @@ def cliffs_delta(rows: DataFrame, group: str, arm: str, arms: tuple[str, str], v
 
 
 def mann_whitney(rows: DataFrame, group: str, arm: str, arms: tuple[str, str], value: str) -> DataFrame:
-    """group, n_a, n_b, u, z, p: two-sided; exact without ties up to n_a n_b = EXACT_CELLS, else the normal approximation, tie-corrected with continuity."""
+    """group, n_a, n_b, u, z, p: two-sided; exact, ties included, up to n_a n_b = EXACT_CELLS, else the normal approximation, tie-corrected with continuity. 1 where an arm is empty."""
     sums = rank_sums(rows, group, arm, arms, value)
     a, b, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), (F.col("n_a") + F.col("n_b")).cast("double")
     var = a * b / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
     gap = F.col("u") - a * b / 2
     z = F.try_divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), F.sqrt(var))
-    exact = (F.col("ties") == 0) & (F.col("n_a") * F.col("n_b")).between(1, EXACT_CELLS)
-    out = sums.select(group, "n_a", "n_b", "u", z.alias("z"), exact.alias("_exact"))
-    p = F.coalesce(rank_p_value("u", F.when(F.col("_exact"), F.col("n_a")), "n_b"), normal_p_value("z"))
-    return out.withColumn("p", p).drop("_exact")
+    few = (F.col("n_a") * F.col("n_b")).between(1, EXACT_CELLS)
+    # how often each value occurs, in order: what the exact count needs of a small group
+    by = rows.where(F.col(arm).isin(*arms)).groupBy(group, value).agg(F.count(F.lit(1)).alias("_t")).join(sums.where(few).select(group), group, "left_semi")
+    times = by.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(value, "_t"))), lambda x: x["_t"]).alias("_times"))
+    out = sums.select(group, "n_a", "n_b", "u", z.alias("z")).join(times, group, "left")
+    p = F.coalesce(rank_p_value("u", "n_a", "n_b", "_times"), normal_p_value("z"), F.lit(1.0))
+    return out.withColumn("p", p).drop("_times")
 
 
 def welch_test(rows: DataFrame, group: str, a: Column, b: Column) -> DataFrame:

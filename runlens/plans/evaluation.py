@@ -11,7 +11,7 @@ from ..operators import quantiles as Q
 from ..operators import rules as R
 from ..session import table
 from .aggregates import rounded
-from .registry import query
+from .registry import query, uniform_sql
 
 
 @query("select * from events where (event_type in ('error', 'view') and value >= 90) or not (user_id > 2)")
@@ -166,3 +166,20 @@ def judge_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select (i - 1)::int as i, edge from (select unnest(list_distinct_sorted) as edge, generate_subscripts(list_distinct_sorted, 1) as i from (select list_sort(list_distinct(quantile_cont(value, [0.2, 0.4, 0.6, 0.8]))) as list_distinct_sorted from events))")
 def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.quantile_edges(table(spark, sf_dir, "events"), "value")
+
+
+_TERMS = "list_sum(list_transform(range(a::int, (a + b)::int), lambda j: exp(lgamma(a + b) - lgamma(j + 1) - lgamma(a + b - j)) * pow((l + h) / 2, j) * pow(1 - (l + h) / 2, a + b - 1 - j)))"
+
+
+@query(f"""
+with recursive c as (select distinct user_id % 40 as variant, event_type as scenario from events), o as (select user_id % 40 as variant, event_type as scenario, count(*) filter (where value >= 60) as p, count(*) filter (where value < 60) as f from events where event_id % 3 > 0 and user_id % 40 < 30 group by all),
+k as (select c.*, coalesce(p, 0) + 1.0 as a, coalesce(f, 0) + 1.0 as b, {uniform_sql("variant * 10 + length(scenario)", "0", 5)} as u from c left join o using (variant, scenario)),
+t as (select *, 0 as i, 0.0::double as l, 1.0::double as h from k union all select variant, scenario, a, b, u, i + 1, case when s < u then (l + h) / 2 else l end, case when s < u then h else (l + h) / 2 end from (select *, {_TERMS} as s from t where i < 60)),
+w as (select variant, scenario, (a + b - 2)::bigint as n, (l + h) / 2 as sampled, exp(-pow(((l + h) / 2 - 0.5) / greatest(0.05, sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))), 2)) as weight from t where i = 60)
+select variant, scenario, n, round(sampled, 6) as sampled, round(weight, 6) as weight, floor(weight / sum(weight) over () * 1000 + 0.5)::bigint as count from w""")
+def thompson_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("variant"), F.col("event_type").alias("scenario"), "event_id", "value")
+    seen = runs.where("event_id % 3 > 0 and variant < 30")
+    key = F.col("variant") * 10 + F.length("scenario")
+    out = E.thompson_curriculum(runs.select("variant", "scenario").distinct(), seen, ["variant", "scenario"], key, F.col("value") >= 60, 1000, seed=5)
+    return rounded(out, "sampled", "weight")

@@ -12,7 +12,7 @@ from ..operators import paired as P
 from ..operators import quantiles as Q
 from ..session import table
 from .aggregates import rounded
-from .registry import query
+from .registry import query, uniform_sql
 
 _Z = 1.959963984540054
 
@@ -69,12 +69,8 @@ def paired_risk_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _poisson_sql(key: str, counter: str) -> str:
     """The Poisson draw of a key and a counter: the generator's three rounds, then the distribution's steps."""
-    p = (1 << 31) - 1
-    h = f"((({key})::bigint & {p}) * 48271 + ((({key})::bigint >> 31) & {p}) * 69621 + {counter} * 40692 + 1) % {p}"
-    for shift, factor in ((13, 1103515245), (11, 1597334677), (15, 630360016)):
-        h = f"list_transform([{h}], lambda h: (xor(h, h >> {shift}) * {factor}) % {p})[1]"
     steps = [sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) for j in range(14)]
-    return f"list_transform([({h} + 0.5) / {float(p)}], lambda u: {' + '.join(f'(u >= {s!r})::int' for s in steps)})[1]"
+    return f"list_transform([{uniform_sql(key, counter)}], lambda u: {' + '.join(f'(u >= {s!r})::int' for s in steps)})[1]"
 
 
 @query(f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import canonical as C
 from ..functions import text as T
 from ..operators import texts as X
 from ..session import table
@@ -89,3 +90,18 @@ select case when ('0x' || substr(sha256(doc_id::varchar || 'split'), 1, 12))::bi
 def held_out_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(T.hash_to_unit(F.col("doc_id").cast("string"), "split") < 0.2, "holdout").otherwise("search")
     return table(spark, sf_dir, "documents").groupBy(tag.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query(r"""
+with t as (select o_orderkey, regexp_replace(o_totalprice::varchar, '\.0$', '') as price, o_orderpriority as p, o_custkey as c from orders),
+c as (select *, '{"a":{"b":"' || p || '\n\u0001","nested":[],"€":null},"k":[' || c || ',100,0,0.000001,1e-7,1e+21,' || case when o_orderkey % 2 = 0 then '"\"q\\"' else 'true' end || '],"price":' || price || ',"😀":1,"ﬀ":2}' as j0 from t),
+j as (select *, replace(j0, '"😀"', '"😀"') as j from c)
+select o_orderkey, case when o_orderkey % 11 > 0 then j end as canonical, case when o_orderkey % 11 > 0 then 'sha256:' || sha256(j) end as digest from j""")
+def canonical_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    parts = [
+        ' { "ﬀ" : 2.0 , "price": ', price, ',\n "k": [', F.col("o_custkey").cast("string"), ", 1e2, -0.0, 1E-6, 0.0000001, 1000000000000000000000, ", F.when(k % 2 == 0, r'"\"q\\"').otherwise("true"),
+        r'], "a": {"€": null, "nested" : [ ], "b": "', F.col("o_orderpriority"), r'\n\u0001"}, "😀": 1', F.when(k % 11 == 0, ', "x": NaN').when(k % 3 == 0, ', "price": ').otherwise(""), F.when((k % 11 > 0) & (k % 3 == 0), price).otherwise(""), "}",
+    ]
+    made = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.canonical_json(made).alias("canonical"), C.canonical_hash(made).alias("digest"))
