@@ -29,20 +29,54 @@ def rollouts(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.ROLLOUTS)
 
 
-def log_store(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """An append-only JSON log of rows and patches as its latest rows, one for each key.
+def lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """file, block, at, value: the lines of text files, which Spark splits; block is the byte where a split begins.
 
-    A later line patches an earlier one: of each column the last line that has it counts, an explicit
-    null too. Files go by name, with a rolled file before the active one; lines by place in the file.
+    at grows along a split, so (file, block, at) orders a file's lines whatever tasks read them. It holds where
+    lines() is read directly, before any shuffle.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("f"), "value")
-    lines = raw.select("f", F.posexplode(F.split("value", "\n")).alias("n", "line")).where("trim(line) <> ''")
-    row = F.from_json("line", schema, {"mode": "FAILFAST"})
-    has = F.json_object_keys("line")
-    parsed = lines.select(F.struct("f", "n").alias("at"), row.alias("r"), has.alias("has"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def numbered(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """file, line (from 0, blank ones counted), value: one more scan counts the lines of each split."""
+    own = W.partitionBy("file").orderBy("block")
+    rows = lines(spark, path, pattern)
+    splits = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row for each split
+    splits = splits.withColumn("before", F.sum("n").over(own) - F.col("n")).drop("n")
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("line"), "value")
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(file, block, at, r, has) of JSON lines of a schema with the keys each has, and (file, line, value) of those that are none; blank lines count as neither."""
+    good = lambda df: df.where("trim(value) <> ''").withColumn("_keys", F.json_object_keys("value"))
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    read = good(lines(spark, path, pattern)).where(F.col("_keys").isNotNull())
+    bad = good(numbered(spark, path, pattern)).where(F.col("_keys").isNull())
+    return read.select("file", "block", "at", row.alias("r"), F.col("_keys").alias("has")), bad.select("file", "line", "value")
+
+
+def log_store(spark: SparkSession, path: str, schema: str, key: str, source: bool = False) -> DataFrame:
+    """An append-only JSON log of rows and patches as its latest rows, one for each key; with `source`, also the file that wrote to each row last.
+
+    A later line patches an earlier one: of each column the last line that has it counts, an explicit null too.
+    Files go by name, with a rolled file before the active one; lines by place in the file, which several tasks
+    may read. A line that is no JSON object, or one without key, is an error that names its file and split.
+    """
+    rows = lines(spark, path).where("trim(value) <> ''")
+    row, has = F.from_json("value", schema, {"mode": "FAILFAST"}), F.json_object_keys("value")
+    where = F.concat(F.col("file"), F.lit(", split from byte "), F.col("block").cast("string"), F.lit(": "), F.substring("value", 1, 80))
+    checked = F.when(has.isNull(), F.raise_error(F.concat(F.lit("no JSON object in "), where)).cast("string")).otherwise(F.col("value"))
+    rows = rows.withColumn("value", checked)
+    parsed = rows.select(F.struct("file", "block", "at").alias("place"), row.alias("r"), has.alias("has"), where.alias("where"))
     fields = parsed.schema["r"].dataType.fieldNames()
-    last = [F.max_by(F.col(f"r.{c}"), F.when(F.array_contains("has", c), F.col("at"))).alias(c) for c in fields if c != key]
-    return parsed.groupBy(F.col(f"r.{key}").alias(key)).agg(*last).select(*fields)
+    named = F.coalesce(F.col(f"r.{key}").cast("string"), F.raise_error(F.concat(F.lit(f"no {key} in "), F.col("where"))).cast("string"))
+    last = [F.max_by(F.col(f"r.{c}"), F.when(F.array_contains("has", c), F.col("place"))).alias(c) for c in fields if c != key]
+    last += [F.max("place")["file"].alias("source")] if source else []
+    out = parsed.groupBy(named.cast(parsed.schema["r"].dataType[key].dataType).alias(key)).agg(*last)
+    return out.select(*fields, *(["source"] if source else []))
 
 
 def flat_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +150,7 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 def transcript(spark: SparkSession, path: str) -> DataFrame:
     """file, line, type, role, text, input and output tokens of coding-agent transcripts in JSON lines; the two common dialects."""
     at = lambda *ps: F.coalesce(*(F.get_json_object("value", p) for p in ps))
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    rows = numbered(spark, path)
     return rows.where("trim(value) <> ''").select(
         "file", "line", at("$.type").alias("type"), at("$.message.role", "$.role", "$.item.role").alias("role"),
         at("$.message.content", "$.item.text", "$.content", "$.text").alias("text"),

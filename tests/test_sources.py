@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.sources import readers as R
@@ -17,6 +18,37 @@ def test_later_lines_patch_earlier_ones(spark, tmp_path):
     assert [tuple(r) for r in got] == [("a", "done", None), ("b", "done", None)]
 
 
+def test_a_file_is_read_by_several_tasks(spark, tmp_path):
+    n = 6000
+    with (tmp_path / "runs.1.ndjson").open("w") as f:
+        for i in range(n):
+            f.write(json.dumps({"runId": f"r{i % 1500}", "status": f"s{i}", **({"layer": f"l{i}"} if i < 1500 else {})}) + "\n")
+    (tmp_path / "runs.2.ndjson").write_text('{"runId":"r7","layer":null}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert R.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {r.runId: (r.status, r.layer, r.source.rsplit("/", 1)[1]) for r in R.log_store(spark, str(tmp_path), schemas.RUNS, "runId", source=True).collect()}
+        assert got == {f"r{i}": (f"s{i + 4500}", None if i == 7 else f"l{i}", "runs.2.ndjson" if i == 7 else "runs.1.ndjson") for i in range(1500)}
+        numbered = R.numbered(spark, str(tmp_path), "*.1.ndjson").collect()
+        assert sorted((r.line, json.loads(r.value)["status"]) for r in numbered) == [(i, f"s{i}") for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_malformed_lines_are_named(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text('{"runId":"a"}\n\nnot json\n[1]\n{"status":"x"}\n{"runId":"b","status":5}\n')
+    good, bad = R.parsed_lines(spark, str(tmp_path), schemas.RUNS)
+    assert sorted((r.line, r.value) for r in bad.collect()) == [(2, "not json"), (3, "[1]")] and good.count() == 3
+    with pytest.raises(Exception, match="no JSON object in .*a.ndjson, split from byte 0: not json"):
+        R.log_store(spark, str(tmp_path), schemas.RUNS, "runId").collect()
+    (tmp_path / "a.ndjson").write_text('{"status":"x"}\n')
+    with pytest.raises(Exception, match="no runId in"):
+        R.log_store(spark, str(tmp_path), schemas.RUNS, "runId").collect()
+
+
 def test_nested_export_becomes_runs(spark, tmp_path):
     attribute = lambda k, v: {"key": k, "value": {"stringValue": v}}
     spans = [
