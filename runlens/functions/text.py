@@ -21,6 +21,9 @@ REDACTIONS = {
 }
 #: What a text must hold for a rule to match at all: a part of it, or a pattern.
 _NEEDS = {"email": "@", "aws-access-key": "AKIA", "sk-key": "sk-", "private-key-block": "-----BEGIN "}
+_NEEDS_PATTERN = {
+    "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "credit-card": "[0-9](?:[ -]*[0-9]){12}", "phone-us": r"[0-9]{3}[-.\s]?[0-9]{4}", "ipv4": r"[0-9]\.[0-9]{1,3}\.[0-9]", "bearer": "(?i)bearer",
+}
 #: An edge between ASCII letters, digits and underscores and anything else; Java's own knows other letters too.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Phrases of empty prose by kind.
@@ -55,9 +58,9 @@ def redact(rows: DataFrame, text: str, into: str, rules: dict[str, str] | None =
     is counted afterwards, less what stood there before.
     """
     rules, own, marks = rules or REDACTIONS, rows.columns, "_said"
-    now = rows.withColumns({"_digit": F.col(text).rlike("[0-9]"), marks: F.col(text)})
+    now = rows.withColumn(marks, F.col(text))
     for i, (name, pattern) in enumerate(rules.items()):
-        needs = F.col(marks).contains(_NEEDS[name]) if name in _NEEDS else F.lit(True) if name == "bearer" or name not in REDACTIONS else F.col("_digit")
+        needs = F.col(marks).contains(_NEEDS[name]) if name in _NEEDS else F.col(marks).rlike(_NEEDS_PATTERN[name]) if name in _NEEDS_PATTERN else F.lit(True)
         done = F.when(needs, F.regexp_replace(marks, pattern.replace(r"\b", _EDGE), f"[redacted:{name}]")).otherwise(F.col(marks))
         now = now.withColumn(f"_said{i}", done)
         marks = f"_said{i}"
