@@ -228,6 +228,57 @@ def eprocess(rows: DataFrame, lane: str, order: Sequence[str], x: Column, null:
     return dealt.mapInPandas(run, f"{lane} {kind}, n long, wealth double, decided_at long")
 
 
+class Gate:
+    """A paired test that may stop at any time: `promote` once the wealth of n >= least pairs reaches 1 / alpha, `undecided-at-maxN` if `most` pairs end without.
+
+    A decision stays, and what comes after it is not looked at. deltas lie within the scale; the null is a gain of
+    min_effect at most.
+    """
+
+    def __init__(self, most: int, least: int = 5, scale: float = 1.0, alpha: float = 0.05, min_effect: float = 0.0, decrease: bool = False) -> None:
+        if not 1 <= least <= most or not 0 <= min_effect < scale:
+            raise ValueError("1 <= least <= most and 0 <= min_effect < scale")
+        self.process, self.most, self.least, self.scale, self.sign = Wealth(0.5 + min_effect / (2 * scale), alpha), most, least, scale, -1 if decrease else 1
+        self.decision = "continue"
+
+    def add(self, delta: float) -> None:
+        if self.decision != "continue":
+            return
+        if not abs(delta) <= self.scale:
+            raise ValueError(f"delta {delta} is not within {self.scale} of 0")
+        self.process.add((self.sign * delta / self.scale + 1) / 2)
+        if self.process.n >= self.least and self.process.wealth >= 1 / self.process.alpha:
+            self.decision = "promote"
+        elif self.process.n >= self.most:
+            self.decision = "undecided-at-maxN"
+
+
+def sequential_gate(pairs: DataFrame, lane: str, order: Sequence[str], delta: Column, most: int, **options) -> DataFrame:
+    """lane, n, wealth, decision: Gate over each lane's ordered differences, batch by batch in bounded memory. A null difference does not count."""
+    kind, names = pairs.schema[lane].dataType.simpleString(), [lane, "n", "wealth", "decision"]
+    Gate(most, **options)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, gate, ended = None, None, []
+        for pdf in batches:
+            for key, value in zip(pdf["_lane"], pdf["_x"], strict=True):
+                if gate is None or key != now:
+                    if gate is not None:
+                        ended.append((now, gate.process.n, gate.process.wealth, gate.decision))
+                    now, gate = key, Gate(most, **options)
+                gate.add(value)
+            yield pd.DataFrame(ended, columns=names)
+            ended = []
+        if gate is not None:
+            yield pd.DataFrame([(now, gate.process.n, gate.process.wealth, gate.decision)], columns=names)
+
+    named = pairs.select(F.col(lane).alias("_lane"), delta.cast("double").alias("_x"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))).where("_x is not null and _lane is not null")
+    # a gate looks at `most` pairs at the most, so no more of a lane need to be sorted
+    first = F.row_number().over(W.partitionBy("_lane").orderBy(*(f"_o{i}" for i in range(len(order)))))
+    dealt = named.withColumn("_i", first).where(F.col("_i") <= most).repartition("_lane").sortWithinPartitions("_lane", "_i").select("_lane", "_x")
+    return dealt.mapInPandas(run, f"{lane} {kind}, n long, wealth double, decision string")
+
+
 def elo(matches: DataFrame, pool: str, order: Sequence[str], a: str, b: str, result: Column, k: float = 32.0) -> DataFrame:
     """pool, player, rating: sequential Elo from 1000 within each pool of matches; result is 1, 0.5 or 0 for player a."""
     kind = matches.schema[pool].dataType.simpleString()

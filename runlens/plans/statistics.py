@@ -177,6 +177,19 @@ def eprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.eprocess(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.least(F.col("value") / 100, F.lit(1.0))), "wealth")
 
 
+@query("""
+with recursive x as (select user_id, (least(1, greatest(-1, case user_id % 3 when 0 then value / 50 - 1.2 when 1 then value / 60 - 0.5 else (value - 50) / 100 end))::double + 1) / 2 as x, row_number() over (partition by user_id order by ts, event_id) as i from events where value is not null),
+e as (select distinct user_id, 0::bigint as n, 1.0::double as w, 0.0::double as t, 0.0::double as q, 'continue' as d from x
+  union all select user_id, n, w, t, q, case when n >= 5 and w >= 20 then 'promote' when n >= 40 then 'undecided-at-maxN' else 'continue' end from (
+    select e.user_id, n + 1 as n, w * (1 + greatest(0, least(0.5, ((t + 0.5) / (n + 1) - 0.525) / ((q + 0.25) / (n + 1) + ((t + 0.5) / (n + 1) - 0.525) ** 2))) * (x - 0.525)) as w, t + x as t, q + (x - (t + x + 0.5) / (n + 2)) ** 2 as q from e join x on x.user_id = e.user_id and x.i = e.n + 1 where d = 'continue'))
+select user_id, n, round(w, 6) as wealth, d as decision from e qualify row_number() over (partition by user_id order by n desc) = 1""")
+def sequential_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, kind = F.col("value"), F.col("user_id") % 3
+    delta = F.when(kind == 0, v / 50 - 1.2).when(kind == 1, v / 60 - 0.5).otherwise((v - 50) / 100)
+    out = S.sequential_gate(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.least(F.greatest(delta, F.lit(-1.0)), F.lit(1.0)), 40, min_effect=0.05)
+    return rounded(out, "wealth")
+
+
 @query("""
 with recursive o as (select o_custkey, o_orderkey, left(o_orderpriority, 1)::int as b, o_totalprice as y, lag(left(o_orderpriority, 1)::int) over w as a, lag(o_totalprice) over w as x from orders window w as (partition by o_custkey order by o_orderkey)),
 m as (select o_custkey, a, b, case when x > y then 1.0 when x = y then 0.5 else 0.0 end::double as s, row_number() over (partition by o_custkey order by o_orderkey) as i from o where a <> b),

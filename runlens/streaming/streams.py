@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.statistics import Wealth
+from ..operators.statistics import Gate, Wealth
 
 
 def _timeout(idle_ms: int | None) -> str:
@@ -101,6 +102,71 @@ def wealth_stream(outcomes: DataFrame, lane: str, order: str, x: Column, null: f
     )
 
 
+class _PairedGate(StatefulProcessor):
+    """One lane's gate: sides of pairs wait for each other in a map, the process and its decision are one value."""
+
+    def __init__(self, lane: str, most: int, wait_ms: int | None, options: dict) -> None:
+        self.lane, self.most, self.wait, self.options = lane, most, wait_ms, options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gate", "wealth double, n long, total double, squares double, decision string")
+        self.sides = handle.getMapState("sides", "pair long", "after boolean, score double, since long")
+
+    def _gate(self) -> Gate:
+        gate = Gate(self.most, **self.options)
+        if self.state.exists():
+            p = gate.process
+            p.wealth, p.n, p.total, p.squares, gate.decision = self.state.get()
+        return gate
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        gate, now = self._gate(), timers.getCurrentProcessingTimeInMs() if self.wait else 0
+        for pdf in rows:
+            pdf = pdf.set_axis(["_lane", "_pair", "_after", "_score"], axis=1)  # rows come by place, not by name
+            for pair, after, score in pdf.sort_values(["_pair", "_after"])[["_pair", "_after", "_score"]].itertuples(index=False):
+                if gate.decision != "continue":
+                    continue
+                pair, after, score = int(pair), bool(after), float(score)
+                other = self.sides.getValue((pair,)) if self.sides.containsKey((pair,)) else None
+                if other is None or other[0] == after:  # a side that comes again counts as it came first
+                    if other is None:
+                        self.sides.updateValue((pair,), (after, score, now))
+                        if self.wait:
+                            self.handle.registerTimer(now + self.wait)
+                    continue
+                self.sides.removeKey((pair,))
+                gate.add(score - other[1] if after else other[1] - score)
+        if gate.decision != "continue":
+            self.sides.clear()
+        p = gate.process
+        self.state.update((p.wealth, p.n, p.total, p.squares, gate.decision))
+        yield pd.DataFrame({self.lane: [key[0]], "n": [p.n], "wealth": [p.wealth], "decision": [gate.decision]})
+
+    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:
+        limit = expired.getExpiryTimeInMs() - self.wait
+        for pair in [k for k, v in self.sides.iterator() if v[2] <= limit]:
+            self.sides.removeKey(pair)
+        yield pd.DataFrame({self.lane: [], "n": [], "wealth": [], "decision": []})
+
+    def close(self) -> None:
+        pass
+
+
+def gate_stream(scores: DataFrame, lane: str, pair: str, after: Column, score: Column, most: int, wait_ms: int | None = 86_400_000, **options) -> DataFrame:
+    """lane, n, wealth, decision after each batch: Gate over pairs as they become complete, by pair number within a batch.
+
+    A side waits in state for the other, for wait_ms at the most (None: for ever, and no timers); once a lane has
+    decided it keeps its decision and nothing else. State survives a restart from the query's checkpoint. Needs the
+    RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    Gate(most, **options)
+    rows = scores.select(F.col(lane).alias("_lane"), F.col(pair).cast("long").alias("_pair"), F.coalesce(after, F.lit(False)).alias("_after"), score.cast("double").alias("_score")).where("_lane is not null and _pair is not null and _score is not null")
+    kind = rows.schema["_lane"].dataType.simpleString()
+    processor = _PairedGate(lane, most, wait_ms, options)
+    return rows.groupBy("_lane").transformWithStateInPandas(processor, f"{lane} {kind}, n long, wealth double, decision string", "Update", "ProcessingTime" if wait_ms else "None")
+
+
 def pending(calls: DataFrame, receipts: DataFrame, key: str, call_time: str, receipt_time: str, within: str = "1 hour") -> DataFrame:
     """calls left-joined to their receipts within a time: a call is without one only once the watermark has passed it."""
     c = calls.withWatermark(call_time, within).alias("c")

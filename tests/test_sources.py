@@ -105,3 +105,41 @@ def test_streams_equal_batches(spark, tmp_path):
     assert run(guard, spark, "complete", "guard") == [("u", 15, 10.0, True)]
     wealth = run(streams.wealth_stream(source, "lane", "at", F.lit(1.0), idle_ms=None), spark, "update", "wealth")
     assert [r[:2] for r in wealth] == [("u", 6)] and wealth[0][2] > 1
+
+
+def test_gate_stream_restarts_with_its_state(spark, tmp_path):
+    import random
+
+    from runlens.operators.statistics import Gate
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, sides, scores = random.Random(3), [], {}
+    for lane, gain in (("up", 0.85), ("even", 0.0), ("short", 0.3)):
+        for i in range(60 if lane != "short" else 4):
+            a = rng.uniform(0.3, 0.6)
+            scores[lane, i] = a, a + gain * rng.random() + rng.uniform(-0.1, 0.1)
+            sides += [(rng.randrange(3), lane, i, after, scores[lane, i][after]) for after in (0, 1)]
+    schema = "lane string, pair long, after int, score double"
+    want, waiting = {}, {}
+    (tmp_path / "in").mkdir()
+    source = streams.file_stream(spark, str(tmp_path / "in"), schema)
+    for batch in range(3):
+        part = [s for s in sides if s[0] == batch]
+        for _, lane, i, after, score in sorted(part, key=lambda s: s[1:4]):
+            gate = want.setdefault(lane, Gate(50, least=5))
+            other = waiting.pop((lane, i), None)
+            if other is None:
+                waiting[lane, i] = score
+            else:
+                gate.add(score - other if after else other - score)
+        spark.createDataFrame([s[1:] for s in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = streams.gate_stream(source, "lane", "pair", F.col("after") == 1, F.col("score"), 50, wait_ms=None, least=5)
+        # every batch is a query of its own, which starts from the checkpoint of the one before
+        q = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+        got = {}
+        for r in spark.read.parquet(str(tmp_path / "out")).collect():
+            if r.n >= got.get(r.lane, (0,))[0]:
+                got[r.lane] = (r.n, round(r.wealth, 9), r.decision)
+        assert got == {k: (g.process.n, round(g.process.wealth, 9), g.decision) for k, g in want.items()}
+    assert {k: g.decision for k, g in want.items()} == {"up": "promote", "even": "undecided-at-maxN", "short": "continue"}
