@@ -24,6 +24,8 @@ LEAST = 4
 #: share one value at most. A pair of Jaccard similarity 0.8 shares a band with probability 0.982, one of 0.9 with 0.9989.
 ROWS, COLUMNS = 3, 4
 BANDS = [[r * COLUMNS + (c + slope * r) % COLUMNS for r in range(ROWS)] for slope in (0, 1) for c in range(COLUMNS)]
+#: Shingles that one row of the signatures' fold takes together.
+TOGETHER = 4
 #: Lines of a bucket that one task holds against each other, or against as many others.
 BLOCK = 1024
 #: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
@@ -69,9 +71,13 @@ def signatures(lines: DataFrame, key: Sequence[str] = ("k",)) -> DataFrame:
     """
     rng = random.Random(4)
     constants = [(rng.getrandbits(29) * 2 + 1, rng.getrandbits(32)) for _ in range(ROWS * COLUMNS)]
-    rows = lines.select(*key, F.col("norm").cast("binary").alias("raw")).select(*key, "raw", F.explode(_starts(F.col("raw"))).alias("i"))
-    h = rows.select(*key, F.hash(F.substring("raw", F.col("i"), F.lit(SHINGLE))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
-    mins = h.groupBy(*key).agg(*(F.min((F.col("h") * a + b).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{j}") for j, (a, b) in enumerate(constants)))
+    raw = lines.select(*key, F.col("norm").cast("binary").alias("raw")).withColumn("most", F.greatest(F.octet_length("raw") - (SHINGLE - 1), F.lit(1)))
+    rows = raw.select(*key, "raw", "most", F.explode(F.sequence(F.lit(1), "most", F.lit(TOGETHER))).alias("i"))
+    h = [F.hash(F.substring("raw", F.col("i") + d, F.lit(SHINGLE))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) for d in range(TOGETHER)]
+    h = rows.select(*key, h[0].alias("h0"), *(F.when(F.col("i") + d <= F.col("most"), x).otherwise(h[0]).alias(f"h{d}") for d, x in enumerate(h) if d))
+    turned = lambda a, b: [(F.col(f"h{d}") * a + b).bitwiseAND(F.lit(0xFFFFFFFF)) for d in range(TOGETHER)]
+    lowest = lambda x: x[0] if len(x) == 1 else F.least(*x)
+    mins = h.groupBy(*key).agg(*(F.min(lowest(turned(a, b))).alias(f"m{j}") for j, (a, b) in enumerate(constants)))
     bands = [F.xxhash64(F.lit(b), *(f"m{j}" for j in cells)) for b, cells in enumerate(BANDS)]
     return mins.select(*key, F.array(*bands).alias("bands"))
 
@@ -158,10 +164,11 @@ def components(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> D
     """
     rows = sigs.select("k", F.explode("bands").alias("band"))
     with scratch() as kept:
-        often = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "often")
+        # a bucket of equal lines alone has nothing to compare
+        often = written(rows.groupBy("band").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("band"), "often")
         members = written(rows.join(small(often), "band").groupBy("band", "k").agg(F.count(F.lit(1)).alias("w")), "members")
         leader = F.max_by("k", F.struct("w", F.xxhash64("k"))).alias("leader")
-        buckets = members.groupBy("band").agg(leader, F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
+        buckets = members.groupBy("band").agg(leader)
         shared = written(members.join(buckets.select("band", "leader"), "band").where("k <> leader").select("band", "k", "leader"), "shared")
         keys = written(shared.select("k").unionByName(shared.select(F.col("leader").alias("k"))).distinct(), "keys")
         texts = written(texts_of(keys), "texts")
