@@ -158,7 +158,7 @@ s as (select g, avg(y - x) as delta, count(*) filter (where y > x) as up, count(
 d as (select m.*, delta, case when m.n = 1 then delta else l.m[floor(0.025 * len(l.m))::int + 1] end as low, case when m.n = 1 then delta else l.m[ceil(0.975 * len(l.m))::int] end as high, list_sum(list_transform(range(up, of + 1), lambda k: exp(lgamma(of + 1) - lgamma(k + 1) - lgamma(of - k + 1) - of * ln(2)))) as sp from m left join l using (g) left join s using (g)),
 c as (select *, case when least = 0 then 'missing_split_scores' when cs < 1 or ch < 1 then 'incomplete_coverage' when n < 6 then 'few_runs' when low = high then 'indeterminate_delta' when not case when n < 20 then delta > 0 and sp <= 0.025 else low > 0 end then 'negative_delta'
   when search - holdout > bsearch - bholdout + 5000 then 'overfit_gap' when cost is null then 'missing_cost' when cost > 5 then 'cost_ceiling' end as code from d)
-select g::bigint as dim, n, round(search, 4) as search, round(holdout, 4) as holdout, round(search - holdout, 4) as gap, round(bsearch - bholdout, 4) as baseline_gap, round(cs, 6) as coverage_search, round(ch, 6) as coverage_holdout, cost, round(delta + 1e-7, 4) as delta, round(low + 1e-7, 4) as low, round(high + 1e-7, 4) as high, code is null as promote, code from c""")
+select g::bigint as dim, n, round(search + 1e-7, 4) as search, round(holdout + 1e-7, 4) as holdout, round(search - holdout + 1e-7, 4) as gap, round(bsearch - bholdout + 1e-7, 4) as baseline_gap, round(cs, 6) as coverage_search, round(ch, 6) as coverage_holdout, cost, round(delta + 1e-7, 4) as delta, round(low + 1e-7, 4) as low, round(high + 1e-7, 4) as high, code is null as promote, code from c""")
 def held_out_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = J.pair_arms(table(spark, sf_dir, "orders"), "o_orderpriority", ("1-URGENT", "5-LOW"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice")
     cust, rep = F.col("o_custkey"), F.col("rep")
@@ -171,8 +171,8 @@ def held_out_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ia, ib = F.col("side") != "after", F.col("side") != "before"
     rows = pairs.select(g.alias("dim"), F.when(late, "holdout").otherwise("search").alias("split"), (cust * 1000 + rep).alias("key"), x0.alias("x"), y.alias("y"), ia.alias("ia"), ib.alias("ib"), cost.alias("cost")).where("(ia and ib) or dim >= 20")
     out = P.held_out_gate(rows, "dim", "split", F.col("key"), F.col("x"), F.col("y"), F.col("ia"), F.col("ib"), F.col("cost"), F.col("cost"), overfit=5000.0, ceiling=5.0)
-    # means of cents over a power of two of draws end in a 5: a hair decides on both sides how they are rounded
-    out = out.drop("baseline_cost").withColumns({c: F.col(c) + 1e-7 for c in ("delta", "low", "high")})
+    # means of cents may end in a 5: a hair decides on both sides how they are rounded
+    out = out.drop("baseline_cost").withColumns({c: F.col(c) + 1e-7 for c in ("search", "holdout", "gap", "baseline_gap", "delta", "low", "high")})
     out = rounded(out, "coverage_search", "coverage_holdout")
     return rounded(out, "search", "holdout", "gap", "baseline_gap", "delta", "low", "high", places=4)
 
