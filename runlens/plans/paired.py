@@ -28,6 +28,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("o_custkey").alias("cust"), "rep", (F.col("o_custkey") * 1000 + F.col("rep")).alias("key"), *(F.col(f"{v}.{c}").alias(n) for v, c, n in (("before", "o_orderstatus", "s"), ("after", "o_orderstatus", "t"), ("before", "o_totalprice", "x"), ("after", "o_totalprice", "y"))))
 
 
+def _nudged(df: DataFrame, *names: str, by: float = 1e-7) -> DataFrame:
+    """Means of cents may end in a 5: a hair decides on both sides how they are rounded."""
+    return df.withColumns({c: F.col(c) + by for c in names})
+
+
 def _score_sql(d: str) -> str:
     """The score statistic of risk difference d, given b, c, n."""
     linear = f"({d} * (b + 3 * c + 2 * (n - b - c)) - (b + c))"
@@ -76,10 +81,10 @@ def _poisson_sql(key: str, counter: str) -> str:
 @query(f"""
 with w as (select event_type, b, sum(w * value) / sum(w) as m from (select event_type, value, b, {_poisson_sql("event_id", "b")} as w from events, range(200) t(b)) group by all having sum(w) > 0),
 m as (select event_type, list_sort(list(m)) as m from w group by 1), s as (select event_type, count(*) as n, avg(value) as mean from events group by 1)
-select event_type, n, round(mean, 6) as mean, round(m[floor(0.025 * len(m))::int + 1], 6) as low, round(m[ceil(0.975 * len(m))::int], 6) as high from s join m using (event_type)""")
+select event_type, n, round(mean, 6) as mean, round(m[floor(0.025 * len(m))::int + 1] + 1e-9, 6) as low, round(m[ceil(0.975 * len(m))::int] + 1e-9, 6) as high from s join m using (event_type)""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (1 - 0.95) / 2 is 0.025 and a hair
-    return rounded(P.poisson_bootstrap(table(spark, sf_dir, "events"), "event_type", F.col("event_id"), F.col("value")), "mean", "low", "high")
+    return rounded(_nudged(P.poisson_bootstrap(table(spark, sf_dir, "events"), "event_type", F.col("event_id"), F.col("value")), "low", "high", by=1e-9), "mean", "low", "high")
 
 
 _ARM = "event_id % 2 = 1"
@@ -92,7 +97,7 @@ d as (select g, b, sum(w * v) filter (where arm) / nullif(sum(w) filter (where a
 m as (select g, list_sort(list(d) filter (where d is not null)) as m from d group by 1), s as (select g, count(*) as n, avg(v) filter (where not arm) as mean_a, avg(v) filter (where arm) as mean_b from o group by 1),
 e as (select *, mean_b - mean_a as delta, round(m[floor(0.025 * len(m))::int + 1], 9) as low, round(m[greatest(1, floor(0.975 * len(m))::int)], 9) as high from s join m using (g)),
 x as (select *, n < 6 or delta is null or low is null as o from e)
-select g::bigint as dim, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) as delta, case when o then '-inf'::double else round(low, 6) end as low, case when o then 'inf'::double else round(high, 6) end as high,
+select g::bigint as dim, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) as delta, case when o then '-inf'::double else round(low + 1e-9, 6) end as low, case when o then 'inf'::double else round(high + 1e-9, 6) end as high,
   case when o or low = high then 'INCONCLUSIVE' when low > 0 then 'ADVANCE' when high < 0 then 'REVERT' when delta >= 0 then 'KEEP' else 'INCONCLUSIVE' end as verdict from x""")
 def arm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, arm, v = F.col("user_id") % 60, F.col("event_id") % 2 == 1, F.col("value")
@@ -101,7 +106,7 @@ def arm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("dim", g)
     # constant arms have equal bounds only up to the last bits of their sums
     out = P.arm_bootstrap(rows, "dim", F.col("event_id"), arm, F.round(value, 6))
-    return rounded(out, "mean_a", "mean_b", "delta", "low", "high")
+    return rounded(_nudged(out, "low", "high", by=1e-9), "mean_a", "mean_b", "delta", "low", "high")
 
 
 #: Decisions over groups of pairs: statuses and prices, many pairs and few, ties and shifts; o holds (g, key, x, y).
@@ -123,9 +128,10 @@ decided as (select *, case when scale is not null then low > 0 when n < 20 then
 @query(f"""
 with recursive {_PAIRS}, {_DECISIONS}
 select g, n, scale, round(tied, 6) as tied, case when scale is null then 'mean_bootstrap' else 'paired_risk_difference' end as statistic, case when scale is not null then 'score-interval' when n < 20 then 'exact-sign' else 'bootstrap-ci' end as method,
-  round(delta, 4) as delta, round(low, 4) as low, round(high, 4) as high, round(pv, 6) as p, enough as sufficient, bare as indeterminate, vetoed, clears, enough and not bare and clears and not vetoed as promote from decided""")
+  round(delta + 1e-7, 4) as delta, round(low + 1e-7, 4) as low, round(high + 1e-7, 4) as high, round(pv, 6) as p, enough as sufficient, bare as indeterminate, vetoed, clears, enough and not bare and clears and not vetoed as promote from decided""")
 def promotion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(P.decide(_decided(spark, sf_dir), "g", F.col("key"), F.col("x"), F.col("y")), "tied", "p"), "delta", "low", "high", places=4)
+    out = P.decide(_decided(spark, sf_dir), "g", F.col("key"), F.col("x"), F.col("y"))
+    return rounded(rounded(_nudged(out, "delta", "low", "high"), "tied", "p"), "delta", "low", "high", places=4)
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +177,7 @@ def held_out_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ia, ib = F.col("side") != "after", F.col("side") != "before"
     rows = pairs.select(g.alias("dim"), F.when(late, "holdout").otherwise("search").alias("split"), (cust * 1000 + rep).alias("key"), x0.alias("x"), y.alias("y"), ia.alias("ia"), ib.alias("ib"), cost.alias("cost")).where("(ia and ib) or dim >= 20")
     out = P.held_out_gate(rows, "dim", "split", F.col("key"), F.col("x"), F.col("y"), F.col("ia"), F.col("ib"), F.col("cost"), F.col("cost"), overfit=5000.0, ceiling=5.0)
-    # means of cents may end in a 5: a hair decides on both sides how they are rounded
-    out = out.drop("baseline_cost").withColumns({c: F.col(c) + 1e-7 for c in ("search", "holdout", "gap", "baseline_gap", "delta", "low", "high")})
+    out = _nudged(out.drop("baseline_cost"), "search", "holdout", "gap", "baseline_gap", "delta", "low", "high")
     out = rounded(out, "coverage_search", "coverage_holdout")
     return rounded(out, "search", "holdout", "gap", "baseline_gap", "delta", "low", "high", places=4)
 
