@@ -217,3 +217,24 @@ def test_query_equals_its_twin(spark, name):
     rows = sorted((tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), key=repr)
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == rows
     assert sql.OP11 and len(rows) > 50
+
+
+COLUMNS = {
+    "op1": {"doc_id", "fingerprint", "component_id"}, "op2": {"doc_id", "held_out", "score", "predicted"}, "op3": {"doc_id"}, "op4": {"doc_id", "dropped"}, "op5": {"vec_id", "n_links", "component_id", "kept"},
+    "op6": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}, "op7": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op8": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"}, "op9": {"doc_id", "held_out", "lang_pred", "score"},
+    "op10": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op11": {"item_id", "rank", "doc_id", "score"}, "op12": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op13": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
+}
+
+
+@pytest.mark.parametrize("op", sorted(COLUMNS))
+def test_every_query_runs_over_its_whole_table(spark, op):
+    found = {name: f for name, f in __spark_entry__.queries().items() if name.split("_")[0] == op}
+    assert len(found) == 1
+    out = next(iter(found.values()))(spark, SF)
+    assert COLUMNS[op] <= set(out.columns)
+    ids = {"op5": "vec_id", "op11": "item_id"}.get(op, "doc_id")
+    source = {"op5": "embeddings", "op11": "benchmark"}.get(op, "documents")
+    want = {r[0] for r in spark.read.parquet(f"{SF}/{source}.parquet").select(ids).collect()}
+    assert {r[0] for r in out.select(ids).collect()} == want
