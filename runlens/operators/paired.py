@@ -189,6 +189,7 @@ def decide(pairs: DataFrame, group: str, key: Column, before: Column, after: Col
         pick = lambda a, b: F.when(two, a).otherwise(b)
         scaled = lambda c: F.col(c) * F.col("scale")
         sign_p = _one_sided(F.col("_up"), F.col("_of"))
+        # fixed values: the names of statistics and methods
         out = out.withColumns({
             "statistic": pick(F.lit("paired_risk_difference"), F.lit("mean_bootstrap")), "method": pick(F.lit("score-interval"), F.when(few, "exact-sign").otherwise("bootstrap-ci")),
             "delta": pick(scaled("difference"), F.col("mean")), "low": pick(scaled("score_low"), F.col("low")), "high": pick(scaled("score_high"), F.col("high")),
@@ -243,6 +244,7 @@ def held_out_gate(
         told = decide(rows.where(on("holdout")), group, F.col("_key"), F.col("_x"), F.col("_y"), threshold, min_pairs=least, **options)
         out = out.join(told.select(group, "delta", "low", "high", "indeterminate", "clears", "vetoed"), group, "left")
         short = (F.col("coverage_search") < coverage) | (F.col("coverage_holdout") < coverage)
+        # fixed values: the codes of refusals
         code = (
             F.when(F.col("_least") == 0, "missing_split_scores").when(short, "incomplete_coverage").when(F.col("n") < least, "few_runs").when(F.col("indeterminate"), "indeterminate_delta")
             .when(~F.col("clears") | F.col("vetoed"), "negative_delta").when(F.col("gap") > F.col("baseline_gap") + overfit, "overfit_gap")

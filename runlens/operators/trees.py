@@ -125,6 +125,7 @@ def error_summary(spans: DataFrame, run: str, span: str, parent: str, role: str,
     """run, total, guardrail, evaluation, process, propagated, execution, unclassified: failed spans by the first kind that holds. A run without a failure has no row."""
     told = propagated_errors(spans, run, span, parent, failed)
     rows = spans.join(told, [run, span])
+    # fixed values: the roles of spans
     kind = (
         F.when(F.col(role) == "GUARDRAIL", "guardrail").when(F.col(role) == "EVALUATOR", "evaluation").when(process_root, "process").when(F.col("propagated"), "propagated")
         .when(F.col(role).isin("AGENT", "CHAIN", "LLM", "TOOL"), "execution").otherwise("unclassified")
@@ -170,6 +171,7 @@ def tree_issues(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         def found(df: DataFrame, code: str | Column, subject: str | Column) -> DataFrame:
             return df.select("run", (F.lit(code) if isinstance(code, str) else code).alias("code"), (F.col(subject) if isinstance(subject, str) else subject).alias("subject"))
 
+        # fixed values, here and below: the codes of issues and the two subjects that are no ids
         missing = F.when(F.col("lost") > 0, "node-checks-unavailable")
         named = runs.where("root is not null").join(ids.withColumnRenamed("id", "root"), ["run", "root"], "left").join(lost, "run", "left")
         top = once.join(roots.withColumnRenamed("root", "id"), ["run", "id"], "left_semi")
