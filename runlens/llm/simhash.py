@@ -109,10 +109,13 @@ def _forest(radius: int):
 
 
 def _in_blocks(rows: DataFrame, buckets: DataFrame, by: Column) -> DataFrame:
-    """rows of the buckets (k, size), each once for every pair (i, j) of blocks that holds its own block, `part`."""
+    """rows of the buckets (k, size), each once for every pair (i, j) of blocks that holds its own block, `part`.
+
+    rows are exploded ones, which Spark takes to be as few as those before: without the hint it would broadcast them through the driver.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     return (
-        rows.join(buckets, "k")
+        rows.hint("merge").join(buckets, "k")
         .withColumn("part", F.pmod(F.xxhash64(by), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})

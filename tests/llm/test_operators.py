@@ -70,6 +70,11 @@ def test_simhash_equals_brute_force(docs):
     assert got[1].component_id == got[3].component_id == 1 and got[6].component_id == got[7].component_id == got[8].component_id == 6
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    rows = spark.range(100).select(F.col("id").alias("fp"), F.col("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(31))).alias("k"))
+    assert "Broadcast" not in simhash._dealt(rows, F.col("fp"))._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_some_mask_covers_every_difference(radius):
     masks = simhash.covering_masks(radius)
