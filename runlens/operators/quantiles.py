@@ -3,7 +3,8 @@
 A mergeable sketch of each group tells, for every order statistic wanted, two values that it lies between
 for all but certain. One more pass counts what lies below and, by value, what lies between; only the values
 between, a small share that the sketch's error decides, are put in order. Where the count shows that a bracket
-missed, it is widened to everything.
+missed, it is widened to everything. Sketches are drawn anew each time they are made, so brackets are written
+tables: all that follows sees the same ones.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from ..scratch import small, written
 
 #: Items of a sketch's levels, and the rank error (as a share) that brackets allow for: five times the sketch's typical one.
 SKETCH = 2048
@@ -23,8 +25,11 @@ ERROR = 0.005
 FEW = 10_000
 
 
-def exact_quantiles(rows: DataFrame, group: str | None, value: str, shares: Sequence[float]) -> DataFrame:
-    """group (if any), n, q: array of the linearly interpolated quantiles at these shares, as percentile() gives them. Null and NaN values do not count."""
+def exact_quantiles(rows: DataFrame, group: str | None, value: str, shares: Sequence[float], counted: DataFrame | None = None) -> DataFrame:
+    """group (if any), n, q: array of the linearly interpolated quantiles at these shares, as percentile() gives them. Null and NaN values do not count.
+
+    `counted`, if at hand, holds the same rows counted by value: group, value, n.
+    """
     own = rows.select((F.lit(0) if group is None else F.col(group)).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     told = own.groupBy("_g").agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_k"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     few = F.col("_n") <= FEW
@@ -35,10 +40,12 @@ def exact_quantiles(rows: DataFrame, group: str | None, value: str, shares: Sequ
         return F.struct(F.lit(i).alias("i"), (F.lit(float(share)) * (F.col("_n") - 1)).alias("pos"), low.alias("lo"), high.alias("hi"))
 
     wanted = told.select("_g", "_n", "_lo", "_hi", F.explode(F.array(*(wish(i, s) for i, s in enumerate(shares)))).alias("w")).select("_g", "_n", "_lo", "_hi", "w.*")
-    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("r"))
-    found = _between(own, wanted)
-    missed = wanted.join(found, ["_g", "r"], "left_anti").withColumns({"lo": F.col("_lo"), "hi": F.col("_hi")})
-    found = found.unionByName(_between(own, missed))
+    wanted = written(wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("r")), "brackets")
+    by_value = own.withColumn("_w", F.lit(1)) if counted is None else counted.select((F.lit(0) if group is None else F.col(group)).alias("_g"), F.col(value).cast("double").alias("_v"), F.col("n").alias("_w")).where("_v is not null and not isnan(_v)")
+    found = written(_between(by_value, wanted), "ranks")
+    missed = written(wanted.join(found, ["_g", "r"], "left_anti").withColumns({"lo": F.col("_lo"), "hi": F.col("_hi")}), "missed")
+    if not missed.isEmpty():
+        found = found.unionByName(written(_between(by_value, missed), "ranks"))
     both = wanted.join(found, ["_g", "r"]).groupBy("_g", "_n", "i", "pos").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     q = F.col("a") + (F.col("pos") - F.floor("pos")) * (F.col("b") - F.col("a"))
     out = both.groupBy("_g", "_n").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("q"))
@@ -47,12 +54,11 @@ def exact_quantiles(rows: DataFrame, group: str | None, value: str, shares: Sequ
 
 
 def _between(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_g, _v), wanted (_g, r, lo, hi) -> _g, r, v: the values of these ranks (from 0), where they lie between lo and hi."""
-    cut = wanted.groupBy("_g").agg(F.collect_set(F.struct("r", "lo", "hi")).alias("cuts"))  # as many as shares
-    met = own.join(cut, "_g")
+    """(_g, _v, _w times), wanted (_g, r, lo, hi) -> _g, r, v: the values of these ranks (from 0), where they lie between lo and hi."""
+    cut = small(written(wanted.groupBy("_g", "r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "cuts"))
     # rows below a bracket are counted, rows inside by value; the rest of the rows makes none
-    marks = F.filter(F.transform("cuts", lambda c: F.struct(c["r"].alias("r"), F.when(F.col("_v").between(c["lo"], c["hi"]), F.col("_v")).alias("v"), (F.col("_v") <= c["hi"]).alias("up"))), lambda m: m["up"])
-    counts = met.select("_g", F.explode(marks).alias("m")).groupBy("_g", "m.r", "m.v").agg(F.count(F.lit(1)).alias("n"))
+    met = own.join(cut, "_g").where(F.col("_v") <= F.col("hi"))
+    counts = met.groupBy("_g", "r", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("v")).agg(F.sum("_w").alias("n"))
     order = W.partitionBy("_g", "r").orderBy(F.col("v").asc_nulls_first())
     upto = counts.withColumn("upto", F.sum("n").over(order))
     return upto.where(F.col("v").isNotNull() & (F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n"))).select("_g", "r", "v")
@@ -87,8 +93,8 @@ def fidelity(rows: DataFrame, simulated: Column, numbers: Sequence[str], names:
     sim = F.coalesce(simulated, F.lit(False)).alias("sim")
     long = rows.select(sim, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), finite(c).alias("x"), F.lit(None).cast("string").alias("name")) for c in numbers), *(F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("x"), F.col(c).cast("string").alias("name")) for c in names))).alias("f"))
     # values are counted before anything else sees them
-    counts = long.select("sim", "f.*").groupBy("feature", "sim", "x", "name").agg(F.count(F.lit(1)).alias("n"))
-    edges = exact_quantiles(long.select("f.feature", "f.x"), "feature", "x", [i / buckets for i in range(1, buckets)]).select("feature", F.array_distinct("q").alias("edges"))
+    counts = written(long.select("sim", "f.*").groupBy("feature", "sim", "x", "name").agg(F.count(F.lit(1)).alias("n")), "counts")
+    edges = exact_quantiles(long.select("f.feature", "f.x"), "feature", "x", [i / buckets for i in range(1, buckets)], counts).select("feature", F.array_distinct("q").alias("edges"))
     label = F.coalesce(bucket_label(F.col("x"), F.col("edges")), F.col("name"), F.lit(ABSENT))
     side = lambda on: F.sum(F.when(on, F.col("n")).otherwise(0))
     cells = counts.join(edges, "feature", "left").groupBy("feature", label.alias("value")).agg(side(F.col("sim")).alias("s"), side(~F.col("sim")).alias("p"))

@@ -109,3 +109,15 @@ def test_labels_and_verdicts(spark):
     assert Q.easy_mode(df.where("x is not null"), F.col("x") > 2, F.col("x") / 10).first().asDict() == {"pass_sim": 0.5, "pass_prod": 0.0, "gap": 0.5, "inflated": True}
     with pytest.raises(Exception, match="no score"):
         Q.easy_mode(df, F.col("x") > 2, F.col("x")).collect()
+
+
+def test_brackets_of_quantiles_are_drawn_once(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FEW", 10)
+    values = np.random.default_rng(3).normal(0, 1, 6000)
+    rows = spark.createDataFrame([("a", float(x)) for x in values], "g string, v double")
+    shares = [0.1, *(0.5 + 0.00015 * i for i in range(8))]  # brackets of one rank that overlap
+    counted = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    for out in (Q.exact_quantiles(rows, "g", "v", shares), Q.exact_quantiles(rows, "g", "v", shares, counted)):
+        assert "kll" not in out._jdf.queryExecution().executedPlan().toString()  # else each use would see other sketches
+        got = out.first()
+        assert got.n == 6000 and np.allclose(got.q, np.quantile(values, shares), rtol=0, atol=1e-12)
