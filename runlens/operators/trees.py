@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import drop, scratch, written
 
+#: Joins of tables that both grow with the runs: left to sizes, each would be broadcast through the driver while it is just small enough, round by round.
+_GROWS = "merge"
 _STATE = ("run", "node", "leave", "to", "to_leave", "last", "last_leave", "n_in", "n_out", "weight")
 
 
@@ -30,7 +32,7 @@ def _ranked(links: DataFrame, longest: int) -> DataFrame:
     while steps < longest and not state.where("to is not null").isEmpty():
         ahead = state.select(F.col("run").alias("_run"), *(F.col(c).alias(f"_{c}") for c in _STATE[1:]))
         on = (F.col("run") == F.col("_run")) & (F.col("to") == F.col("_node")) & (F.col("to_leave") == F.col("_leave"))
-        met = state.join(ahead, on, "left")
+        met = state.hint(_GROWS).join(ahead, on, "left")
         there = F.col("_node").isNotNull()
         last, last_leave = (F.when(there, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("last", "last_leave"))
         sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("n_in", "n_out", "weight")]
@@ -44,7 +46,7 @@ def _tour(nodes: DataFrame) -> DataFrame:
     """(run, node, parent, weight, ord) with unique nodes -> the two elements of each node, with pointers along the tour."""
     beside = W.partitionBy("run", "parent").orderBy("ord", "node")
     first = nodes.where("parent is not null").groupBy("run", F.col("parent").alias("node")).agg(F.min(F.struct("ord", F.col("node").alias("child")))["child"].alias("child"))
-    rows = nodes.withColumn("next", F.lead("node").over(beside)).join(first, ["run", "node"], "left")
+    rows = nodes.withColumn("next", F.lead("node").over(beside)).hint(_GROWS).join(first, ["run", "node"], "left")
     into = F.struct(F.lit(False).alias("leave"), F.coalesce("child", "node").alias("to"), F.col("child").isNull().alias("to_leave"), F.col("weight").alias("weight"))
     out = F.struct(F.lit(True).alias("leave"), F.coalesce("next", "parent").alias("to"), F.col("next").isNull().alias("to_leave"), F.lit(0).cast("long").alias("weight"))
     rows = rows.select("run", "node", F.inline(F.array(into, out)))
@@ -58,7 +60,7 @@ def _on_cycles(nodes: DataFrame, longest: int) -> DataFrame:
     steps = 1
     while steps < longest and not up.isEmpty():
         above = up.select(F.col("run").alias("_run"), F.col("node").alias("_node"), F.col("up").alias("_up"))
-        met = up.join(above, (F.col("run") == F.col("_run")) & (F.col("up") == F.col("_node")))  # what has no ancestor left falls out
+        met = up.hint(_GROWS).join(above, (F.col("run") == F.col("_run")) & (F.col("up") == F.col("_node")))  # what has no ancestor left falls out
         new = written(met.select("run", "node", F.col("_up").alias("up")), "up")
         drop(up)
         up, steps = new, 2 * steps
@@ -81,12 +83,12 @@ def tour(spans: DataFrame, run: str, span: str, parent: str, order: Sequence[str
         nodes = written(rows, "nodes")
         longest = nodes.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         ranked = _ranked(_tour(nodes), 2 * longest)
-        stuck = written(nodes.join(ranked.where("to is not null").select("run", "node").distinct(), ["run", "node"], "left_semi"), "stuck")
+        stuck = written(nodes.hint(_GROWS).join(ranked.where("to is not null").select("run", "node").distinct(), ["run", "node"], "left_semi"), "stuck")
         reach = F.lit(None).cast("string").alias("reach")
         if not stuck.isEmpty():
             ring = written(_on_cycles(stuck, longest), "ring").withColumn("ring", F.lit(True))
-            cut = written(stuck.join(ring, ["run", "node"], "left").withColumn("parent", F.when(F.col("ring").isNull(), F.col("parent"))), "cut")
-            again = _ranked(_tour(cut.drop("ring")), 2 * longest).join(cut.select("run", "node", "ring"), ["run", "node"])
+            cut = written(stuck.hint(_GROWS).join(ring, ["run", "node"], "left").withColumn("parent", F.when(F.col("ring").isNull(), F.col("parent"))), "cut")
+            again = _ranked(_tour(cut.drop("ring")), 2 * longest).hint(_GROWS).join(cut.select("run", "node", "ring"), ["run", "node"])
             state = F.when(F.col("ring"), "cycle").otherwise("under_cycle")
             ranked = ranked.where("to is null").withColumn("reach", reach).unionByName(again.select(*ranked.columns, state.alias("reach")))
         else:
@@ -98,10 +100,10 @@ def tour(spans: DataFrame, run: str, span: str, parent: str, order: Sequence[str
         )
         # a tour that ends with a parentless span's leaving is the run's own; the sums at its first element are those of the run
         roots = nodes.where("parent is null").select("run", F.col("node").alias("last_in"), F.lit("root").alias("ends"))
-        done = one.join(nodes.select("run", "node", "weight"), ["run", "node"]).join(roots, ["run", "last_in"], "left")
+        done = one.hint(_GROWS).join(nodes.select("run", "node", "weight"), ["run", "node"]).hint(_GROWS).join(roots, ["run", "last_in"], "left")
         done = done.withColumn("reach", F.coalesce("reach", "ends", F.lit("orphan"))).withColumn("ends", F.when(F.col("reach") == "root", F.lit(1)))
         totals = done.where("ends is not null").groupBy("run").agg(F.max("n_in_in").alias("all_in"), F.max("n_out_in").alias("all_out"))
-        done = done.join(totals, "run", "left")
+        done = done.hint(_GROWS).join(totals, "run", "left")
         index = F.when(F.col("reach") == "root", F.col("all_in") - F.col("n_in_in"))
         depth = index - (F.col("all_out") - F.col("n_out_in"))
         below = F.col("weight_in") - F.col("weight_out") - F.col("weight")
@@ -165,28 +167,29 @@ def tree_issues(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         rows = written(nodes, "issues")
         ids = written(rows.where("id is not null").groupBy("run", "id").agg(F.count(F.lit(1)).alias("n")), "ids")
         lost = rows.where("id is null").groupBy("run").agg(F.count(F.lit(1)).alias("lost"))
-        once = written(rows.join(ids.where("n = 1").select("run", "id"), ["run", "id"], "left_semi"), "once")
-        runs = rows.select("run").distinct().join(roots, "run", "left")
+        once = written(rows.hint(_GROWS).join(ids.where("n = 1").select("run", "id"), ["run", "id"], "left_semi"), "once")
+        roots = written(roots, "roots")
+        runs = written(rows.select("run").distinct().hint(_GROWS).join(roots, "run", "left"), "runs")
 
         def found(df: DataFrame, code: str | Column, subject: str | Column) -> DataFrame:
             return df.select("run", (F.lit(code) if isinstance(code, str) else code).alias("code"), (F.col(subject) if isinstance(subject, str) else subject).alias("subject"))
 
         # fixed values, here and below: the codes of issues and the two subjects that are no ids
         missing = F.when(F.col("lost") > 0, "node-checks-unavailable")
-        named = runs.where("root is not null").join(ids.withColumnRenamed("id", "root"), ["run", "root"], "left").join(lost, "run", "left")
-        top = once.join(roots.withColumnRenamed("root", "id"), ["run", "id"], "left_semi")
+        named = runs.where("root is not null").hint(_GROWS).join(ids.withColumnRenamed("id", "root"), ["run", "root"], "left").hint(_GROWS).join(lost, "run", "left")
+        top = written(once.hint(_GROWS).join(roots.withColumnRenamed("root", "id"), ["run", "id"], "left_semi"), "top")
         issues = [
             found(ids.where("n > 1"), "duplicate-rollout-id", "id"),
             found(runs.where("root is null"), "root-unavailable", F.lit("tree-root")),
             found(named.where("n is null"), F.coalesce(missing, F.lit("declared-root-missing")), "root"),
             found(top.where("parent is not null"), "root-has-parent", "id"),
             found(top.where("role <> 'supervisor'"), "root-role-invalid", "id"),
-            found(once.where("parent is null").join(roots, "run", "left").where("root is null or id <> root"), "detached-node", "id"),
+            found(once.where("parent is null").hint(_GROWS).join(roots, "run", "left").where("root is null or id <> root"), "detached-node", "id"),
         ]
-        edges = once.where("parent is not null").join(ids.select("run", F.col("id").alias("parent"), "n"), ["run", "parent"], "left").join(lost, "run", "left")
+        edges = once.where("parent is not null").hint(_GROWS).join(ids.select("run", F.col("id").alias("parent"), "n"), ["run", "parent"], "left").hint(_GROWS).join(lost, "run", "left")
         issues.append(found(edges.where("n is null"), F.coalesce(missing, F.lit("parent-missing")), "id"))
         above = once.select("run", F.col("id").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("claimed_run", "start", "close")))
-        pairs = written(edges.where("n = 1").join(above, ["run", "parent"]), "edges")
+        pairs = written(edges.where("n = 1").hint(_GROWS).join(above, ["run", "parent"]), "edges")
         issues += [
             found(pairs.where("claimed_run <> p_claimed_run"), "cross-run-parent", "id"),
             found(pairs.where("start < p_start"), "child-before-parent", "id"),
@@ -194,11 +197,11 @@ def tree_issues(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             found(once.where("close < start"), "close-before-start", "id"),
         ]
         # an edge to a repeated id leads nowhere, so it is no part of a cycle
-        whole = once.join(pairs.select("run", "id", F.col("parent").alias("up")), ["run", "id"], "left").select("run", "id", "up")
+        whole = once.hint(_GROWS).join(pairs.select("run", "id", F.col("parent").alias("up")), ["run", "id"], "left").select("run", "id", "up")
         on_ring = tour(whole, "run", "id", "up", ["id"]).where("reach = 'cycle'").select("run", "id")
-        issues.append(found(_least_of_rings(on_ring.join(whole, ["run", "id"])), "parent-cycle", "id"))
+        issues.append(found(_least_of_rings(on_ring.hint(_GROWS).join(whole, ["run", "id"])), "parent-cycle", "id"))
         closed = top.where("completed").select("run")
-        open_ = once.where("not terminal").join(closed, "run", "left_semi").join(roots, "run").where("id <> root").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+        open_ = once.where("not terminal").hint(_GROWS).join(closed, "run", "left_semi").hint(_GROWS).join(roots, "run").where("id <> root").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
         issues.append(found(open_, "child-terminal-unavailable", F.lit("child-terminal-outcomes")))
         out = issues[0]
         for more in issues[1:]:
@@ -214,7 +217,7 @@ def _least_of_rings(ring: DataFrame) -> DataFrame:
     steps = 1
     while steps < longest:
         ahead = state.select(F.col("run").alias("_run"), F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("least").alias("_least"))
-        met = state.join(ahead, (F.col("run") == F.col("_run")) & (F.col("up") == F.col("_id")))
+        met = state.hint(_GROWS).join(ahead, (F.col("run") == F.col("_run")) & (F.col("up") == F.col("_id")))
         new = written(met.select("run", "id", F.col("_up").alias("up"), F.least("least", "_least").alias("least")), "ring")
         drop(state)
         state, steps = new, 2 * steps

@@ -118,3 +118,19 @@ def test_scratch_tables_go(spark, n):
     before = set(os.listdir(where))
     trees.tour(frame(spark, [("r", i, i - 1 if i else None, 0, 0) for i in range(n)]), "run", "s", "p", ["o"]).collect()
     assert len(set(os.listdir(where)) - before) == 1
+
+
+def test_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def spy(df, name="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    written = trees.written
+    monkeypatch.setattr(trees, "written", spy)
+    nodes = [("r", f"n{i}", f"n{(i + 1) % 6}" if i < 6 else f"n{i - 1}", "worker", "r", i, i + 1, True, True) for i in range(12)]
+    schema = "run string, id string, parent string, role string, claimed_run string, start int, close int, completed boolean, terminal boolean"
+    got = trees.tree_issues(spark.createDataFrame(nodes, schema), spark.createDataFrame([("r", None)], "run string, root string")).collect()
+    assert ("r", "parent-cycle", "n0") in {tuple(r) for r in got}
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
