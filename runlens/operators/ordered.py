@@ -97,16 +97,22 @@ def series_convergence(rows: DataFrame, lane: str, order: Sequence[str], value:
 
 
 def adjusted_p(tests: DataFrame, family: str, p: str, key: str) -> DataFrame:
-    """tests with Benjamini-Hochberg q, Holm and Bonferroni p-values within each family of tests."""
-    whole, up = W.partitionBy(family), W.partitionBy(family).orderBy(p, key)
-    m, i = F.count(F.lit(1)).over(whole), F.row_number().over(up)
-    rows = tests.withColumns({"_m": m, "_i": i})
-    later = up.rowsBetween(0, W.unboundedFollowing)
-    return rows.withColumns({
-        "bh": F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(later)),
-        "holm": F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_m") - F.col("_i") + 1)).over(up.rowsBetween(_START, 0))),
-        "bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("_m")),
-    }).drop("_m", "_i")
+    """tests with Benjamini-Hochberg q, Holm and Bonferroni p-values within each family of tests.
+
+    Equal p-values have equal results in any order of `key`: the last of them decides theirs by Benjamini and
+    Hochberg, the first by Holm. So values are counted, and only the distinct ones of a family are put in order,
+    once up and once down: a frame that ends at the family's end would be gone through anew for each row.
+    """
+    values = tests.groupBy(family, p).agg(F.count(F.lit(1)).alias("_n"))
+    up, down = (W.partitionBy(family).orderBy(o).rowsBetween(_START, 0) for o in (F.asc(p), F.desc(p)))
+    values = values.withColumns({"_m": F.sum("_n").over(W.partitionBy(family)), "_last": F.sum("_n").over(up)})
+    values = values.select(
+        F.col(family).alias("_family"), F.col(p).alias("_p"),
+        F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_last")).over(down)).alias("bh"),
+        F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_m") - F.col("_last") + F.col("_n"))).over(up)).alias("holm"),
+        F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias("bonferroni"),
+    )
+    return tests.join(values, F.col(family).eqNullSafe(F.col("_family")) & F.col(p).eqNullSafe(F.col("_p"))).drop("_family", "_p")
 
 
 def average_ranks(rows: DataFrame, group: Sequence[str], value: str, name: str, times: str | None = None) -> DataFrame:

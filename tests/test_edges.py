@@ -1,6 +1,7 @@
 """Empty, single-row, tie and null cases of operators and functions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,19 @@ def test_log_functions(spark):
     diff = F.lit("--- a\n+++ b\n+x\n+y\n-z\n c")
     assert tuple(one(spark, x=text.patch_stats(diff)).x) == (1, 2, 1)
     assert one(spark, x=text.epoch_millis(F.lit("1700000000000000000"))).x == one(spark, x=text.epoch_millis(F.lit("1700000000"))).x == 1700000000000
+
+
+def test_adjusted_p_values_order_distinct_values_only(spark):
+    rng = random.Random(4)
+    tests = [(f, i, rng.choice([0.0, 0.01, 0.02, 0.2, 0.9, 1.0])) for f in "ab" for i in range(40)] + [("b", 99, None)]
+    df = O.adjusted_p(spark.createDataFrame(tests, "f string, k int, p double"), "f", "p", "k")
+    assert "currentrow$(), unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    got = {(r.f, r.k): (r.bh, r.holm, r.bonferroni) for r in df.collect()}
+    assert len(got) == len(tests)
+    for f in "ab":
+        mine = sorted(((p, k) for g, k, p in tests if g == f), key=lambda x: (x[0] is not None, x))
+        m = len(mine)
+        for i, (p, k) in enumerate(mine):
+            later = [q * m / (j + 1) for j, (q, _) in enumerate(mine) if j >= i and q is not None]
+            before = [q * (m - j) for j, (q, _) in enumerate(mine) if j <= i and q is not None]
+            assert got[f, k] == pytest.approx((min([1.0, *later]), min(1.0, max(before, default=1.0)), 1.0 if p is None else min(1.0, p * m)))
