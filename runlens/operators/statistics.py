@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -280,16 +281,37 @@ def sequential_gate(pairs: DataFrame, lane: str, order: Sequence[str], delta: Co
 
 
 def elo(matches: DataFrame, pool: str, order: Sequence[str], a: str, b: str, result: Column, k: float = 32.0) -> DataFrame:
-    """pool, player, rating: sequential Elo from 1000 within each pool of matches; result is 1, 0.5 or 0 for player a."""
-    kind = matches.schema[pool].dataType.simpleString()
+    """pool, player, rating: sequential Elo from 1000 within each pool of matches; result is 1, 0.5 or 0 for player a.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[str, float] = {}
-        for x, y, s in pdf.sort_values([c for c in pdf if c.startswith("_o")])[["_a", "_b", "_s"]].itertuples(index=False):
-            rx, ry = rating.get(x, 1000.0), rating.get(y, 1000.0)
-            step = k * (s - 1 / (1 + 10 ** ((ry - rx) / 400)))
-            rating[x], rating[y] = rx + step, ry - step
-        return pd.DataFrame({pool: pdf[pool].iloc[0], "player": list(rating), "rating": list(rating.values())})
+    Pools pass one after the other through the tasks, in order, so a task holds one pool's players and no
+    pool costs a group of its own.
+    """
+    kind = matches.schema[pool].dataType.simpleString()
 
-    named = matches.select(pool, F.col(a).alias("_a"), F.col(b).alias("_b"), result.cast("double").alias("_s"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    return named.groupBy(pool).applyInPandas(run, f"{pool} {kind}, player string, rating double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rating, begun = None, {}, False
+        for batch in batches:
+            done: list[tuple] = []
+            for key, x, y, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != at or not begun:
+                    done += [(at, name, r) for name, r in rating.items()]
+                    at, rating, begun = key, {}, True
+                rx, ry = rating.get(x, 1000.0), rating.get(y, 1000.0)
+                step = k * (s - 1 / (1 + 10 ** ((ry - rx) / 400)))
+                rating[x], rating[y] = rx + step, ry - step
+            of = batch.schema.field(0).type
+            yield told(done, of)
+        if rating:
+            yield told([(at, name, r) for name, r in rating.items()], of)
+
+    def told(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        pools, players, ratings = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(pools, of), pa.array(players, pa.string()), pa.array(ratings, pa.float64())], [pool, "player", "rating"])
+
+    known = F.coalesce(result.cast("double"), F.lit(float("nan")))
+    orders = [f"_o{i}" for i in range(len(order))]
+    named = matches.select(pool, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"), known.alias("_s"), *(F.col(c).alias(o) for c, o in zip(order, orders, strict=True)))
+    # a number of partitions, else adaptive plans make one task of what takes few bytes and much time
+    tasks = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.repartition(tasks, pool).sortWithinPartitions(pool, *(F.asc_nulls_last(o) for o in orders))
+    return dealt.select(pool, "_a", "_b", "_s").mapInArrow(run, f"{pool} {kind}, player string, rating double")

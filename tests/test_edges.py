@@ -286,3 +286,24 @@ def test_adjusted_p_values_order_distinct_values_only(spark):
             later = [q * m / (j + 1) for j, (q, _) in enumerate(mine) if j >= i and q is not None]
             before = [q * (m - j) for j, (q, _) in enumerate(mine) if j <= i and q is not None]
             assert got[f, k] == pytest.approx((min([1.0, *later]), min(1.0, max(before, default=1.0)), 1.0 if p is None else min(1.0, p * m)))
+
+
+def test_elo_pools_pass_through_tasks_without_groups(spark):
+    rng = random.Random(5)
+    matches = [(pool, i, *rng.sample("vwxyz", 2), rng.choice([0.0, 0.5, 1.0])) for pool in [*range(30), None] for i in range(7)]
+    df = spark.createDataFrame(matches, "pool long, o int, a string, b string, s double").repartition(3)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")  # pools go on in the next batch
+    try:
+        out = S.elo(df, "pool", ["o"], "a", "b", F.col("s"))
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.pool, r.player): r.rating for r in out.collect()}
+    finally:
+        spark.conf.set(size, before)
+    want: dict = {}
+    for pool, _, a, b, s in sorted(matches, key=lambda m: (str(m[0]), m[1])):
+        ra, rb = want.get((pool, a), 1000.0), want.get((pool, b), 1000.0)
+        step = 32 * (s - 1 / (1 + 10 ** ((rb - ra) / 400)))
+        want[pool, a], want[pool, b] = ra + step, rb - step
+    assert got == pytest.approx(want)
