@@ -161,8 +161,8 @@ def tool_waste(runs: DataFrame, calls: DataFrame, messages: DataFrame, run: str,
     """run, calls, wasted, waste_rate for every run, 0 for one without calls.
 
     A failed call is wasted, and so is one whose result (first 120 characters) stands in no later message of
-    its run; an empty or null result has nothing to be found and is not. Results find their messages by
-    hashed windows (texts.last_seen), once for each result of a run, so calls and messages are not paired.
+    its run; an empty or null result has nothing to be found and is not. Results find their messages once for
+    each result of a run (texts.last_seen).
     """
     mine = calls.select(run, F.col(call_time).alias("_at"), F.coalesce(failed, F.lit(False)).alias("_bad"), F.substring(F.col(result), 1, 120).alias("_said"))
     wanted = mine.where("not _bad and _said <> ''").select(run, "_said").distinct()

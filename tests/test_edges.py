@@ -307,3 +307,17 @@ def test_elo_pools_pass_through_tasks_without_groups(spark):
         step = 32 * (s - 1 / (1 + 10 ** ((rb - ra) / 400)))
         want[pool, a], want[pool, b] = ra + step, rb - step
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("few", [3, 1000])
+def test_last_messages_make_rows_of_what_they_have_only(spark, monkeypatch, few):
+    monkeypatch.setattr(X, "FEW", few, raising=False)
+    rng = random.Random(6)
+    said = ["ab", "b", "the whole answer", "the whole answer of more than a head", "no", "\u00e9t\u00e9", ""]
+    wanted = [(k, w) for k in range(6) for w in rng.sample(said, 1 + k)]
+    told = [(k, t, rng.choice(["", "x"]).join(rng.choices(said + ["z "], k=3))) for k in range(7) for t in range(5)] + [(0, 9, None)]
+    out = X.last_seen(spark.createDataFrame(told, "k int, t int, text string"), spark.createDataFrame(wanted, "k int, said string"), "k", "text", "t", "said")
+    if few == 1000:
+        assert "xxhash64" not in out._jdf.queryExecution().executedPlan().toString()  # no windows
+    want = {(k, w): max(ts) for k, w in wanted if w and (ts := [t for key, t, text in told if key == k and text and w in text])}
+    assert {(r.k, r.said): r["last"] for r in out.collect()} == want and len(want) > 5
