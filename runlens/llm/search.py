@@ -31,6 +31,7 @@ CHUNK = 256
 CHUNK_BYTES = 1 << 20
 #: Intervals of one query that take a step together.
 FRONT = 16
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _INDEX = "docs array<long>, sizes array<int>, terms array<string>, ends array<int>, posted array<int>, tfs array<int>"
 
@@ -69,7 +70,7 @@ def index(docs: DataFrame) -> DataFrame:
             yield _block(ids, found, counts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(run, _INDEX), "index")
+    return written(rows.mapInArrow(run, _INDEX), "index", large_rows=True)
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -272,6 +273,14 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     chunks, n, total = weighted(blocks, asked(queries))
     chunks = small(written(chunks, "chunks"))
-    found = blocks.crossJoin(chunks).mapInArrow(_searching(n, total, k), "chunk string, q long, item_id long, doc_id long, score long")
+    # a row holds a whole block, and Arrow batches are filled up to thousands of rows unless told otherwise
+    conf = queries.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, "1")
+    try:
+        found = blocks.crossJoin(chunks).mapInArrow(_searching(n, total, k), "chunk string, q long, item_id long, doc_id long, score long")
+        found = written(found, "found")
+    finally:
+        conf.set(_BATCH, before)
     best = W.partitionBy("chunk", "q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -19,6 +19,8 @@ _scope: ContextVar[list[DataFrame] | None] = ContextVar("runlens_scratch", defau
 #: Bytes of files, and rows, up to which a written table is sent to every executor.
 SMALL = 32 << 20
 SMALL_ROWS = 2_000_000
+#: Bytes of large rows that are written and read together.
+LARGE = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str = "t", large_rows: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder; of large rows a few are written and read at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Parquet looks at sizes only every 100 rows, and a reader decodes a group of rows at once
+    some = {"parquet.block.size": str(LARGE), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"} if large_rows else {}
+    df.write.options(**some).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.runlens_path = path
     own = _scope.get()

@@ -90,6 +90,20 @@ def test_search_equals_brute_force(docs, items, monkeypatch, block, front):
     assert plain(search.search(blocks, items)) == ranked(rows, queries)
 
 
+def test_tasks_hold_one_block_at_a_time(spark, docs, items, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 23)
+    sizes, size, written = {}, "spark.sql.execution.arrow.maxRecordsPerBatch", search.written
+
+    def spy(df, name="t", **options):
+        sizes[name] = spark.conf.get(size), options
+        return written(df, name, **options)
+
+    monkeypatch.setattr(search, "written", spy)
+    before = spark.conf.get(size)
+    assert search.search(search.index(docs), items).count() > 0
+    assert sizes["index"][1] == {"large_rows": True} and sizes["found"][0] == "1" and spark.conf.get(size) == before
+
+
 def test_treaps_prune_and_split():
     rng = np.random.default_rng(2)
     docs, ends, posted, x = 4000, [], [], []
