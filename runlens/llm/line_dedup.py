@@ -25,11 +25,15 @@ LEAST = 4
 ROWS, COLUMNS = 3, 4
 BANDS = [[r * COLUMNS + (c + slope * r) % COLUMNS for r in range(ROWS)] for slope in (0, 1) for c in range(COLUMNS)]
 #: Shingles that one row of the signatures' fold takes together.
-TOGETHER = 4
+TOGETHER = 16
 #: Lines of a bucket that one task holds against each other, or against as many others.
 BLOCK = 1024
 #: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
 SKETCH = 32
+#: Longs of two sketches that a join's condition compares.
+FIRST = 16
+#: Shingles that one row of the sketches' fold takes together.
+CHUNK = 8
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -67,14 +71,15 @@ def signatures(lines: DataFrame, key: Sequence[str] = ("k",)) -> DataFrame:
     All shingles of a line count, whatever its length. A shingle's value under the j-th permutation is its
     32-bit hash times an odd constant plus another, modulo 2^32: permutations independent enough that also
     lines of few shingles have different minima. Shingles are rows that whole-stage code hashes and folds
-    into the minima of their line before anything is shuffled.
+    into the minima of their line before anything is shuffled; a line's last shingle fills up its last row.
     """
     rng = random.Random(4)
     constants = [(rng.getrandbits(29) * 2 + 1, rng.getrandbits(32)) for _ in range(ROWS * COLUMNS)]
     raw = lines.select(*key, F.col("norm").cast("binary").alias("raw")).withColumn("most", F.greatest(F.octet_length("raw") - (SHINGLE - 1), F.lit(1)))
     rows = raw.select(*key, "raw", "most", F.explode(F.sequence(F.lit(1), "most", F.lit(TOGETHER))).alias("i"))
-    h = [F.hash(F.substring("raw", F.col("i") + d, F.lit(SHINGLE))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) for d in range(TOGETHER)]
-    h = rows.select(*key, h[0].alias("h0"), *(F.when(F.col("i") + d <= F.col("most"), x).otherwise(h[0]).alias(f"h{d}") for d, x in enumerate(h) if d))
+    at = [F.least(F.col("i") + d, F.col("most")) for d in range(TOGETHER)]
+    h = [F.hash(F.substring("raw", i, F.lit(SHINGLE))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) for i in at]
+    h = rows.select(*key, *(x.alias(f"h{d}") for d, x in enumerate(h)))
     turned = lambda a, b: [(F.col(f"h{d}") * a + b).bitwiseAND(F.lit(0xFFFFFFFF)) for d in range(TOGETHER)]
     lowest = lambda x: x[0] if len(x) == 1 else F.least(*x)
     mins = h.groupBy(*key).agg(*(F.min(lowest(turned(a, b))).alias(f"m{j}") for j, (a, b) in enumerate(constants)))
@@ -112,10 +117,16 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _sketches(texts: DataFrame) -> DataFrame:
     """(k, norm) -> k, n (shingles), s0, s1, ...: sketches of two sets differ in no more bits than the sets do in shingles."""
-    h = texts.select("k", F.explode(_shingles(F.col("norm"))).alias("h"))
-    h = h.select("k", F.pmod("h", F.lit(SKETCH)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 8), 64) as int))").alias("bit"))
-    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == j, F.col("bit"))), F.lit(0).cast("long")).alias(f"s{j}") for j in range(SKETCH)]
-    return h.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *words)
+    h = texts.select("k", _shingles(F.col("norm")).alias("h")).withColumn("n", F.size("h"))
+    h = h.select("k", "n", "h", F.explode(F.sequence(F.lit(1), "n", F.lit(CHUNK))).alias("i"))
+    h = h.select("k", "n", "i", *(F.col("h")[F.least(F.col("i") + d, F.col("n")) - 1].alias(f"h{d}") for d in range(CHUNK)))
+    word = [F.when(F.col("i") + d <= F.col("n"), F.col(f"h{d}").bitwiseAND(F.lit(SKETCH - 1))).otherwise(-1).alias(f"w{d}") for d in range(CHUNK)]
+    bit = [F.expr(f"shiftleft(1L, cast(shiftright(h{d}, 8) & 63L as int))").alias(f"b{d}") for d in range(CHUNK)]
+    h = h.select("k", "n", *word, *bit)
+    none = F.lit(0).cast("long")
+    of = lambda j: reduce(Column.bitwiseXOR, (F.when(F.col(f"w{d}") == j, F.col(f"b{d}")).otherwise(none) for d in range(CHUNK)))
+    words = [F.coalesce(F.bit_xor(of(j)), none).alias(f"s{j}") for j in range(SKETCH)]
+    return h.groupBy("k").agg(F.max("n").cast("long").alias("n"), *words)
 
 
 def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
@@ -123,7 +134,8 @@ def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
 
     Blocks of a bucket meet in pairs, each a group of its own, but those of its largest component never each
     other; lines that share several buckets meet in the first of them. Sets of n and m shingles with
-    similarity s differ in (n + m)(1 - s) / (1 + s) shingles at most, so the others are not similar for certain.
+    similarity s differ in (n + m)(1 - s) / (1 + s) shingles at most, so the others are not similar for certain;
+    half of the sketches tells that of most pairs.
     """
     of = small(of).select(F.col("node").alias("k"), "component")
     members = written(members.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
@@ -131,26 +143,28 @@ def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
     # the buckets of a line are as many as its bands at most
     lines = written(mixed.groupBy("k").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("band", "main", "n_main", "n_rest"))).alias("in")), "mixed")
     sketches = written(_sketches(texts.join(small(lines).select("k"), "k", "left_semi")), "sketches")
-    words = [f"s{w}" for w in range(SKETCH)]
-    dealt = lines.join(small(sketches), "k").select("k", "g", "n", *words, "in", F.posexplode("in").alias("at", "b"))
+    sketch = F.array(*(F.coalesce(f"s{w}", F.lit(0).cast("long")) for w in range(SKETCH))).alias("s")
+    dealt = lines.join(small(sketches), "k").select("k", "g", "n", sketch, "in", F.posexplode("in").alias("at", "b"))
     before = F.transform(F.slice("in", F.lit(1), F.col("at")), lambda x: x["band"]).alias("before")
     in_main = F.col("g") == F.col("b.main")
     part, pairs_of = cells(F.struct("k", F.lit(1)), in_main, F.col("b.n_main"), F.col("b.n_rest"))
-    dealt = dealt.select("k", "g", "n", *words, before, "b.band", part.alias("part"), F.explode(pairs_of).alias("c"))
+    dealt = dealt.select("k", "g", "n", "s", before, "b.band", part.alias("part"), F.explode(pairs_of).alias("c"))
     sides = []
     for x, own in (("a", F.col("part") == F.col("c.i")), ("b", F.col("part") == F.col("c.j"))):
-        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", "before", *words)]
+        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", "s", "before")]
         sides.append(dealt.where(own).select("band", "c.i", "c.j", *columns))
-    bits = sum(F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words)
-    d = F.greatest(bits.cast("long"), F.abs(F.col("na") - F.col("nb")))
-    may = (F.col("ga") != F.col("gb")) & ((5 + LEAST) * d <= (5 - LEAST) * (F.col("na") + F.col("nb"))) & ~F.arrays_overlap("beforea", "beforeb")
+    first, d = (sum(F.bit_count(F.col("sa")[w].bitwiseXOR(F.col("sb")[w])) for w in range(n)).cast("long") for n in (FIRST, SKETCH))
+    few = lambda x: (5 + LEAST) * x <= (5 - LEAST) * (F.col("na") + F.col("nb"))
+    lengths = F.abs(F.col("na") - F.col("nb"))
+    may = (F.col("ga") != F.col("gb")) & few(lengths) & few(first)
     once = (F.col("x.i") < F.col("x.j")) | (F.col("ka") < F.col("kb"))
     x, y = (side.alias(c) for side, c in zip(sides, "xy", strict=True))
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "i", "j")]
-    pairs = x.join(y, [*on, once, may])
+    pairs = x.join(y, [*on, once, may]).select("ka", "kb", "ga", "gb", "na", "nb", "beforea", "beforeb", F.greatest(d, lengths).alias("d"))
+    pairs = pairs.select("*", F.explode(F.when(few(F.col("d")) & ~F.arrays_overlap("beforea", "beforeb"), F.array(F.lit(True)))).alias("go"))
     turned = F.col("ka") > F.col("kb")
     low, high = (F.struct(F.col(f"k{c}").alias("k"), F.col(f"g{c}").alias("g")) for c in "ab")
-    pairs = pairs.select(F.when(turned, high).otherwise(low).alias("p"), F.when(turned, low).otherwise(high).alias("q"), d.alias("d"))
+    pairs = pairs.select(F.when(turned, high).otherwise(low).alias("p"), F.when(turned, low).otherwise(high).alias("q"), "d")
     return pairs.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"), F.col("p.g").alias("ga"), F.col("q.g").alias("gb"), "d")
 
 
