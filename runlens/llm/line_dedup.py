@@ -28,12 +28,10 @@ BANDS = [[r * COLUMNS + (c + slope * r) % COLUMNS for r in range(ROWS)] for slop
 TOGETHER = 16
 #: Lines of a bucket that one task holds against each other, or against as many others.
 BLOCK = 1024
-#: Longs of a shingle set's sketch: the parity of the number of its shingles at each bit.
+#: Longs of a shingle set's sketch.
 SKETCH = 32
-#: Longs of two sketches that a join's condition compares.
-FIRST = 16
 #: Shingles that one row of the sketches' fold takes together.
-CHUNK = 8
+CHUNK = 16
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -116,26 +114,44 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(k, norm) -> k, n (shingles), s0, s1, ...: sketches of two sets differ in no more bits than the sets do in shingles."""
-    h = texts.select("k", _shingles(F.col("norm")).alias("h")).withColumn("n", F.size("h"))
-    h = h.select("k", "n", "h", F.explode(F.sequence(F.lit(1), "n", F.lit(CHUNK))).alias("i"))
-    h = h.select("k", "n", "i", *(F.col("h")[F.least(F.col("i") + d, F.col("n")) - 1].alias(f"h{d}") for d in range(CHUNK)))
-    word = [F.when(F.col("i") + d <= F.col("n"), F.col(f"h{d}").bitwiseAND(F.lit(SKETCH - 1))).otherwise(-1).alias(f"w{d}") for d in range(CHUNK)]
-    bit = [F.expr(f"shiftleft(1L, cast(shiftright(h{d}, 8) & 63L as int))").alias(f"b{d}") for d in range(CHUNK)]
+    """(k, norm) -> k, n (windows of SHINGLE bytes, repeats included), s0, s1, ... (the sketch of its shingles).
+
+    A sketch has the bits of its shingles set, so two sets differ in at least as many shingles as their
+    sketches do in bits. Repeats change nothing: shingles are rows that whole-stage code folds.
+    """
+    raw = texts.select("k", F.col("norm").cast("binary").alias("raw")).withColumn("n", F.greatest(F.octet_length("raw") - (SHINGLE - 1), F.lit(1)))
+    rows = raw.select("k", "raw", "n", F.explode(F.sequence(F.lit(1), "n", F.lit(CHUNK))).alias("i"))
+    h = [F.hash(F.substring("raw", F.least(F.col("i") + d, F.col("n")), F.lit(SHINGLE))) for d in range(CHUNK)]
+    h = rows.select("k", "n", *(x.alias(f"h{d}") for d, x in enumerate(h)))
+    word = [F.col(f"h{d}").bitwiseAND(F.lit(SKETCH - 1)).alias(f"w{d}") for d in range(CHUNK)]
+    bit = [F.expr(f"shiftleft(1L, shiftright(h{d}, 8) & 63)").alias(f"b{d}") for d in range(CHUNK)]
     h = h.select("k", "n", *word, *bit)
     none = F.lit(0).cast("long")
-    of = lambda j: reduce(Column.bitwiseXOR, (F.when(F.col(f"w{d}") == j, F.col(f"b{d}")).otherwise(none) for d in range(CHUNK)))
-    words = [F.coalesce(F.bit_xor(of(j)), none).alias(f"s{j}") for j in range(SKETCH)]
-    return h.groupBy("k").agg(F.max("n").cast("long").alias("n"), *words)
+    of = lambda j: reduce(Column.bitwiseOR, (F.when(F.col(f"w{d}") == j, F.col(f"b{d}")).otherwise(none) for d in range(CHUNK)))
+    return h.groupBy("k", "n").agg(*(F.bit_or(of(j)).alias(f"s{j}") for j in range(SKETCH)))
+
+
+def _side(x: str) -> list[Column]:
+    """n and the sketch as side x of a pair; none is null, which spares the pairs' code a test for each."""
+    return [F.coalesce(c, F.lit(0)).cast("double" if c == "n" else "long").alias(f"{c}{x}") for c in ("n", *(f"s{j}" for j in range(SKETCH)))]
+
+
+def _bits() -> Column:
+    """Bits in which the sketches of sides a and b differ; doubles are added without tests for overflow, which keeps the code short enough to be compiled."""
+    return sum((F.bit_count(F.col(f"s{j}a").bitwiseXOR(F.col(f"s{j}b"))).cast("double") for j in range(SKETCH)), F.lit(0.0))
+
+
+def _may() -> Column:
+    """Sets of n and m shingles with similarity s differ in (n + m)(1 - s) / (1 + s) shingles at most, so the others are not similar for certain."""
+    return F.lit(5.0 + LEAST) * _bits() <= F.lit(5.0 - LEAST) * (F.col("na") + F.col("nb"))
 
 
 def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
     """(band, k) -> (a, b, ga, gb, d): the pairs of a bucket in two components that may be similar, once for each pair.
 
     Blocks of a bucket meet in pairs, each a group of its own, but those of its largest component never each
-    other; lines that share several buckets meet in the first of them. Sets of n and m shingles with
-    similarity s differ in (n + m)(1 - s) / (1 + s) shingles at most, so the others are not similar for certain;
-    half of the sketches tells that of most pairs.
+    other; lines that share several buckets meet in the first of them. Sketches rule out what is not similar
+    within the join, so that its rows follow the similar pairs and not the bucket's pairs.
     """
     of = small(of).select(F.col("node").alias("k"), "component")
     members = written(members.join(of, "k", "left").select("band", "k", F.coalesce("component", "k").alias("g")), "large")
@@ -143,28 +159,23 @@ def _apart(members: DataFrame, of: DataFrame, texts: DataFrame) -> DataFrame:
     # the buckets of a line are as many as its bands at most
     lines = written(mixed.groupBy("k").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("band", "main", "n_main", "n_rest"))).alias("in")), "mixed")
     sketches = written(_sketches(texts.join(small(lines).select("k"), "k", "left_semi")), "sketches")
-    sketch = F.array(*(F.coalesce(f"s{w}", F.lit(0).cast("long")) for w in range(SKETCH))).alias("s")
-    dealt = lines.join(small(sketches), "k").select("k", "g", "n", sketch, "in", F.posexplode("in").alias("at", "b"))
+    words = ["n", *(f"s{j}" for j in range(SKETCH))]
+    dealt = lines.join(small(sketches), "k").select("k", "g", *words, "in", F.posexplode("in").alias("at", "b"))
     before = F.transform(F.slice("in", F.lit(1), F.col("at")), lambda x: x["band"]).alias("before")
     in_main = F.col("g") == F.col("b.main")
     part, pairs_of = cells(F.struct("k", F.lit(1)), in_main, F.col("b.n_main"), F.col("b.n_rest"))
-    dealt = dealt.select("k", "g", "n", "s", before, "b.band", part.alias("part"), F.explode(pairs_of).alias("c"))
+    dealt = dealt.select("k", "g", *words, before, "b.band", part.alias("part"), F.explode(pairs_of).alias("c"))
     sides = []
     for x, own in (("a", F.col("part") == F.col("c.i")), ("b", F.col("part") == F.col("c.j"))):
-        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "n", "s", "before")]
-        sides.append(dealt.where(own).select("band", "c.i", "c.j", *columns))
-    first, d = (sum(F.bit_count(F.col("sa")[w].bitwiseXOR(F.col("sb")[w])) for w in range(n)).cast("long") for n in (FIRST, SKETCH))
-    few = lambda x: (5 + LEAST) * x <= (5 - LEAST) * (F.col("na") + F.col("nb"))
-    lengths = F.abs(F.col("na") - F.col("nb"))
-    may = (F.col("ga") != F.col("gb")) & few(lengths) & few(first)
+        columns = [F.col(c).alias(f"{c}{x}") for c in ("k", "g", "before")]
+        sides.append(dealt.where(own).select("band", "c.i", "c.j", *columns, *_side(x)))
     once = (F.col("x.i") < F.col("x.j")) | (F.col("ka") < F.col("kb"))
     x, y = (side.alias(c) for side, c in zip(sides, "xy", strict=True))
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "i", "j")]
-    pairs = x.join(y, [*on, once, may]).select("ka", "kb", "ga", "gb", "na", "nb", "beforea", "beforeb", F.greatest(d, lengths).alias("d"))
-    pairs = pairs.select("*", F.explode(F.when(few(F.col("d")) & ~F.arrays_overlap("beforea", "beforeb"), F.array(F.lit(True)))).alias("go"))
+    pairs = x.join(y, [*on, once, F.col("ga") != F.col("gb"), _may(), ~F.arrays_overlap("beforea", "beforeb")])
     turned = F.col("ka") > F.col("kb")
     low, high = (F.struct(F.col(f"k{c}").alias("k"), F.col(f"g{c}").alias("g")) for c in "ab")
-    pairs = pairs.select(F.when(turned, high).otherwise(low).alias("p"), F.when(turned, low).otherwise(high).alias("q"), "d")
+    pairs = pairs.select(F.when(turned, high).otherwise(low).alias("p"), F.when(turned, low).otherwise(high).alias("q"), _bits().alias("d"))
     return pairs.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"), F.col("p.g").alias("ga"), F.col("q.g").alias("gb"), "d")
 
 

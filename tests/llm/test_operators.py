@@ -233,6 +233,28 @@ def test_a_component_that_fills_a_bucket_costs_no_pairs_of_its_own(spark, monkey
     assert met == {(min(a, b), b) for a in range(5003) for b in range(5000, 5003) if a < b}
 
 
+def test_the_join_of_a_bucket_lets_through_only_what_whole_sketches_allow(spark):
+    """Its rows would grow with the square of a bucket if it compared part of the sketches."""
+    from runlens.scratch import scratch, written
+
+    texts = [prose(30, 700 + i) for i in range(30)] + ["-" * 50, "-" * 90]
+    texts += [edited(texts[0], [3]), edited(texts[1], [3, 9])]
+    sets = shingle_sets(texts)
+    with scratch():
+        lines = spark.createDataFrame(list(enumerate(texts)), "k long, norm string")
+        got = {r.k: r for r in line_dedup._sketches(lines).collect()}
+        bits = {i: [r[f"s{j}"] % 2**64 for j in range(line_dedup.SKETCH)] for i, r in got.items()}
+        differ = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
+        assert all(differ(i, j) <= len(sets[i] ^ sets[j]) and got[i].n >= len(sets[i]) for i in got for j in got)
+        assert differ(30, 31) == 0
+        of = written(spark.createDataFrame([], "node long, component long"), "of")
+        apart = line_dedup._apart(lines.selectExpr("7L as band", "k"), of, lines)
+        assert {(r.a, r.b) for r in apart.collect()} >= {(i, j) for i in got for j in got if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert apart.count() < 10
+        joins = [x for x in apart._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+        assert max(x.count("bit_count") for x in joins) == line_dedup.SKETCH
+
+
 def test_two_threads_keep_their_scratch_tables(spark):
     from concurrent.futures import ThreadPoolExecutor
 
