@@ -38,8 +38,8 @@ def written(df: DataFrame, name: str = "t", large_rows: bool = False) -> DataFra
     """df as a Parquet table in the shared folder; of large rows a few are written and read at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
-    # Parquet looks at sizes only every 100 rows, and a reader decodes a group of rows at once
-    some = {"parquet.block.size": str(LARGE), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"} if large_rows else {}
+    # Parquet looks at sizes, a group's as well as a page's, only every 100 rows, and a reader decodes a group of rows at once
+    some = {"parquet.block.size": str(LARGE), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"} if large_rows else {}
     df.write.options(**some).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.runlens_path = path

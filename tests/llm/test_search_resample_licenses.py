@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from runlens import scratch
 from runlens.llm import licenses, resampling, search, sql, words
 
 SF = "/root/testdata/sf0.001"
@@ -104,6 +106,15 @@ def test_tasks_hold_one_block_at_a_time(spark, docs, items, monkeypatch):
     assert sizes["index"][1] == {"large_rows": True} and sizes["found"][0] == "1" and spark.conf.get(size) == before
 
 
+def test_large_rows_have_row_groups_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "LARGE", 64 << 10)
+    with scratch.scratch():
+        rows = scratch.written(spark.range(12, numPartitions=1).select("id", F.expr("transform(sequence(1, 20000), x -> xxhash64(id, x))").alias("v")), large_rows=True)
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in rows.inputFiles()]
+        assert [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)] == [1] * 12
+        assert rows.selectExpr("sum(id)", "sum(size(v))").first() == (66, 240_000)
+
+
 def test_treaps_prune_and_split():
     rng = np.random.default_rng(2)
     docs, ends, posted, x = 4000, [], [], []
