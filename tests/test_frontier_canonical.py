@@ -13,6 +13,7 @@ from runlens.functions import distributions as D
 from runlens.operators import evaluation as E
 from runlens.operators import frontier as P
 from runlens.operators import statistics as S
+from runlens.plans import QUERIES
 
 
 def front(rows, ways):
@@ -34,6 +35,17 @@ def test_frontier_equals_brute_force(spark, monkeypatch, dims, n, block):
     assert sorted(r.id for r in P.skyline(df, dict(zip(names, ways, strict=True))).collect()) == front(rows, ways)
 
 
+def test_points_with_equal_means_stay_together_in_any_order(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    cents = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 9] * 2)  # 0.045 on average
+    rows = [(part, float(x) / 100) for part in range(1, 200) if part % 7 for x in rng.permutation(cents)]
+    assert len({list(itertools.accumulate(x for _, x in own))[-1] for _, own in itertools.groupby(rows, lambda r: r[0])}) > 1
+    df = spark.createDataFrame(rows, "l_partkey long, l_discount double").withColumns({"l_extendedprice": F.lit(10.0), "l_quantity": F.lit(2.0)})
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["skyline_three"](spark, str(tmp_path)).collect()
+    assert len(got) == 171 and {tuple(r)[1:] for r in got} == {(5.0, 0.05, 40.0)}
+
+
 def test_frontier_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "id long, a double")
     assert P.skyline(df, {"a": "min"}).count() == 0
